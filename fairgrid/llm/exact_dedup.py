@@ -36,7 +36,7 @@ class MergeIndex:
         path = new_path(self.spark, "digest-run")
         (
             entries.repartitionByRange("text_sha256").sortWithinPartitions("text_sha256")
-            .write.option("parquet.bloom.filter.enabled#text_sha256", "true").parquet(path)
+            .write.options(**{"parquet.bloom.filter.enabled#text_sha256": "true", "parquet.bloom.filter.adaptive.enabled": "true"}).parquet(path)
         )
         self.runs.append(path)
 

@@ -8,6 +8,7 @@ in a bounded dictionary, and those not seen before go to the library's batch cal
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -15,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts with two white-space characters in a row, or one beyond ASCII, are cut by PIECE, others at each space.
-ODD_SPACES = r"[\t-\r ]{2}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts with two white-space characters in a row, one beyond ASCII, or the start of a special token's string are
+#: cut by PIECE, others at each space.
+ODD_SPACES = r"<\||[\t-\r ]{2}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TWO_SPACES = re.compile(r"\s\s")
 #: A piece: leading white space and what follows up to the next cut.
 PIECE = re.compile(r"\s*\S+(?:[^\S \t\r\n]\s*\S*)*|\s+")
@@ -36,24 +38,60 @@ class PieceIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.entries, self.batch_bytes = entries, batch_bytes
+        model = json.loads(self.tokenizer.to_str())
+        #: With a lower-casing tokenizer, ASCII letters are lower-cased before look-up.
+        self.lower = "Lowercase" in json.dumps(model["normalizer"])
+        suffix = model["model"].get("end_of_word_suffix")
+        ids = model["model"]["vocab"]
+        self.bounds = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a word, or else that start one
+        self.ends = bool(suffix)
+        self.bounds[[i for token, i in ids.items() if (token.endswith(suffix) if suffix else token.startswith("Ġ"))]] = True
         self.held: dict[str, bytes] = {}
 
     def _encode(self, pieces: Iterable[str]) -> dict[str, bytes]:
-        """The library's batch call, in batches of about ``batch_bytes`` each."""
+        """The library's batch call, in batches of about ``batch_bytes`` each.
+
+        Pieces of letters after one space are joined, a few thousand bytes at a time, and their ids told apart by
+        the tokens that end or start a word; where the counts don't agree, and for other pieces, each is a text.
+        """
         out: dict[str, bytes] = {}
-        batch: list[str] = []
-        size = 0
+        batch: list[list[str]] = []
+        run: list[str] = []
+        size = held = 0
 
         def flush() -> None:
-            for piece, encoding in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+            again = []
+            texts = ["".join(x) for x in batch]
+            for own, encoding in zip(batch, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(encoding.ids, "<u4")
+                data = ids.tobytes()
+                if len(own) == 1:
+                    out[own[0]] = data
+                    continue
+                at = np.flatnonzero(self.bounds[ids]) * 4
+                cuts = [0, *(at + 4).tolist()] if self.ends else [*at.tolist(), len(data)]
+                if len(cuts) == len(own) + 1 and cuts[0] == 0 and cuts[-1] == len(data):
+                    out.update(zip(own, (data[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+                else:
+                    again += own
+            for piece, encoding in zip(again, self.tokenizer.encode_batch_fast(again, add_special_tokens=False), strict=True):
                 out[piece] = np.array(encoding.ids, "<u4").tobytes()
 
         for piece in pieces:
-            batch.append(piece)
+            if piece[:1] == " " and piece[1:].isalpha():
+                run.append(piece)
+                held += len(piece)
+                if held > 4096:
+                    batch.append(run)
+                    run, held = [], 0
+            else:
+                batch.append([piece])
             size += len(piece) + 16
             if size > self.batch_bytes:
                 flush()
                 batch, size = [], 0
+        if run:
+            batch.append(run)
         flush()
         return out
 
@@ -94,7 +132,8 @@ class PieceIds:
         if len(self.held) > self.entries:
             self.held.clear()
         odd = pc.match_substring_regex(texts, ODD_SPACES).to_numpy(zero_copy_only=False)
-        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        usual = texts.filter(pa.array(~odd))
+        plain = pc.split_pattern(pc.ascii_lower(usual) if self.lower else usual, " ")
         words = plain.flatten().dictionary_encode()
         word_codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         names = [" " + x for x in words.dictionary.to_pylist()]

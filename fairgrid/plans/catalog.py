@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fairgrid.plans import geo_queries, log_queries, search_queries, store_queries
+from fairgrid.plans.registry import QUERIES, SQL
+
+_MODULES = (geo_queries, log_queries, search_queries, store_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by name."""
-    return {}
+    return dict(SQL)

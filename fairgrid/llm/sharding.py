@@ -2,8 +2,8 @@
 
 Documents with equal texts are linked. All members of such a group have the same neighbours, so labels are kept as
 cells (group, shard, members): a group with a third of all rows is a handful of rows. Each round, members move to
-the shard that holds most of their neighbours; moves are accepted in order of gain while the target has room, the
-room being counted over (shard, gain) classes so that no task ranks all moves. Groups start where a hash deals
+the shard with room that holds most of their neighbours; moves are accepted in order of gain while there is room,
+counted over (shard, gain) classes so that no task ranks all moves. Groups start where a hash deals
 them and end on few shards; documents without links then fill every shard to its exact quota.
 """
 
@@ -16,6 +16,8 @@ from fairgrid.llm.common import documents, materialise, positions, rank_buckets
 
 #: Moves of equal gain are accepted in this many hash classes.
 LANES = 64
+#: A shard with no more room than this part of its quota takes no more groups; rows without links fill it.
+FULL = 50
 
 
 def _cells(members: DataFrame, shards: int) -> DataFrame:
@@ -24,27 +26,31 @@ def _cells(members: DataFrame, shards: int) -> DataFrame:
 
 
 def _round(cells: DataFrame, quota: DataFrame) -> DataFrame:
-    """One round of label propagation: ``cells`` with the accepted moves made."""
-    by_size = Window.partitionBy("link").orderBy(F.desc("n"), F.xxhash64("link", "shard"))
-    wished = cells.withColumn("_best", F.first("shard").over(by_size)).withColumn("_most", F.first("n").over(by_size))
-    moves = wished.withColumn("_moves", F.col("shard") != F.col("_best"))
-    # most neighbours first; moves of one class are told apart by a hash lane
-    moves = moves.withColumn("_class", F.floor(F.log2(F.greatest(F.col("_most"), F.lit(1)))).cast("int"))
-    moves = moves.withColumn("_lane", F.pmod(F.xxhash64("link"), F.lit(LANES)).cast("int"))
-    used = cells.groupBy("shard").agg(F.sum("n").alias("_used"))
-    room = quota.join(F.broadcast(used), "shard", "left").select(F.col("shard").alias("_best"), (F.col("quota") - F.coalesce("_used", F.lit(0))).alias("_room"))
-    wanted = moves.where("_moves").groupBy("_best", "_class", "_lane").agg(F.sum("n").alias("_wanted"))
-    in_order = Window.partitionBy("_best").orderBy(F.desc("_class"), "_lane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    granted = (
-        wanted.withColumn("_upto", F.sum("_wanted").over(in_order)).join(F.broadcast(room), "_best")
-        .where("_upto <= _room").select("_best", "_class", "_lane", F.lit(True).alias("_granted"))
-    )
-    moved = moves.join(F.broadcast(granted), ["_best", "_class", "_lane"], "left")
-    label = F.when(F.col("_moves") & F.coalesce("_granted", F.lit(False)), F.col("_best")).otherwise(F.col("shard"))
-    return moved.groupBy("link", label.alias("shard")).agg(F.sum("n").alias("n"))
-
+    """One round of label propagation: ``cells`` with the accepted moves made.
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+    Members of a cell move to the shard with room where most of their neighbours are, if more are there than
+    here. Moves are accepted class by class, most neighbours first; where a class outgrows the room that is left,
+    each of its cells sends its share, rounded up; the few rows over a quota are moved on in the end.
+    """
+    used = cells.groupBy("shard").agg(F.sum("n").alias("_used"))  # a row for each shard
+    room = quota.join(F.broadcast(used), "shard", "left").select("shard", "quota", (F.col("quota") - F.coalesce("_used", F.lit(0))).alias("_room"))
+    order = F.struct("n", F.xxhash64("link", "shard").alias("h"), "shard")
+    best = F.max(F.when(F.col("_room") * FULL > F.col("quota"), order)).over(Window.partitionBy("link"))
+    wished = cells.join(F.broadcast(room), "shard").withColumn("_best", best)
+    moves = wished.select("link", "shard", "n", F.coalesce(F.col("_best") > order, F.lit(False)).alias("_moves"), F.col("_best.shard").alias("_to"), F.col("_best.n").alias("_most"))
+    moves = moves.withColumn("_class", F.floor(F.log2(F.greatest("_most", F.lit(1)))).cast("int")).withColumn("_lane", F.pmod(F.xxhash64("link"), F.lit(LANES)).cast("int"))
+    in_order = Window.partitionBy("_to").orderBy(F.desc("_class"), "_lane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = moves.where("_moves").groupBy("_to", "_class", "_lane").agg(F.sum("n").alias("_wanted")).withColumn("_upto", F.sum("_wanted").over(in_order))
+    left = F.col("_room") - F.col("_upto") + F.col("_wanted")
+    granted = wanted.join(F.broadcast(room.withColumnRenamed("shard", "_to")), "_to")  # shards, classes and lanes: a few thousand rows
+    granted = granted.select("_to", "_class", "_lane", F.greatest(F.least(left / F.col("_wanted"), F.lit(1.0)), F.lit(0.0)).alias("_share"))
+    told = moves.join(F.broadcast(granted), ["_to", "_class", "_lane"], "left")
+    gone = F.when(F.col("_moves"), F.ceil(F.col("n") * F.coalesce("_share", F.lit(0.0)) - 1e-9)).otherwise(F.lit(0)).cast("long")
+    parts = told.select("link", F.explode(F.array(F.struct(F.col("shard").alias("shard"), (F.col("n") - gone).alias("n")), F.struct(F.col("_to").alias("shard"), gone.alias("n")))).alias("_c"))
+    return parts.select("link", "_c.shard", "_c.n").where("n > 0").groupBy("link", "shard").agg(F.sum("n").alias("n"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """Place every row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; the law is ``rows``.
 
     Shards differ by at most one row. ``size`` is the text's UTF-8 bytes plus 1 (null: 1), null texts count as

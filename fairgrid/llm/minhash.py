@@ -4,13 +4,16 @@
    two low bits of each minimum are packed into four longs.
 2. Documents with equal sets are one class, so exact copies cost one row from here on.
 3. Classes that share a band key are candidates. First each class meets only the likeliest of its buckets'
-   smallest and largest members; the collision-corrected similarity of the packed bits rules out far pairs and full
-   sets confirm the others. Confirmed links are joined to components.
-4. Buckets that still hold several components are then searched for every pair across components, again by bits
-   and then on full sets, so that no candidate pair that could join two components goes unseen.
+   smallest and largest members, then, twice, the likeliest member of another component in a block of its bucket;
+   the collision-corrected similarity of the packed bits rules out far pairs and full sets confirm the others.
+   Confirmed links are joined to components, so groups of near copies collapse without their pairs being listed.
+4. Buckets that still hold several components are then searched for every pair across components, each pair in
+   the first band that it shares: bits pick the rows that have such a pair, and tasks over tiles of two blocks of
+   a bucket compare full sets and give only the links. No candidate pair that could join two components goes
+   unseen, and no pairs are listed.
 
 Two sets with similarity 0.75 share no band with probability (1 - 0.75**4)**32 = 5e-6. Pairs are dropped on bits
-below an estimate of 0.5, more than five standard deviations under 0.75.
+below an estimate of 0.55, more than four standard deviations under 0.75.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +33,13 @@ WORDS, HASHES, BANDS, BITS = 5, 128, 32, 2
 #: Links have 100 * intersection >= LINK * union.
 LINK = 75
 #: Least estimated similarity that full sets are compared at.
-FLOOR = 0.5
-#: Members of a pivot that meet it in one task.
-MEMBERS = 256
+FLOOR = 0.55
+#: Members of a pivot that meet it in one task; members of a bucket that meet each other in the rounds of step 3.
+MEMBERS, BLOCK = 256, 512
+#: Rounds of step 3 after the first.
+ROUNDS = 2
+#: Ids that full sets are fetched for by broadcast; more are fetched by a shuffle of the texts.
+BROADCAST_ROWS = 300_000
 _random = np.random.default_rng(20240229)
 MULTIPLY = (_random.integers(1, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
 ADD = _random.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
@@ -52,7 +60,7 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def _finalised(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: all bits of the result depend on all bits of ``x``."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -69,7 +77,7 @@ def shingles(text: str | None) -> np.ndarray:
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):
         total += hashes[k : len(words) - n + 1 + k] * PLACES[k]
-    return np.unique(_mixed(total))
+    return np.unique(_finalised(total))
 
 
 def minima(hashed: np.ndarray) -> np.ndarray:
@@ -84,7 +92,7 @@ def minima(hashed: np.ndarray) -> np.ndarray:
 def band_keys(least: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band, different for equal minima of different bands."""
     rows = least.reshape(BANDS, HASHES // BANDS).astype(np.uint64)
-    return _mixed((rows * PLACES[: HASHES // BANDS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * PLACES[7]).view(np.int64)
+    return _finalised((rows * PLACES[: HASHES // BANDS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * PLACES[7]).view(np.int64)
 
 
 def packed_bits(least: np.ndarray) -> np.ndarray:
@@ -147,7 +155,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     left = pairs.join(dealt, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("_tasks")).cast("int").alias("_task"), F.lit(False).alias("_pivot"))
     right = dealt.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"), F.lit(True).alias("_pivot"))
     needed = materialise(left.unionByName(right), "minhash-needed")
-    sets = _with_sets(needed.join(docs.select("doc_id", "text"), "doc_id"))
+    sets = _with_sets(_texts_of(docs, needed))
     path = materialise(sets, "minhash-sets")
     members = path.where("not _pivot").select(F.col("doc_id").alias("a"), "b", "_task", F.col("hashes").alias("_ours"))
     pivots = path.where("_pivot").select("b", "_task", F.col("hashes").alias("_theirs"))
@@ -157,6 +165,145 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(links.select("a", "b").distinct(), "minhash-links")
 
 
+def _slices(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Frames of rows sorted by ``keys`` cut into whole groups: (rows, starts, ends)."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        fresh = np.logical_or.reduce([(held[k] != held[k].shift()).to_numpy() for k in keys]) if len(held) else np.zeros(0, bool)
+        ends = np.flatnonzero(fresh)
+        if len(ends) > 1:
+            yield held, ends[:-1], ends[1:]
+            held = held.iloc[ends[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.array([0]), np.array([len(held)])
+
+
+def _likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Estimated similarity of each row of ``one`` with each of ``other``."""
+    differ = sum(np.bitwise_count((one[:, None, k] ^ other[None, :, k]) | (one[:, None, k + 2] ^ other[None, :, k + 2])).astype(np.int32) for k in (0, 1))
+    return (1 - differ / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+
+
+def _nominate(members: DataFrame) -> DataFrame:
+    """``a, b``: for each class its likeliest partner of another component, over the blocks of its buckets.
+
+    ``members`` has ``key, block, rep, component, s0..s3``; rows of a block stream through one task together.
+    """
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _slices(frames, ["key", "block"]):
+            reps, parts, bits = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows[SIGNATURE].to_numpy(np.int64)
+            out_a, out_b, out_sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for start, end in zip(starts, ends, strict=True):
+                own = slice(start, end)
+                sim = _likeness(bits[own], bits[own])
+                sim[parts[own, None] == parts[None, own]] = -1
+                best = sim.argmax(axis=1)
+                sims = sim[np.arange(len(best)), best]
+                good = sims >= FLOOR
+                out_a.append(reps[own][good])
+                out_b.append(reps[own][best[good]])
+                out_sim.append(sims[good])
+            yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "sim": np.concatenate(out_sim)})
+
+    rows = members.select("key", "block", "rep", "component", *SIGNATURE).repartition("key", "block").sortWithinPartitions("key", "block", "rep")
+    found = rows.mapInPandas(pick, "a long, b long, sim double")
+    return found.groupBy("a").agg(F.max_by("b", F.struct("sim", -F.col("b"))).alias("b"))
+
+
+TILE = ["key", "tile_i", "tile_j"]
+
+
+def _tile_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a tile that full sets must be compared for, likeliest first.
+
+    Pairs across components whose estimate reaches FLOOR and whose first shared band is this bucket's; in a tile
+    of two blocks, pairs across the blocks.
+    """
+    parts, bits, blocks = rows["component"].to_numpy(), rows[SIGNATURE].to_numpy(np.int64), rows["block"].to_numpy()
+    sim = _likeness(bits, bits)
+    open_pairs = (sim >= FLOOR) & (parts[:, None] < parts[None, :])
+    if rows["tile_i"].iloc[0] != rows["tile_j"].iloc[0]:
+        open_pairs &= blocks[:, None] != blocks[None, :]
+    a, b = np.nonzero(open_pairs)
+    if len(a):
+        bands = np.array(rows["bands"].tolist(), np.int64)
+        first = np.concatenate([np.argmax(bands[a[k : k + 65536]] == bands[b[k : k + 65536]], axis=1) for k in range(0, len(a), 65536)])
+        mine = bands[a, first] == rows["key"].iloc[0]
+        a, b = a[mine], b[mine]
+    order = np.argsort(-sim[a, b], kind="stable")
+    return a[order], b[order]
+
+
+def _links_across(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b``: links between components of a bucket, enough to join all components that any link joins."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    tiles = members.withColumn("_y", F.explode(blocks)).withColumn("tile_i", F.least("block", "_y")).withColumn("tile_j", F.greatest("block", "_y")).drop("_y", "blocks")
+    kept = [*TILE, "block", "rep", "component", "bands", *SIGNATURE]
+    kinds = "key long, tile_i long, tile_j long, block long, doc_id long, component long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _slices(frames, TILE):
+            out = []
+            for start, end in zip(starts, ends, strict=True):
+                own = rows.iloc[start:end].reset_index(drop=True)
+                a, b = _tile_pairs(own)
+                out.append(own.iloc[np.unique(np.concatenate([a, b]))])
+            yield pd.concat(out).rename(columns={"rep": "doc_id"})
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts, ends in _slices(frames, TILE):
+            found = []
+            for start, end in zip(starts, ends, strict=True):
+                own = rows.iloc[start:end].reset_index(drop=True)
+                ids, parts, sets = own["doc_id"].to_numpy(), own["component"].to_numpy(), own["hashes"].tolist()
+                joined = {x: x for x in parts.tolist()}
+
+                def root(x: int, joined: dict[int, int] = joined) -> int:
+                    while joined[x] != x:
+                        joined[x] = joined[joined[x]]
+                        x = joined[x]
+                    return x
+
+                for a, b in zip(*_tile_pairs(own), strict=True):
+                    p, q = root(parts[a]), root(parts[b])
+                    if p != q:
+                        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * common >= LINK * (len(sets[a]) + len(sets[b]) - common):
+                            joined[max(p, q)] = min(p, q)
+                            found.append((ids[a], ids[b]))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    needed = tiles.select(*kept).repartition(*TILE).sortWithinPartitions(*TILE, "rep").mapInPandas(pick, kinds)
+    needed = materialise(needed, "minhash-needed")
+    sets = _with_sets(_texts_of(docs, needed)).repartition(*TILE).sortWithinPartitions(*TILE, "doc_id")
+    return materialise(sets.mapInPandas(compare, "a long, b long"), "minhash-links")
+
+
+def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """``needed`` with the text of its ``doc_id``.
+
+    Texts of the ids are picked out by broadcast where the ids are few, and else by a shuffle of all texts; then
+    both meet by id.
+    """
+    texts = docs.select("doc_id", "text")
+    ids = materialise(needed.select("doc_id").distinct(), "minhash-ids")
+    few = ids.count() <= BROADCAST_ROWS
+    own = texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else texts.hint("merge").join(ids, "doc_id", "left_semi")
+    return needed.hint("merge").join(own, "doc_id")
+
+
+def _mixed(met: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of buckets that hold more than one component: ``key, rep, component, block, blocks, bands, s0..s3``."""
+    labelled = met.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    labelled = materialise(labelled, "minhash-labelled")
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").select("key", "_n")
+    blocks = F.floor(F.col("_n") / BLOCK) + 1
+    rows = labelled.join(several, "key").select("key", "rep", "component", F.pmod(F.xxhash64("rep"), blocks).alias("block"), blocks.alias("blocks"))
+    return materialise(rows.join(classes.select("rep", "bands", *SIGNATURE), "rep"), "minhash-mixed")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``links`` (a, b), by least labels and pointer jumps."""
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).distinct()
@@ -197,17 +344,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = confirmed(docs, first_pairs)
     found = components(links)
 
-    labelled = met.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = materialise(labelled, "minhash-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = materialise(labelled.join(mixed, "key", "left_semi").join(bits, "rep"), "minhash-mixed")
-    left = members.select("key", F.col("rep").alias("a"), F.col("component").alias("_ca"), *(F.col(s).alias(f"a{s[1]}") for s in SIGNATURE))
-    right = members.select("key", F.col("rep").alias("b"), F.col("component").alias("_cb"), *(F.col(s).alias(f"b{s[1]}") for s in SIGNATURE))
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("_ca") < F.col("_cb")) & (estimate("a", "b") >= FLOOR)).select("a", "b").distinct()
-    seen = first_pairs.select("a", "b").union(first_pairs.select("b", "a"))
-    more = materialise(across.join(seen, ["a", "b"], "left_anti"), "minhash-pairs")
+    seen = first_pairs.select("a", "b")
+    for _ in range(ROUNDS):
+        nominated = _nominate(_mixed(met, found, classes))
+        nominated = materialise(nominated.join(seen.union(seen.select("b", "a")), ["a", "b"], "left_anti"), "minhash-pairs")
+        links = links.unionByName(confirmed(docs, nominated))
+        found = components(links)
+        seen = seen.unionByName(nominated.select("a", "b"))
+
+    more = _links_across(docs, _mixed(met, found, classes))
     if not more.isEmpty():
-        found = components(links.unionByName(confirmed(docs, more)))
+        found = components(links.unionByName(more).distinct())
 
     total = signed.count()
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_digest", "_rows", F.coalesce("component", "rep").alias("component_id"))

@@ -114,14 +114,17 @@ def plan_sequences(histogram: dict[int, int], capacity: int, phases: int = 24, s
     if len(sizes):
         counts = np.array([left[int(x)] for x in sizes], np.float64)
         amounts = configuration_lp(sizes, counts, capacity, phases, slack)
-        # rounding: whole parts first, then the largest fractions, each within what is left
+        # rounding: whole parts first, then fractions of a half and more, each within what is left, and only patterns that
+        # waste no more than the tightest one with the same longest piece
+        waste = {p: capacity - sum(size * n for size, n in p) for p in amounts}
+        tightest: dict[int, int] = {}
+        for pattern, spare in waste.items():
+            tightest[pattern[-1][0]] = min(spare, tightest.get(pattern[-1][0], capacity))
+        tight = [p for p in amounts if waste[p] <= tightest[p[-1][0]] + capacity // 2048]
         for whole in (True, False):
-            order = sorted(amounts, key=lambda p: (-(amounts[p] if whole else amounts[p] % 1), p))
-            for pattern in order:
-                room = min(left[size] // n for size, n in pattern)
-                use = min(room, int(amounts[pattern]) if whole else 1)
-                filled = sum(size * n for size, n in pattern)
-                if use and (whole or filled >= capacity * (1 - slack / 4)):
+            for pattern in sorted(tight, key=lambda p: (-(amounts[p] if whole else amounts[p] % 1), p)):
+                use = min(min(left[size] // n for size, n in pattern), int(amounts[pattern]) if whole else round(amounts[pattern] % 1))
+                if use:
                     plan.append((pattern, use))
                     for size, n in pattern:
                         left[size] -= use * n

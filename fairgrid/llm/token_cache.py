@@ -99,7 +99,7 @@ class PieceIds:
     def _parts(piece: str) -> list[str]:
         """What ``piece`` is made of, where the parts encode alone."""
         bare = piece[1:] if piece[:1] == " " else piece
-        if bare[-1:] in (".", ",") and bare[:-1].isalpha():
+        if bare[-1:] in (".", ",") and bare[:-1].lower().isalpha():  # a letter may lower to a letter and a mark
             return [piece[:-1], bare[-1]]
         found = PART.findall(piece)
         return found if len(found) > 1 and "".join(found) == piece and not TWO_SPACES.search(piece) else [piece]

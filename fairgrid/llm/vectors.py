@@ -197,11 +197,12 @@ def calibrate(tree: Tree, placed: DataFrame, k: int, recall: float, queries: int
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, branches: int = 8, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, branches: int = 8, leaves: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The k nearest rows found for each query row: ``query_id, rank, vec_id, score``.
 
-    The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed.
+    The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed. The
+    number of leaves doesn't grow with the table, so neither do a query's visits; large leaves are cut into blocks.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id.
     Rows repeated under one id are one candidate. Vectors of another length than most are an error. An empty
     table gives an empty result; other columns are not read.
@@ -213,7 +214,7 @@ def search(
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * 1.2 * sample_rows / total) + 1)))
     sample = _matrix(sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()["v"], dimensions)
-    tree = fit_tree(sample, float(reach), branches, leaves=int(np.clip(total // 200, 8, 1024)))
+    tree = fit_tree(sample, float(reach), branches, leaves)
 
     @F.pandas_udf("long")
     def leaf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

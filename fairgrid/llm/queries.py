@@ -39,4 +39,4 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express."""
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op7_warc": warc.OP7_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op7_warc": warc.OP7_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL}

@@ -1,4 +1,4 @@
-"""Session helpers: the package on the executors."""
+"""Session helpers: the package on the executors, Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch; Spark's own bound of 10 000 rows lets long texts fill a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once an application, by ``addPyFile``."""
+    """Make this package importable in Python workers, once an application, by ``addPyFile``, and bound Arrow batches by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_table: dict[tuple, Any] = {}
+
+
+def worker_table(key: tuple, make: Callable[[], Any]) -> Any:
+    """The table ``key`` of this Python worker; workers serve many stages, and each holds one table at a time."""
+    if key not in _table:
+        _table.clear()
+        _table[key] = make()
+    return _table[key]
+
+
+def release_table() -> None:
+    """Let go of what an earlier stage left in this Python worker."""
+    _table.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

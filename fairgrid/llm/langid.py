@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.llm.common import documents, id_crc
+from fairgrid.llm.common import documents, id_crc, release_table
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -104,6 +104,7 @@ def predictor(model: LanguageModel, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_table()
         sizes = _Sizes(model)
         names = sizes.languages
         for texts in series:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.llm.common import documents, materialise
+from fairgrid.llm.common import documents, materialise, worker_table
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 2
 #: Links have 100 * intersection >= LINK * union.
@@ -57,9 +57,6 @@ class _WordHashes(dict):
         return out
 
 
-_words = _WordHashes()
-
-
 def _finalised(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: all bits of the result depend on all bits of ``x``."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -72,7 +69,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(worker_table(("word-hashes",), _WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(words))
     total = np.full(len(words) - n + 1, n, np.uint64)
     for k in range(n):

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from fairgrid.llm.common import worker_table
+
 #: Texts with two white-space characters in a row, one beyond ASCII, or the start of a special token's string are
 #: cut by PIECE, others at each space.
 ODD_SPACES = r"<\||[\t-\r ]{2}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -163,12 +165,6 @@ class PieceIds:
         return ids, np.concatenate([[0], totals])[ends]
 
 
-_held: dict[str, PieceIds] = {}
-
-
 def piece_ids(path: str) -> PieceIds:
     """One per Python worker and tokenizer: workers are reused from task to task."""
-    if path not in _held:
-        _held.clear()
-        _held[path] = PieceIds(path)
-    return _held[path]
+    return worker_table(("piece-ids", path), lambda: PieceIds(path))

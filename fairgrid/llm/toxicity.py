@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.llm.common import documents, id_crc
+from fairgrid.llm.common import documents, id_crc, release_table
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"«»“”„]")
 CLAUSE_END = frozenset(".!?;:\n")
@@ -194,6 +194,7 @@ def scorer(model: ToxicityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_table()
         insult = InsultTransducer(model)
         weights = np.array(model.coefficients)
         for texts in series:

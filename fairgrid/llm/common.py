@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ def worker_table(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 def release_table() -> None:
-    """Let go of what an earlier stage left in this Python worker."""
+    """Let go of the table in this Python worker and of memory that Arrow keeps for later."""
     _table.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.llm.common import documents, materialise, worker_table
+from fairgrid.llm.common import documents, materialise, release_table, worker_table
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 2
 #: Links have 100 * intersection >= LINK * union.
@@ -51,7 +51,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, each computed once until the table is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(planes[:, k]) for k in range(4))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_digest", "bands", *SIGNATURE])
+        release_table()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n_shingles long, set_digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long")
@@ -138,6 +139,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
             sets = [shingles(x.as_py()).view(np.int64) for x in batch.column(at)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns) if k != at), lists], names=[*(n for n in batch.schema.names if n != "text"), "hashes"])
+        release_table()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(add, f"{kept}, hashes array<long>")
@@ -177,9 +179,13 @@ def _slices(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[p
 
 
 def _likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Estimated similarity of each row of ``one`` with each of ``other``."""
-    differ = sum(np.bitwise_count((one[:, None, k] ^ other[None, :, k]) | (one[:, None, k + 2] ^ other[None, :, k + 2])).astype(np.int32) for k in (0, 1))
-    return (1 - differ / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+    """Estimated similarity of each row of ``one`` with each of ``other``, a few rows at a time."""
+    out = np.empty((len(one), len(other)), np.float32)
+    for at in range(0, len(one), 64):
+        own = one[at : at + 64, None]
+        differ = sum(np.bitwise_count((own[..., k] ^ other[None, :, k]) | (own[..., k + 2] ^ other[None, :, k + 2])) for k in (0, 1))  # 128 at most
+        out[at : at + 64] = (1 - differ / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
+    return out
 
 
 def _nominate(members: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ LONGEST = 64
 class PieceIds:
     """Ids of pieces as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, entries: int = 800_000, batch_bytes: int = 1 << 18):
+    def __init__(self, path: str, entries: int = 250_000, batch_bytes: int = 1 << 18):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

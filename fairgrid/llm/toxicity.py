@@ -59,7 +59,7 @@ class InsultTransducer(dict):
     def __missing__(self, word: str) -> float:
         held = self.model.lexicon
         found = [held.get(word + "$", 0.0), *(held.get(word[:n], 0.0) for n in range(self.model.shortest, min(len(word), self.model.longest) + 1))]
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         out = self[word] = max(found)
         return out

@@ -8,7 +8,6 @@ in a bounded dictionary, and those not seen before go to the library's batch cal
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -40,11 +39,10 @@ class PieceIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.entries, self.batch_bytes = entries, batch_bytes
-        model = json.loads(self.tokenizer.to_str())
         #: With a lower-casing tokenizer, ASCII letters are lower-cased before look-up.
-        self.lower = "Lowercase" in json.dumps(model["normalizer"])
-        suffix = model["model"].get("end_of_word_suffix")
-        ids = model["model"]["vocab"]
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ids = self.tokenizer.get_vocab(with_added_tokens=False)
         self.bounds = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a word, or else that start one
         self.ends = bool(suffix)
         self.bounds[[i for token, i in ids.items() if (token.endswith(suffix) if suffix else token.startswith("Ġ"))]] = True
@@ -125,7 +123,7 @@ class PieceIds:
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < len(texts):
-            limit = (sizes[start - 1] if start else 0) + 16 * self.batch_bytes
+            limit = (sizes[start - 1] if start else 0) + 4 * self.batch_bytes
             stop = max(start + 1, int(np.searchsorted(sizes, limit, "right")))
             yield self._group(texts.slice(start, stop - start))
             start = stop

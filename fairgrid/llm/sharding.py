@@ -1,56 +1,143 @@
 """Sharding: balanced label propagation over links of equal text, in DataFrames only.
 
 Documents with equal texts are linked. All members of such a group have the same neighbours, so labels are kept as
-cells (group, shard, members): a group with a third of all rows is a handful of rows. Each round, members move to
-the shard with room that holds most of their neighbours; moves are accepted in order of gain while there is room,
-counted over (shard, gain) classes so that no task ranks all moves. Groups start where a hash deals
-them and end on few shards; documents without links then fill every shard to its exact quota.
+cells (group, shard, members). Groups with a thousandth of all rows or more, a thousand at most, are seeds: they are
+placed largest first where they fit best, and split over the emptiest shards only where none has room for the whole.
+The other groups start where a hash deals their members. Each round, members move to the shard where most of their
+neighbours are, accepted in order of gain, and shards may hold more than their quota meanwhile; rounds end when the
+number of cut links stops falling. The excess is then given back in whole groups, laid one after another into what is
+free, so that no more groups of this kind are cut than there are shards. Documents without links fill every shard to
+its exact quota.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from bisect import insort
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairgrid.llm.common import documents, materialise, positions, rank_buckets
 
 #: Moves of equal gain are accepted in this many hash classes.
 LANES = 64
-#: A shard with no more room than this part of its quota takes no more groups; rows without links fill it.
-FULL = 50
+#: While labels move, a shard may hold its quota and this part of it more.
+SLACK = 4
+
+
+def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the driver's ``rows``, without Python on the executors."""
+    told = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.explode(told).alias("_t")).select("_t.*")
+
+
+def _place(groups: list[tuple[str, int]], room: list[int]) -> list[dict]:
+    """Cells of ``groups`` (link, members), largest first, each in the shard that it fits best; ``room`` shrinks.
+
+    What fits nowhere fills the shard with most room and goes on with the rest.
+    """
+    cells = []
+    free = sorted((n, shard) for shard, n in enumerate(room) if n)
+    for link, members in sorted(groups, key=lambda x: (-x[1], x[0])):
+        while members and free:
+            at = next((k for k, (n, _) in enumerate(free) if n >= members), len(free) - 1)
+            n, shard = free.pop(at)
+            part = min(n, members)
+            cells.append({"link": link, "shard": shard, "n": part})
+            members -= part
+            room[shard] -= part
+            if n > part:
+                insort(free, (n - part, shard))
+    return cells
+
+
+def _ends(sizes: list[int]) -> list[int]:
+    return [sum(sizes[: k + 1]) for k in range(len(sizes))]
 
 
-def _cells(members: DataFrame, shards: int) -> DataFrame:
-    """Start labels: each member goes where the hash of its doc_id says."""
-    return members.groupBy("link", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+def _shard_of(place: Column, ends: list[int]) -> Column:
+    """The shard whose span of ``ends`` holds ``place``."""
+    return F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= place)).cast("int")
 
 
-def _round(cells: DataFrame, quota: DataFrame) -> DataFrame:
+def _offsets(cells: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Add ``_start``: the members of cells before each one among those with its ``keys``."""
+    dealt = cells.withColumn("_bucket", F.pmod(F.xxhash64("link", F.lit(3)), F.lit(buckets)).cast("int"))
+    by = [*keys, "_bucket"]
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by).agg(F.sum("n").alias("_sum")).withColumn("_first", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*by).orderBy("link").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(starts, by).withColumn("_start", F.col("_first") + F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("_bucket", "_first")
+
+
+def _cells(members: DataFrame, room: list[int]) -> DataFrame:
+    """Start labels: each member goes where the hash of its doc_id says, in proportion to the shards' room."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(max(1, sum(room))))
+    return members.groupBy("link", _shard_of(place, _ends(room)).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _round(cells: DataFrame, limits: DataFrame) -> DataFrame:
     """One round of label propagation: ``cells`` with the accepted moves made.
 
-    Members of a cell move to the shard with room where most of their neighbours are, if more are there than
-    here. Moves are accepted class by class, most neighbours first; where a class outgrows the room that is left,
-    each of its cells sends its share, rounded up; the few rows over a quota are moved on in the end.
+    Members of a cell move to the shard under its limit where most of their neighbours are, if more are there than
+    here. Moves are accepted class by class, most neighbours first, until the limit is reached.
     """
     used = cells.groupBy("shard").agg(F.sum("n").alias("_used"))  # a row for each shard
-    room = quota.join(F.broadcast(used), "shard", "left").select("shard", "quota", (F.col("quota") - F.coalesce("_used", F.lit(0))).alias("_room"))
+    room = limits.join(F.broadcast(used), "shard", "left").select("shard", (F.col("limit") - F.coalesce("_used", F.lit(0))).alias("_room"))
     order = F.struct("n", F.xxhash64("link", "shard").alias("h"), "shard")
-    best = F.max(F.when(F.col("_room") * FULL > F.col("quota"), order)).over(Window.partitionBy("link"))
+    best = F.max(F.when(F.col("_room") > 0, order)).over(Window.partitionBy("link"))
     wished = cells.join(F.broadcast(room), "shard").withColumn("_best", best)
     moves = wished.select("link", "shard", "n", F.coalesce(F.col("_best") > order, F.lit(False)).alias("_moves"), F.col("_best.shard").alias("_to"), F.col("_best.n").alias("_most"))
     moves = moves.withColumn("_class", F.floor(F.log2(F.greatest("_most", F.lit(1)))).cast("int")).withColumn("_lane", F.pmod(F.xxhash64("link"), F.lit(LANES)).cast("int"))
     in_order = Window.partitionBy("_to").orderBy(F.desc("_class"), "_lane").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wanted = moves.where("_moves").groupBy("_to", "_class", "_lane").agg(F.sum("n").alias("_wanted")).withColumn("_upto", F.sum("_wanted").over(in_order))
-    left = F.col("_room") - F.col("_upto") + F.col("_wanted")
-    granted = wanted.join(F.broadcast(room.withColumnRenamed("shard", "_to")), "_to")  # shards, classes and lanes: a few thousand rows
-    granted = granted.select("_to", "_class", "_lane", F.greatest(F.least(left / F.col("_wanted"), F.lit(1.0)), F.lit(0.0)).alias("_share"))
+    granted = wanted.join(F.broadcast(room.withColumnRenamed("shard", "_to")), "_to").where(F.col("_upto") - F.col("_wanted") < F.col("_room"))
+    granted = granted.select("_to", "_class", "_lane", F.lit(True).alias("_granted"))  # shards, classes and lanes: a few thousand rows
     told = moves.join(F.broadcast(granted), ["_to", "_class", "_lane"], "left")
-    gone = F.when(F.col("_moves"), F.ceil(F.col("n") * F.coalesce("_share", F.lit(0.0)) - 1e-9)).otherwise(F.lit(0)).cast("long")
-    parts = told.select("link", F.explode(F.array(F.struct(F.col("shard").alias("shard"), (F.col("n") - gone).alias("n")), F.struct(F.col("_to").alias("shard"), gone.alias("n")))).alias("_c"))
-    return parts.select("link", "_c.shard", "_c.n").where("n > 0").groupBy("link", "shard").agg(F.sum("n").alias("n"))
+    shard = F.when(F.col("_moves") & F.col("_granted"), F.col("_to")).otherwise(F.col("shard"))
+    return told.groupBy("link", shard.alias("shard")).agg(F.sum("n").alias("n"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
+def _propagate(cells: DataFrame, room: list[int]) -> DataFrame:
+    """Rounds of label propagation until the number of cut links stops falling."""
+    limits = _table(cells.sparkSession, [{"shard": k, "limit": n + -(-n // SLACK)} for k, n in enumerate(room)], "shard int, limit long")
+    kept = -1
+    while True:
+        # links within shards; each round that moves anything adds to them
+        now = cells.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1)), F.lit(0))).first()[0]
+        if now <= kept:
+            return cells
+        kept = now
+        cells = materialise(_round(cells, limits), "shard-cells")
+
+
+def _give_back(cells: DataFrame, room: list[int], buckets: int) -> DataFrame:
+    """``cells`` within ``room``: groups beyond it, and groups still cut, are laid whole into what is free.
+
+    The few that would lie across the end of a shard's room are placed like the seeds.
+    """
+    spark = cells.sparkSession
+    by_shard = lambda df: {r[0]: r[1] for r in df.groupBy("shard").agg(F.sum("n")).collect()}
+    groups = materialise(cells.groupBy("link").agg(F.count(F.lit(1)).alias("_shards"), F.min("shard").alias("shard"), F.sum("n").alias("n")), "shard-groups")
+    whole = _offsets(groups.where("_shards = 1"), ["shard"], buckets)
+    limits = _table(spark, [{"shard": k, "limit": n} for k, n in enumerate(room)], "shard int, limit long")
+    seen = materialise(whole.join(F.broadcast(limits), "shard").select("link", "shard", "n", (F.col("_start") + F.col("n") <= F.col("limit")).alias("_stays")), "shard-whole")
+    stay = seen.where("_stays").select("link", "shard", "n")
+    stayed = by_shard(stay)
+    holes = [n - stayed.get(k, 0) for k, n in enumerate(room)]
+    ends = _ends(holes)
+    pool = materialise(groups.where("_shards > 1").select("link", "n").unionByName(seen.where("not _stays").select("link", "n")).withColumn("_all", F.lit(0)), "shard-loose")
+    last = _shard_of(F.col("_start") + F.col("n") - 1, ends)
+    laid = materialise(_offsets(pool, ["_all"], buckets).select("link", "n", _shard_of(F.col("_start"), ends).alias("shard"), last.alias("_last")), "shard-laid")
+    inside = laid.where("shard = _last").select("link", "shard", "n")
+    filled = by_shard(inside)
+    across = [(r[0], r[1]) for r in laid.where("shard < _last").select("link", "n").collect()]  # fewer than the shards
+    split = _place(across, [n - filled.get(k, 0) for k, n in enumerate(holes)])
+    return stay.unionByName(inside).unionByName(_table(spark, split, "link string, shard int, n long"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Place every row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``; the law is ``rows``.
 
     Shards differ by at most one row. ``size`` is the text's UTF-8 bytes plus 1 (null: 1), null texts count as
@@ -74,13 +161,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFr
 
     sizes = base.groupBy("link").agg(F.count(F.lit(1)).alias("_members")).where("_members > 1")
     # groups of a thousandth of all rows are few enough to broadcast, so no join key is hot
-    hot = sizes.where(F.col("_members") * 1000 >= total).select("link", F.lit(True).alias("_hot"))
+    large = [(r[0], r[1]) for r in sizes.where(F.col("_members") * 1000 >= total).collect()]
+    hot = _table(spark, [{"link": link} for link, _ in large], "link string").withColumn("_hot", F.lit(True))
     marked = base.join(F.broadcast(hot), "link", "left")
     linked = marked.where("_hot").drop("_hot").unionByName(marked.where("_hot is null").drop("_hot").join(sizes.select("link"), "link", "left_semi"))
     linked = materialise(linked, "shard-linked")
-    cells = materialise(_cells(linked, shards), "shard-cells")
-    for _ in range(rounds):
-        cells = materialise(_round(cells, quota), "shard-cells")
+    room = [total // shards + (k < total % shards) for k in range(shards)]
+    seeds = _table(spark, _place(large, room), "link string, shard int, n long")
+    light = linked.join(F.broadcast(hot), "link", "left_anti")
+    cells = _propagate(materialise(_cells(light, room), "shard-cells"), room)
+    cells = materialise(seeds.unionByName(_give_back(cells, room, buckets)), "shard-cells")
 
     # members of a group are alike: their rank in the group picks the cell
     ends = Window.partitionBy("link").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -132,3 +132,30 @@ def test_sharding_keeps_groups_together(spark):
     pairs = [x for t, x in where.items() if t.startswith("pair")]
     assert sum(len(x) == 1 for x in pairs) >= 0.9 * len(pairs)
     assert len(AWKWARD) == 18
+
+
+def shards_by_text(spark, texts, shards=8):
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shards).collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got) == len(rows)
+    where, counts = defaultdict(Counter), Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    for r in got:
+        where[texts[r.doc_id]][r.shard] += 1
+    return where
+
+
+def test_sharding_of_pairs_only(spark):
+    where = shards_by_text(spark, [f"pair {i // 2}" for i in range(6400)])
+    assert sum(len(x) > 1 for x in where.values()) <= 8
+
+
+def test_sharding_of_copies_only_in_uneven_groups(spark):
+    where = shards_by_text(spark, [f"group {min(i, 6006 - i) // 3} {i % 2}" for i in range(6007)], 7)
+    assert sum(len(x) > 1 for t, x in where.items() if sum(x.values()) > 1) <= 7
+
+
+def test_sharding_of_a_group_of_a_third(spark):
+    where = shards_by_text(spark, ["hot"] * 2000 + [f"pair {i // 2}" for i in range(4000)])
+    assert sorted(where["hot"].values()) == [500, 750, 750]  # quotas of 750
+    assert sum(len(x) > 1 for x in where.values()) <= 9

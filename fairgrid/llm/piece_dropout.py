@@ -1,16 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 The merge-type (BPE) segmentation is run here with an agenda of candidate merges, best piece score first. Each
-candidate is skipped when a keyed hash of the seed, the draw, the word and the candidate falls under the dropout
-rate, so the same seed always gives the same segmentation, another seed or draw another one, and rate 0 the
-library's own. Any segmentation decodes to the text it came from: the model's normaliser is the identity, unknown
-characters fall back to bytes, and the word mark U+2581 inside a text is written as bytes.
+candidate is skipped with the dropout rate, drawn by a keyed hash of the seed, the draw, the text, the word's place in
+it and the candidate's number in order of appearance: every occurrence of a word is drawn by itself, the same seed
+always gives the same segmentation, another seed or draw another one, and rate 0 the library's own. The hash gives the
+numbers of the skipped candidates, as gaps of the geometric law, and a word's segmentation depends on these only,
+so that it is kept by word and skipped numbers. Any segmentation decodes to the text it came from: the model's
+normaliser is the identity, unknown characters fall back to bytes, and the word mark U+2581 inside a text is written
+as bytes.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +33,25 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+#: Words of more symbols are segmented with a heap.
+LONG = 48
+NEVER = 1 << 40
+#: Words whose skips are drawn at once, and skips drawn for each of them; further ones are drawn one by one.
+DRAWN, FIRST = 8192, 3
+GOLDEN, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _mixed(x):
+    """The 64-bit finaliser of splitmix64, for arrays of unsigned integers and for integers under 2**64."""
+    one = isinstance(x, int)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = x ^ (x >> shift)
+        x = x * factor & ALL if one else x * np.uint64(factor)
+    return x ^ (x >> 31)
+
+
 class DropoutEncoder:
-    """Encodes with one model, seed and rate; words are segmented once for each draw while the table has room."""
+    """Encodes with one model, seed and rate; ``entries`` segmentations are kept by word and skipped candidates."""
 
     def __init__(self, model_path: str, rate: float, seed: int, draws: int, entries: int = 250_000):
         import sentencepiece
@@ -40,68 +62,157 @@ class DropoutEncoder:
         self.pieces = sorted(self.ids, key=lambda x: (-self.library.get_score(self.ids[x]), x))
         self.ranks = {piece: rank for rank, piece in enumerate(self.pieces)}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.threshold = int(rate * 2**32)
+        self.log_kept = -math.inf if rate >= 1 else math.log1p(-rate) if rate > 0 else 0.0
         self.seed, self.draws, self.entries = seed, max(1, draws), entries
-        self.held: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+        #: word: [ids, candidates seen, {next skipped candidate: the same again}]
+        self.held: dict[str, list] = {}
+        self.size = 0
+
+    def _skips(self, key: int, start: int, n: int) -> list[list[int]]:
+        """The first skipped candidates of the words at ``start`` to ``start + n`` of the text with ``key``, FIRST columns."""
+        if not self.log_kept:
+            return [[NEVER] * n] * FIRST
+        place = (np.arange(start, start + n, dtype=np.uint64) + np.uint64(1)) * np.uint64(GOLDEN) + np.uint64(key)
+        columns, at = [], np.full(n, -1, np.int64)
+        for k in range(FIRST):
+            u = ((_mixed(_mixed(place) + np.uint64(k)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
+            at = at + 1 + np.minimum(np.floor(np.log(u) / self.log_kept), 1 << 30).astype(np.int64)
+            columns.append(at.tolist())
+        return columns
 
-    def segment(self, word: str, draw: int) -> list[str]:
-        """Pieces of one word by agenda: the best-scored adjacent pair first, leftmost of equals.
+    def _skip(self, skips: list[int], k: int, key: int, place: int) -> int:
+        """The skip numbered ``k`` of one word, drawn when it is asked for."""
+        while len(skips) <= k:
+            if not self.log_kept:
+                return NEVER
+            u = ((_mixed((_mixed(((place + 1) * GOLDEN + key) & ALL) + len(skips)) & ALL) >> 11) + 0.5) / 2**53
+            skips.append(skips[-1] + 1 + min(math.floor(math.log(u) / self.log_kept), 1 << 30))
+        return skips[k]
 
-        An agenda entry is the merged piece's rank and the place of its left part, in one integer.
-        """
-        ranks, pieces, threshold = self.ranks, self.pieces, self.threshold
+    def segment(self, word: str, skips: list[int], key: int = 0, place: int = 0) -> tuple[list[str], int, int]:
+        """Pieces of one word, the best-scored adjacent pair first, leftmost of equals; candidates seen; skips met."""
+        if len(word) > LONG:
+            return self._segment_long(word, skips, key, place)
+        ranks, pieces = self.ranks, self.pieces
+        symbols = list(word)
+        seen = met = 0
+        skip = skips[0]
+        live = []  # ranks of the candidates by the place of their left part
+        for left, right in zip(symbols, symbols[1:]):
+            rank = ranks.get(left + right, NEVER)
+            if rank != NEVER:
+                if seen == skip:
+                    rank, met = NEVER, met + 1
+                    skip = self._skip(skips, met, key, place)
+                seen += 1
+            live.append(rank)
+        while live:
+            best = min(live)
+            if best == NEVER:
+                break
+            at = live.index(best)
+            symbols[at] = pieces[best]
+            del symbols[at + 1], live[at]
+            for left in (at - 1, at):
+                if 0 <= left < len(live):
+                    rank = ranks.get(symbols[left] + symbols[left + 1], NEVER)
+                    if rank != NEVER:
+                        if seen == skip:
+                            rank, met = NEVER, met + 1
+                            skip = self._skip(skips, met, key, place)
+                        seen += 1
+                    live[left] = rank
+        return symbols, seen, met
+
+    def _segment_long(self, word: str, skips: list[int], key: int, place: int) -> tuple[list[str], int, int]:
+        """The same by a heap of the candidates' ranks and places, each pair in one integer."""
+        ranks, pieces = self.ranks, self.pieces
         n = len(word)
         symbols: list[str] = [*word, ""]
         before, after = list(range(-1, n)), list(range(1, n + 2))
-        key = xxhash.xxh64_intdigest(f"{self.seed}:{draw}:{word}") if threshold else 0
+        live = [NEVER] * n
         agenda: list[int] = []
+        seen = met = 0
         fresh = range(n - 1)
         while True:
             for left in fresh:
-                rank = ranks.get(symbols[left] + symbols[after[left]]) if 0 <= left and after[left] < n else None
-                # the keyed hash of this candidate decides whether it is skipped
-                if rank is not None and ((key ^ (left * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 >> 30) & 0xFFFFFFFF >= threshold:
-                    heapq.heappush(agenda, rank << 32 | left)
+                if left < 0:
+                    continue
+                rank = ranks.get(symbols[left] + symbols[after[left]], NEVER) if after[left] < n else NEVER
+                if rank != NEVER:
+                    if seen == self._skip(skips, met, key, place):
+                        rank, met = NEVER, met + 1
+                    else:
+                        heapq.heappush(agenda, rank << 32 | left)
+                    seen += 1
+                live[left] = rank
             while agenda:
                 top = heapq.heappop(agenda)
                 left = top & 0xFFFFFFFF
-                right = after[left]
-                joined = pieces[top >> 32]
-                if symbols[left] and right < n and symbols[left] + symbols[right] == joined:
+                if live[left] == top >> 32:
                     break
             else:
-                return [x for x in symbols if x]
-            symbols[left], symbols[right] = joined, ""
+                return [x for x in symbols if x], seen, met
+            right = after[left]
+            symbols[left], symbols[right] = pieces[top >> 32], ""
+            live[left] = live[right] = NEVER
             after[left] = after[right]
             before[after[right]] = left
             fresh = (before[left], left)
 
-    def _word_ids(self, word: str, draw: int) -> bytes:
+    def _word_ids(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.segment(word, draw):
+        for piece in pieces:
             known = self.ids.get(piece)
-            out += [known] if known is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return np.array(out, "<u4").tobytes()
+            if known is not None:
+                out.append(known)
+            else:
+                out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _drawn(self, word: str, skips: list[int], key: int, place: int) -> bytes:
+        """Ids of one occurrence with its own skips."""
+        depth, above, node = 0, None, self.held.get(word)
+        while node is not None:
+            skip = self._skip(skips, depth, key, place)
+            if skip >= node[1]:
+                return node[0]
+            depth, above, node = depth + 1, node, node[2] and node[2].get(skip)
+        pieces, seen, met = self.segment(word, skips, key, place)
+        ids = self._word_ids(pieces)
+        if met == depth and len(word) <= LONG:  # its forerunners are kept, so it can be found
+            if self.size >= self.entries:
+                self.held.clear()
+                self.size = 0
+            if above is None:
+                self.held[word] = [ids, seen, None]
+            else:
+                above[2] = above[2] or {}
+                above[2][skips[depth - 1]] = [ids, seen, None]
+            self.size += 1
+        return ids
 
     def encode(self, text: str, draw: int = 0) -> bytes:
         """Ids as little-endian unsigned 32-bit; the empty text has none."""
         if not text:
             return b""
-        held = self.held[draw]
-        if sum(map(len, self.held)) > self.entries:
-            for table in self.held:
-                table.clear()
+        key = xxhash.xxh64_intdigest(f"{self.seed}:{draw}:".encode() + text.encode("utf-8", "surrogatepass"))
         mark_bytes = np.array([self.bytes[b] for b in MARK.encode()], "<u4").tobytes()
-        out = []
+        words: list[str | None] = []
         for k, part in enumerate(text.split(MARK)):
             if k:
-                out.append(mark_bytes)
+                words.append(None)  # a mark of the text's own
             escaped = part.replace(" ", MARK)
-            for word in WORD.findall(escaped if k else MARK + escaped):
-                ids = held.get(word)
-                if ids is None:
-                    ids = held[word] = self._word_ids(word, draw)
-                out.append(ids)
+            words += WORD.findall(escaped if k else MARK + escaped)
+        out, held = [], self.held
+        for start in range(0, len(words), DRAWN):
+            own = words[start : start + DRAWN]
+            for place, (word, *skips) in enumerate(zip(own, *self._skips(key, start, len(own))), start):
+                node = held.get(word)
+                if node is not None and skips[0] >= node[1]:
+                    out.append(node[0])
+                else:
+                    out.append(mark_bytes if word is None else self._drawn(word, skips, key, place))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -114,8 +225,9 @@ def _encoder(*key) -> DropoutEncoder:
 
 
 def encode_dropout(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0, draws: int = 2) -> DataFrame:
-    """``doc_id, draw, ids``: whole texts, each by one of ``draws`` segmentations, chosen by a hash of seed and text.
+    """``doc_id, draw, ids``: whole texts, each word's occurrence drawn by itself.
 
+    ``draw``, one of ``draws`` chosen by a hash of seed and text, is a part of the key. Equal texts are drawn alike.
     Null and empty texts have no ids. Repeated rows give repeated rows; other columns are not read.
     """
 

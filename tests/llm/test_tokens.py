@@ -100,6 +100,32 @@ def test_no_dropout_is_the_library(docs):
         assert np.frombuffer(encoder.encode(r.text), "<u4").tolist() == encoder.library.encode(r.text)
 
 
+def test_dropout_draws_each_occurrence():
+    word, times = "▁international", 3000
+    encoder = piece_dropout.DropoutEncoder(PIECES, 0.1, 7, 2)
+    text = " ".join(["international"] * times)
+    got = encoder.encode(text)
+    assert encoder.decode(got) == text
+    pieces = Counter("|".join(map(encoder.library.id_to_piece, np.frombuffer(got, "<u4").tolist())).replace("|▁", "\n▁").split("\n"))
+    assert sum(pieces.values()) == times and len(pieces) > 20
+    _, seen, _ = encoder.segment(word, [piece_dropout.NEVER])
+    clean = (1 - 0.1) ** seen  # no candidate skipped; other draws can lead to the same pieces
+    assert pieces[word] / times > clean - 4 * (clean * (1 - clean) / times) ** 0.5
+    assert max(v for k, v in pieces.items() if k != word) < times / 4
+    # another text with the same word at the same place, and the same text without kept segmentations
+    assert len({encoder.encode(f"international {k}")[:8] for k in range(200)}) > 4
+    assert piece_dropout.DropoutEncoder(PIECES, 0.1, 7, 2, entries=0).encode(text) == got
+
+
+def test_dropout_of_long_words_is_the_same():
+    random.seed(3)
+    encoder = piece_dropout.DropoutEncoder(PIECES, 0.2, 7, 2)
+    for n in range(300):
+        word = "".join(random.choices("theinsoar", k=random.randint(1, piece_dropout.LONG)))
+        skips = [c[0] for c in encoder._skips(n, 5, 1)]
+        assert encoder.segment(word, [*skips], n, 5) == encoder._segment_long(word, [*skips], n, 5)
+
+
 def test_language_held_out(spark, small):
     got = langid.op1_language_id(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id").collect()
     assert len(got) == 200

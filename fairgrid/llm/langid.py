@@ -2,7 +2,8 @@
 
 For each language a raw-content zstandard dictionary is put together from a bounded sample of labelled texts. A text
 is lower-cased, reduced to its letters and compressed block by block with each dictionary; the language with the
-smallest total wins, and the text is rejected when the runner-up comes too close.
+smallest total wins, and the text is rejected when the runner-up comes too close. How close is calibrated on labelled
+texts that are held back and on random letters in their place.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 BLOCK = 512
 #: Texts whose margin is under CLOSE are measured again at CLOSE_LEVEL with each of PARTS parts of the dictionaries, a finer scale.
 CLOSE, CLOSE_LEVEL, PARTS = 0.05, 12, 4
+#: Every HELD_BACK-th sampled text calibrates the margin, with dictionaries of the others; under LEAST texts nothing is calibrated.
+HELD_BACK, LEAST = 5, 20
+#: Random texts that one clean text outweighs in the calibration.
+CLEAN = 20
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,7 @@ class LanguageModel:
 
     content: dict[str, bytes]
     level: int = 9
-    #: Least margin, as a share of the runner-up's size, that is not rejected.
+    #: Least margin, as a share of the runner-up's size, that is not rejected; ``fit`` calibrates it.
     margin: float = 0.001
 
 
@@ -41,12 +46,41 @@ def _letters(text: str) -> bytes:
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
+def _gibberish(text: str, letters: list[str], rng: np.random.RandomState) -> str:
+    """Words as long as those of ``text``, of random ``letters``."""
+    return " ".join("".join(letters[k] for k in rng.randint(len(letters), size=len(w))) for w in NOT_LETTERS.sub(" ", text.lower()).split())
+
+
+def calibrate(samples: dict[str, list[str]], each: int, level: int, default: float) -> float:
+    """The margin between those of random letters and those of clean texts, from ``samples`` of each language.
+
+    It lies in the gap that rejects most random texts and fewest clean ones, which count CLEAN times as much.
+    """
+    held = [x for own in samples.values() for x in own[::HELD_BACK] if _letters(x)]
+    content = {lang: b" ".join(_letters(x)[: 4 * each] for k, x in enumerate(own) if k % HELD_BACK) for lang, own in samples.items()}
+    content = {lang: data for lang, data in content.items() if data}
+    if len(content) < 2 or len(held) < LEAST:
+        return default
+    sizes = _Sizes(LanguageModel(content, level))
+    letters = sorted({c for x in held for c in NOT_LETTERS.sub("", x.lower())})
+    rng = np.random.RandomState(7)
+
+    def margins(texts: list[str]) -> list[float]:
+        return [float(1 - got[0] / got[1]) for got in (np.sort(sizes.of(x)) for x in texts)]
+
+    random, clean = np.sort(margins([_gibberish(x, letters, rng) for x in held])), np.sort(margins(held))
+    at = np.unique(np.maximum(np.concatenate([[default], random, clean]), default))
+    worth = np.searchsorted(random, at, "right") - CLEAN * np.searchsorted(clean, at, "right")  # of a margin just above
+    best = int(np.argmax(worth))
+    return float(np.sqrt(at[best] * at[min(best + 1, len(at) - 1)]))
+
+
 def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112 << 10, level: int = 9) -> LanguageModel:
     """Dictionaries from ``examples`` (doc_id, text, lang).
 
     Counts of each language cover all rows. Content is taken from at most ``sample_docs`` texts a language, those
     with the least hash, and at most ``dictionary_bytes`` of it are kept: both are bounds of the model, not of what
-    it is applied to. Rows with a null text or lang teach nothing.
+    it is applied to. Rows with a null text or lang teach nothing. The margin is calibrated on the same texts.
     """
     usable = examples.where("text is not null and lang is not null").select("lang", F.xxhash64("doc_id").alias("h"), "text")
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
@@ -57,12 +91,14 @@ def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112
     near = usable.where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) <= share).select("lang", "h", excerpt.alias("text"))
     rows = near.toPandas() if counts else pd.DataFrame({"lang": [], "h": [], "text": []})  # about 2 * sample_docs a language
     each = max(256, dictionary_bytes // sample_docs)
-    content = {}
+    content, samples = {}, {}
     for lang, own in rows.sort_values(["lang", "h", "text"]).groupby("lang"):
-        parts = [_letters(x)[: 4 * each] for x in own["text"].head(sample_docs)]
+        samples[str(lang)] = list(own["text"].head(sample_docs))
+        parts = [_letters(x)[: 4 * each] for x in samples[str(lang)]]
         content[str(lang)] = b" ".join(parts)[:dictionary_bytes]
     ordered = sorted(content, key=lambda x: (-counts[x], x))
-    return LanguageModel({k: content[k] for k in ordered if content[k]}, level)
+    margin = calibrate(samples, each, level, LanguageModel.margin)
+    return LanguageModel({k: content[k] for k in ordered if content[k]}, level, margin)
 
 
 class _Sizes:

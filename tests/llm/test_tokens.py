@@ -134,6 +134,26 @@ def test_language_held_out(spark, small):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
 
 
+def test_language_rejects_gibberish(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(langid.training_rows(docs))
+    held = {lang: [r.text for r in docs.where(langid.id_crc() % 3 == 1).where(f"lang = '{lang}'").orderBy("doc_id").limit(40).collect()] for lang in ("en", "de", "fr", "es")}
+    random.seed(11)
+    words = lambda n: " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9))) for _ in range(n))
+    texts = {"clean": sum(held.values(), []), "gibberish 50": [words(50) for _ in range(100)], "gibberish 300": [words(300) for _ in range(100)]}
+    texts["mixed"] = [f"{a[:1000]} {b[:1000]}" for x, y in (("en", "de"), ("fr", "es"), ("de", "es")) for a, b in zip(held[x], held[y])]
+    kinds = [(kind, text) for kind, own in texts.items() for text in own]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(kinds)], "doc_id long, text string"), model).collect()
+    rejected, margins = {k: [] for k in texts}, {k: [] for k in texts}
+    for r in got:
+        rejected[kinds[r.doc_id][0]].append(r.rejected)
+        margins[kinds[r.doc_id][0]].append(r.margin)
+    share = {k: sum(x) / len(x) for k, x in rejected.items()}
+    print(model.margin, {k: (len(x), round(share[k], 3), round(float(np.mean(np.array(margins[k]) < 0.001)), 3), round(float(np.median(margins[k])), 4)) for k, x in rejected.items()})
+    assert share["clean"] <= 0.02 and share["gibberish 50"] >= 0.9 and share["gibberish 300"] >= 0.9
+    assert share["mixed"] <= 0.5  # most have a language that leads: they are told, not rejected
+
+
 def test_language_of_awkward_rows(awkward, nothing):
     model = langid.fit(awkward)
     got = langid.identify(awkward, model).collect()

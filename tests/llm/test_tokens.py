@@ -25,8 +25,8 @@ def library(path, texts):
 @pytest.mark.parametrize("path", [BYTES, LOWER])
 def test_cut_ids_equal_the_library(path):
     random.seed(5)
-    letters = list(" \n\t.,'|<>aZé1\x1c\x85 ́ΣİK")
-    texts = ["", "<|endoftext|> x<|endoftext|>y", "<|STARTOFTEXT|>", "it's I'LL", "x" * 300, "ΑΣ ΑΣ. İstanbul", "a\r\nb"] + ["".join(random.choices(letters, k=random.randint(1, 40))) for _ in range(4000)]
+    letters = list(" \n\t.,'|<>aZé1\x1c\x85 ́ΣİK×÷Éñ_-\r\x0b\x00¿«strel")
+    texts = ["", "<|endoftext|> x<|endoftext|>y", "<|STARTOFTEXT|>", "it's I'LL", "x" * 300, "ΑΣ ΑΣ. İstanbul", "a\r\nb", " a b" * 5000, "é" * 9000 + " x", "日本 x" * 3000] + ["".join(random.choices(letters, k=random.randint(1, 40))) for _ in range(4000)]
     got, encoder = [], PieceIds(path, entries=500, batch_bytes=2000)
     for ids, ends in encoder.of(pa.array(texts)):
         got += [x.tolist() for x in np.split(ids, ends[:-1])]
@@ -85,45 +85,96 @@ def test_knapsack_against_all_fills():
 
 def test_dropout_round_trip_and_draws(spark, awkward, docs, nothing):
     encoded = piece_dropout.encode_dropout(awkward, PIECES, rate=0.3, seed=4)
-    back = piece_dropout.decode_ids(encoded, PIECES).select("doc_id", "text").collect()
+    back = piece_dropout.decode_ids(encoded, PIECES).collect()
     assert Counter(map(tuple, back)) == Counter((i, t or "") for i, t, _ in AWKWARD)
     assert sorted(map(str, encoded.collect())) == sorted(map(str, piece_dropout.encode_dropout(awkward.repartition(5), PIECES, rate=0.3, seed=4).collect()))
     first = {r.doc_id: r.ids for r in piece_dropout.encode_dropout(docs, PIECES, rate=0.3, seed=4).collect()}
     second = {r.doc_id: r.ids for r in piece_dropout.encode_dropout(docs, PIECES, rate=0.3, seed=5).collect()}
     assert sum(first[k] != second[k] for k in first) > 0.9 * len(first)
-    assert piece_dropout.encode_dropout(nothing, PIECES).count() == 0
+    assert piece_dropout.encode_dropout(nothing, PIECES).count() == 0 and piece_dropout.round_trip(nothing, PIECES).count() == 0
+    told = {r.doc_id: tuple(r)[1:] for r in piece_dropout.round_trip(docs, PIECES, rate=0.3, seed=4).collect()}
+    for r in docs.collect():
+        own = first[r.doc_id]
+        assert told[r.doc_id] == (len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own)), zlib.crc32((r.text or "").encode()))
+
+
+def encode_one(encoder, text, doc_id=0):
+    ids, _ = encoder.encode(pa.array([text]), np.array([encoder.key(doc_id, text)], np.uint64))
+    return ids.tolist()
 
 
 def test_no_dropout_is_the_library(docs):
-    encoder = piece_dropout.DropoutEncoder(PIECES, 0.0, 0, 1)
-    for r in docs.limit(60).collect():
-        assert np.frombuffer(encoder.encode(r.text), "<u4").tolist() == encoder.library.encode(r.text)
+    encoder = piece_dropout.DropoutEncoder(PIECES, 0.0, 0)
+    random.seed(2)
+    letters = list(" \n\t.,'<|aZé1 日本\U0001f600thein&*İ")
+    texts = [r.text or "" for r in docs.collect()] + ["", "  a", "a  ", "x" * 300, "日本" * 100] + ["".join(random.choices(letters, k=random.randint(1, 60))) for _ in range(3000)]
+    ids, ends = encoder.encode(pa.array(texts), np.zeros(len(texts), np.uint64))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [encoder.library.encode(t) for t in texts]
 
 
 def test_dropout_draws_each_occurrence():
-    word, times = "▁international", 3000
-    encoder = piece_dropout.DropoutEncoder(PIECES, 0.1, 7, 2)
+    times = 3000
+    encoder = piece_dropout.DropoutEncoder(PIECES, 0.1, 7)
     text = " ".join(["international"] * times)
-    got = encoder.encode(text)
-    assert encoder.decode(got) == text
-    pieces = Counter("|".join(map(encoder.library.id_to_piece, np.frombuffer(got, "<u4").tolist())).replace("|▁", "\n▁").split("\n"))
+    got = encode_one(encoder, text)
+    assert encoder.library.decode(got) == text
+    pieces = Counter("|".join(map(encoder.library.id_to_piece, got)).replace("|▁", "\n▁").split("\n"))
     assert sum(pieces.values()) == times and len(pieces) > 20
-    _, seen, _ = encoder.segment(word, [piece_dropout.NEVER])
+    _, seen = encoder.segment_one(np.array([*map(ord, " international")], np.uint32), iter([piece_dropout.NEVER]))
     clean = (1 - 0.1) ** seen  # no candidate skipped; other draws can lead to the same pieces
-    assert pieces[word] / times > clean - 4 * (clean * (1 - clean) / times) ** 0.5
-    assert max(v for k, v in pieces.items() if k != word) < times / 4
-    # another text with the same word at the same place, and the same text without kept segmentations
-    assert len({encoder.encode(f"international {k}")[:8] for k in range(200)}) > 4
-    assert piece_dropout.DropoutEncoder(PIECES, 0.1, 7, 2, entries=0).encode(text) == got
-
-
-def test_dropout_of_long_words_is_the_same():
+    assert pieces["▁international"] / times > clean - 4 * (clean * (1 - clean) / times) ** 0.5
+    assert max(v for k, v in pieces.items() if k != "▁international") < times / 4
+    # the same text under other ids, and without kept segmentations
+    assert len({tuple(encode_one(encoder, "international", k)) for k in range(200)}) > 4
+    assert encode_one(piece_dropout.DropoutEncoder(PIECES, 0.1, 7, entries=0), text) == got
+
+
+def by_strings(encoder, word, skips):
+    """The agenda told plainly: all candidates in a list, the best and leftmost one first."""
+    rank = {p: k for k, p in enumerate(encoder.pieces)}
+    symbols, seen, live = list(word.replace(" ", "▁")), 0, {}
+
+    def meet(at):
+        nonlocal seen
+        union = symbols[at] + symbols[at + 1]
+        live[at] = None
+        if union in rank:
+            live[at] = None if seen in skips else rank[union]
+            seen += 1
+
+    for at in range(len(symbols) - 1):
+        meet(at)
+    while any(v is not None for v in live.values()):
+        at = min((v, k) for k, v in live.items() if v is not None)[1]
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        live = {k - (k > at): v for k, v in live.items() if k not in (at, len(symbols))} | ({len(symbols) - 1: live[len(symbols)]} if len(symbols) in live and len(symbols) - 1 > at else {})
+        live.pop(len(symbols) - 1, None)
+        for k in (at - 1, at):
+            if 0 <= k < len(symbols) - 1:
+                meet(k)
+    return symbols, seen
+
+
+def test_dropout_against_brute_force():
+    """Many fragments at once and one by one with a heap, against the agenda over strings."""
     random.seed(3)
-    encoder = piece_dropout.DropoutEncoder(PIECES, 0.2, 7, 2)
-    for n in range(300):
-        word = "".join(random.choices("theinsoar", k=random.randint(1, piece_dropout.LONG)))
-        skips = [c[0] for c in encoder._skips(n, 5, 1)]
-        assert encoder.segment(word, [*skips], n, 5) == encoder._segment_long(word, [*skips], n, 5)
+    encoder = piece_dropout.DropoutEncoder(PIECES, 0.2, 7)
+    words = ["".join(random.choices("theinsoar ", k=random.randint(1, piece_dropout.LONG))) for _ in range(400)]
+    encoder.letters.extend(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32))
+    counts = np.array([len(w) for w in words])
+    skips = np.sort(np.array([random.sample(range(40), 3) for _ in words]), axis=1)
+    symbols, numbers, seen = encoder.segment_many(np.cumsum(counts) - counts, counts, skips)
+    for word, own, n, row in zip(words, np.split(symbols, np.cumsum(numbers)[:-1]), seen.tolist(), skips.tolist()):
+        assert ([encoder.pieces[k] for k in own], n) == by_strings(encoder, word, row)
+        assert encoder.segment_one(np.array([*map(ord, word)], np.uint32), iter([*row, piece_dropout.NEVER])) == (own.tolist(), n)
+
+
+def test_decoding_is_the_library():
+    decoder = piece_dropout.Decoder(PIECES)
+    random.seed(4)
+    rows = [[random.randrange(40 if k % 3 else 32000) for _ in range(random.randint(0, 12))] for k in range(2000)]
+    got = decoder.decode(np.array([i for r in rows for i in r], np.int64), np.cumsum([len(r) for r in rows]))
+    assert got == [decoder.library.decode(r) for r in rows]
 
 
 def test_language_held_out(spark, small):

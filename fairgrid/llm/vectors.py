@@ -84,6 +84,7 @@ def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _grow(points: np.ndarray, branches: int, leaf_rows: int, random: np.random.Generator, next_leaf: list[int]) -> Node | int:
     distinct = np.unique(points, axis=0)
+    branches = min(branches, -(-len(points) // leaf_rows))
     if len(points) <= leaf_rows or len(distinct) <= branches:
         next_leaf[0] += 1
         return next_leaf[0] - 1
@@ -104,7 +105,7 @@ def _grow(points: np.ndarray, branches: int, leaf_rows: int, random: np.random.G
 
 
 def fit_tree(sample: np.ndarray, reach: float, branches: int = 8, leaves: int = 256) -> Tree:
-    """A tree of about ``leaves`` leaves over distinct vectors of the sample."""
+    """A tree of about ``leaves`` leaves over distinct vectors of the sample; nodes near the leaves branch less."""
     tree = Tree(0, 1, reach, sample.shape[1] if sample.ndim == 2 else 0)
     if len(sample):
         next_leaf = [0]
@@ -115,11 +116,12 @@ def fit_tree(sample: np.ndarray, reach: float, branches: int = 8, leaves: int =
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, v`` of vectors that take part: not null, not zero, without null or non-finite components."""
+    """``vec_id, v`` of vectors that take part: not null, not zero, without null or non-finite components; an id once, with its least vector."""
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    return rows.where(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
+    rows = rows.where(F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -153,8 +155,9 @@ def _matrix(column: pd.Series, dimensions: int) -> np.ndarray:
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each query; each task first keeps its own k best, so that few rows are shuffled."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _compare(asked: DataFrame, blocks: DataFrame, dimensions: int, k: int) -> DataFrame:
@@ -163,7 +166,6 @@ def _compare(asked: DataFrame, blocks: DataFrame, dimensions: int, k: int) -> Da
     def pair(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
         if len(queries) and len(rows):
-            rows = rows.drop_duplicates("vec_id")
             found = best_of(queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"], dimensions), rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dimensions), k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
@@ -197,24 +199,27 @@ def calibrate(tree: Tree, placed: DataFrame, k: int, recall: float, queries: int
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, sample_rows: int = 20_000, branches: int = 8, leaves: int = 64, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, sample_rows: int = 20_000, branches: int = 8, leaf_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """The k nearest rows found for each query row: ``query_id, rank, vec_id, score``.
 
-    The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed. The
-    number of leaves doesn't grow with the table, so neither do a query's visits; large leaves are cut into blocks.
+    The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed. Its
+    leaves hold about ``leaf_rows`` rows, or more where the sample has fewer than 16 rows for each such leaf, and
+    leaves are cut into blocks. A query visits as many leaves as the calibration needs for ``recall``.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id.
-    Rows repeated under one id are one candidate. Vectors of another length than most are an error. An empty
-    table gives an empty result; other columns are not read.
+    Rows of one id are one candidate with the least of its vectors; equal scores rank by the smaller id. Vectors of
+    different lengths are an error. An empty table gives an empty result; other columns are not read.
     """
     rows = materialise(usable(vectors, id_col, vector_col), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    total, reach, dimensions = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v"))).first()
+    total, reach, dimensions, least = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v")), F.min(F.size("v"))).first()
     if not total:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    if least != dimensions:
+        raise ValueError(f"vectors have {least} to {dimensions} components")
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * 1.2 * sample_rows / total) + 1)))
     sample = _matrix(sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()["v"], dimensions)
-    tree = fit_tree(sample, float(reach), branches, leaves)
+    tree = fit_tree(sample, float(reach), branches, max(1, min(total // leaf_rows, len(sample) // 16)))
 
     @F.pandas_udf("long")
     def leaf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -231,7 +236,7 @@ def search(
 
     counts = placed.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("blocks"))  # a row for each leaf
     blocks = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("leaf", F.explode(walk("v")))
+    asked = rows.where(is_query).withColumn("leaf", F.explode(walk("v")))
     return _ranked(_compare(asked, blocks, dimensions, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

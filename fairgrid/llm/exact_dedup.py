@@ -1,10 +1,12 @@
 """Exact dedup: a log-structured merge index of digests, in DataFrames only.
 
-``MergeIndex.add`` is a memtable flush: a batch is pre-aggregated by digest and written as a run, sorted by digest
-and with Parquet bloom filters, in the shared folder. ``compact`` merges all runs into one, keeping one identifier
-and the row count of each digest. ``classes`` verifies hits on bytes: rows are grouped by digest *and* text, so
-only texts equal in every byte meet, and the group-by's map-side combine folds copies before the shuffle.
-The surviving identifier is the smallest or the largest (``keep``); the contract's query asks for the largest.
+Texts are hashed once into a written table of ids and digests, dealt to memtables of a bounded number of rows.
+``MergeIndex.add`` flushes a memtable: it is pre-aggregated by digest and written as a sorted run in the shared folder.
+``compact`` merges all runs into one, keeping one identifier and the row count of each digest. Digests of more than one
+row are the hits; a filter of them, a bitmap of bounded size, picks the texts that are read for verification before any
+text is shuffled. ``verified`` groups these by digest *and* text, so only texts equal in every byte meet, and the
+group-by's map-side combine folds copies before the shuffle. The surviving identifier is the smallest or the largest
+(``keep``); the contract's query asks for the largest.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.llm.common import documents, new_path
+from fairgrid.llm.common import documents, materialise, new_path
 
 #: A digest with at least this share of all rows is joined by broadcast: there are at most as many of them.
 HOT_SHARES = 1000
+#: Bits in a part of a filter, as bitmap_construct_agg makes them, and the most parts of one.
+PART_BITS, MOST_PARTS = 32_768, 8192
 
 
 def digest(text: Column) -> Column:
@@ -61,6 +65,33 @@ class MergeIndex:
         return self.entries().where(F.col("text_sha256").isin(digests))
 
 
+def parts_for(digests: int) -> int:
+    """Parts of a filter with 16 bits for each of ``digests``, MOST_PARTS of 4 KB at most."""
+    parts = 1
+    while parts < MOST_PARTS and parts * PART_BITS < 16 * digests:
+        parts *= 2
+    return parts
+
+
+def filter_of(hits: DataFrame, parts: int) -> DataFrame:
+    """A filter of the digests of ``hits``: ``_part, _bits``."""
+    place = _place(parts)
+    return hits.select(F.floor(place / PART_BITS).cast("int").alias("_part"), (place % PART_BITS).alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+
+
+def _place(parts: int) -> Column:
+    return F.pmod(F.xxhash64("text_sha256"), F.lit(parts * PART_BITS))
+
+
+def may_be_in(rows: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """``rows`` whose digest the filter ``told`` may hold: all hits, and few others as long as the filter isn't full."""
+    placed = rows.withColumn("_place", _place(parts)).withColumn("_part", F.floor(F.col("_place") / PART_BITS).cast("int"))
+    at = (F.col("_place") % PART_BITS).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place % 32768 as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    met = placed.join(F.broadcast(told), "_part")  # 32 MB at most
+    return met.where(F.getbit(byte, at % 8) == 1).select(rows.columns)
+
+
 def verified(rows: DataFrame) -> DataFrame:
     """Distinct byte strings of each digest with more than one row: ``text_sha256, variants``.
 
@@ -70,24 +101,29 @@ def verified(rows: DataFrame) -> DataFrame:
     return strings.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("variants"), F.sum("_n").alias("_rows")).where("_rows > 1").select("text_sha256", "variants")
 
 
-def deduplicate(docs: DataFrame, keep: str = "min", memtables: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, keep: str = "min", memtable_rows: int = 1 << 28) -> DataFrame:
     """Exact copies of whole texts: ``doc_id, keep_id, group_size, kept, text_sha256``, a row for each row of ``docs``.
 
-    Null texts count as empty and are copies of each other. Rows sharing a doc_id are one document and share its
-    decision; a null doc_id is kept only where its whole group has none. Two different texts with one digest
-    (never seen with SHA-256) stop the job rather than lose a text. Only ``doc_id`` and ``text`` are read.
+    Null texts count as empty and are copies of each other. Rows sharing a doc_id are one document and share the
+    decision on a text; a null doc_id is kept only where its whole group has none. Two different texts with one
+    digest (never seen with SHA-256) stop the job rather than lose a text. Very long texts are hashed and compared
+    whole; an empty table gives an empty result. Only ``doc_id`` and ``text`` are read. There are two memtables at
+    least, and no more rows than ``memtable_rows`` in one.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest(F.col("text")).alias("text_sha256"))
+    lean = materialise(keyed.select("doc_id", "text_sha256"), "digests")
+    total = lean.count()
     index = MergeIndex(spark, keep)
-    lean = keyed.select("doc_id", "text_sha256")
+    memtables = max(2, -(-total // memtable_rows))
     for part in range(memtables):
         index.add(lean.where(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)) == part))
-    entries = index.compact().entries()
-    checked = entries.where("group_size > 1").join(verified(keyed.select("text_sha256", "text")), "text_sha256", "left")
+    hits = materialise(index.compact().entries().where("group_size > 1"), "digest-hits")
+    parts = parts_for(hits.count())
+    texts = may_be_in(keyed.select("text_sha256", "text"), filter_of(hits, parts), parts)
+    checked = hits.join(verified(texts), "text_sha256", "left")
     same = F.when(F.col("variants") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("different texts share digest "), "text_sha256")).cast("boolean"))
-    checked = checked.where(same).drop("variants")
-    total = F.lit(docs.count())
+    checked = materialise(checked.where(same).drop("variants"), "digest-checked")
     hot = checked.where(F.col("group_size") * HOT_SHARES >= total)  # at most HOT_SHARES rows
     cold = checked.where(F.col("group_size") * HOT_SHARES < total)
     of_hot = hot.select("text_sha256", F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size"), F.lit(True).alias("_hot"))

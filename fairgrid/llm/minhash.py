@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fairgrid.llm.common import documents, materialise, release_table, worker_table
 
@@ -169,7 +170,9 @@ def _slices(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[p
     held: pd.DataFrame | None = None
     for frame in frames:
         held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        fresh = np.logical_or.reduce([(held[k] != held[k].shift()).to_numpy() for k in keys]) if len(held) else np.zeros(0, bool)
+        values = held[keys].to_numpy(np.int64)
+        fresh = np.ones(len(held), bool)
+        fresh[1:] = (values[1:] != values[:-1]).any(axis=1)
         ends = np.flatnonzero(fresh)
         if len(ends) > 1:
             yield held, ends[:-1], ends[1:]
@@ -180,6 +183,7 @@ def _slices(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[p
 
 def _likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Estimated similarity of each row of ``one`` with each of ``other``, a few rows at a time."""
+    one, other = (np.ascontiguousarray(x).view(np.uint64) for x in (one, other))  # numpy counts the bits of a negative number's absolute value
     out = np.empty((len(one), len(other)), np.float32)
     for at in range(0, len(one), 64):
         own = one[at : at + 64, None]
@@ -327,9 +331,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``.
 
     Texts without words have an empty set and are linked with nothing, and neither are rows with a null doc_id
-    (component null, kept). Rows sharing a doc_id are one document. Only ``doc_id`` and ``text`` are read; an
-    empty table gives an empty result.
+    (component null, kept). Rows sharing a doc_id are one document: a link of one of its texts is a link of all.
+    A null doc_id is kept; very long texts are read whole; other types of id than integers are an error. Only
+    ``doc_id`` and ``text`` are read; an empty table gives an empty result.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError("doc_id must be an integer")
     signed = materialise(signatures(docs), "minhash-signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     alike = [F.first(c).alias(c) for c in ("bands", *SIGNATURE)]  # equal sets have equal signatures

@@ -1,16 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers read a clause word by word: insult (a learned lexicon of words and word stems), threat, target,
-negation and reported speech. Their composition yields typed matches, such as an insult aimed at a target, a bare
-insult, a negated insult or a reported one, each with the weight of its insult. A logistic model over the matches'
-weights gives the score, so words count as what the clause makes of them.
+Words are told apart into the symbols of a small alphabet, insults by a learned lexicon of words and word stems. Five
+weighted sequential transducers over these symbols each know one thing: what target follows (read from the right), what
+target came before, which words are threats, what a negation reaches, what is reported or quoted. They are composed
+into one machine, the product of their states with weights added along arcs, and a clause's matches are the outputs
+of that machine: an insult or threat aimed at a target, a bare insult, a negated one, a reported one, each weighted by
+the lexicon and by the arcs passed. A logistic model over sums of the matched clauses' weights gives the score, so
+words count as what the clause makes of them and nothing else.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,9 +37,78 @@ NEGATIONS = frozenset("not no never neither nor without nicht kein keine nie nie
 REPORTS = frozenset("said says wrote writes called quoted reported claims sagte schrieb nannte berichtete dit écrit appelé dijo escribió llamó".split())
 THREATS = frozenset("kill hurt destroy beat burn shoot die töten schlagen sterben tuer frapper mourir matar golpear morir".split())
 
-#: Words of a clause that a negation or report reaches over, and that a target may stand from its insult.
+#: Words of a clause that a report reaches over, and that a target may stand from its insult; a negation reaches half as far.
 REACH = 6
-FEATURES = ["bare", "aimed", "negated", "reported", "threat", "strongest", "density", "kinds"]
+FEATURES = ["bare", "aimed", "negated", "reported", "threat", "strongest", "clauses", "kinds"]
+
+#: Input symbols, then what transducers make of insults and threats.
+OTHER, TARGET, COPULA, NEGATION, REPORT, INSULT, THREAT, INSULT_AT, THREAT_AT, AIMED, BARE, MENACE, NEGATED, REPORTED = range(14)
+SYMBOLS = 14
+KIND = {BARE: "bare", AIMED: "aimed", NEGATED: "negated", REPORTED: "reported", MENACE: "threat"}
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted sequential transducer: by state and input symbol the next state, the output symbol and the arc's weight.
+
+    Weights are logarithms, added along a path; state 0 is the start and every state is final.
+    """
+
+    next: np.ndarray
+    out: np.ndarray
+    weight: np.ndarray
+
+    def run(self, symbols: list[int]) -> tuple[list[int], list[float]]:
+        """Outputs and arc weights of one path."""
+        state, outs, weights = 0, [], []
+        for x in symbols:
+            outs.append(int(self.out[state, x]))
+            weights.append(float(self.weight[state, x]))
+            state = int(self.next[state, x])
+        return outs, weights
+
+
+def transducer(states: int, arcs: Callable[[int, int], tuple[int, int, float]]) -> Transducer:
+    """Made of a function from state and symbol to next state, output and weight."""
+    told = np.array([[arcs(s, x) for x in range(SYMBOLS)] for s in range(states)], float)
+    return Transducer(told[..., 0].astype(np.int64), told[..., 1].astype(np.int64), told[..., 2])
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that feeds the outputs of ``first`` to ``second``, cut to the states that can be reached."""
+    places, todo, arcs = {(0, 0): 0}, [(0, 0)], []
+    for s, t in todo:
+        row = []
+        for x in range(SYMBOLS):
+            middle = first.out[s, x]
+            state = (int(first.next[s, x]), int(second.next[t, middle]))
+            if state not in places:
+                places[state] = len(todo)
+                todo.append(state)
+            row.append((places[state], int(second.out[t, middle]), float(first.weight[s, x] + second.weight[t, middle])))
+        arcs.append(row)
+    return transducer(len(arcs), lambda s, x: arcs[s][x])
+
+
+def _reach(start: tuple[int, ...], words: int, change: dict[int, int], fade: float = 0.0) -> Transducer:
+    """State n: ``start`` was read n words short of its reach; in its reach symbols change, with weight falling by ``fade`` a word."""
+
+    def arcs(state: int, x: int) -> tuple[int, int, float]:
+        hit = state > 0 and x in change
+        return (words if x in start else max(0, state - 1), change[x] if hit else x, -fade * (words - state) if hit else 0.0)
+
+    return transducer(words + 1, arcs)
+
+
+#: Read from the right: insults and threats that a target follows.
+FOLLOWED = _reach((TARGET,), REACH, {INSULT: INSULT_AT, THREAT: THREAT_AT}, 0.05)
+#: Read from the left, in this order.
+PRECEDED = _reach((TARGET, COPULA), REACH, {INSULT: AIMED, INSULT_AT: AIMED, THREAT: MENACE, THREAT_AT: MENACE}, 0.05)
+ALONE = transducer(1, lambda s, x: (0, {INSULT: BARE, INSULT_AT: AIMED, THREAT: OTHER, THREAT_AT: MENACE}.get(x, x), 0.0))
+DENIED = _reach((NEGATION,), REACH // 2, dict.fromkeys((AIMED, BARE, MENACE), NEGATED))
+TOLD = _reach((REPORT,), REACH, dict.fromkeys((AIMED, BARE, MENACE), REPORTED))
+GRAMMAR = compose(compose(compose(PRECEDED, ALONE), DENIED), TOLD)
+_NEXT, _OUT, _WEIGHT, _F_NEXT, _F_OUT, _F_WEIGHT = (x.tolist() for m in (GRAMMAR, FOLLOWED) for x in (m.next, m.out, m.weight))
 
 
 @dataclass(frozen=True)
@@ -49,67 +122,79 @@ class ToxicityModel:
     longest: int = field(default=8)
 
 
-class InsultTransducer(dict):
-    """Word to insult weight (0: none): the best of its whole form and its stems; each word is read once."""
+class Lexicon(dict):
+    """Word to its symbol and weight, the first transducer; each word is read once.
+
+    An insult's weight is the best of its whole form and its stems; a threat outside the lexicon has weight 1.
+    """
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
         self.model = model
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> tuple[int, float]:
         held = self.model.lexicon
-        found = [held.get(word + "$", 0.0), *(held.get(word[:n], 0.0) for n in range(self.model.shortest, min(len(word), self.model.longest) + 1))]
+        best = max([held.get(word + "$", 0.0), *(held.get(word[:n], 0.0) for n in range(self.model.shortest, min(len(word), self.model.longest) + 1))])
+        if word in NEGATIONS:
+            out = (NEGATION, 0.0)
+        elif word in REPORTS or word in QUOTES:
+            out = (REPORT, 0.0)
+        elif word in TARGETS:
+            out = (TARGET, 0.0)
+        elif word in COPULAS:
+            out = (COPULA, 0.0)
+        elif word in THREATS:
+            out = (THREAT, best or 1.0)
+        else:
+            out = (INSULT, best) if best else (OTHER, 0.0)
         if len(self) > 200_000:
             self.clear()
-        out = self[word] = max(found)
+        self[word] = out
         return out
 
 
-def clause_matches(words: list[str], insults: list[float]) -> Iterator[tuple[str, float, str]]:
-    """Run the composed transducers over one clause: ``(kind, weight, word)`` of each match."""
-    negated = reported = -REACH - 1
-    target = -REACH - 1
-    for at, (word, weight) in enumerate(zip(words, insults, strict=True)):
-        if word in NEGATIONS:
-            negated = at
-        elif word in REPORTS or word in QUOTES:
-            reported = at
-        elif word in TARGETS or word in COPULAS:
-            target = at
-        threat = word in THREATS
-        if weight or threat:
-            aimed = at - target <= REACH or any(w in TARGETS for w in words[at + 1 : at + 1 + REACH])
-            if at - negated <= REACH // 2:
-                kind = "negated"
-            elif at - reported <= REACH:
-                kind = "reported"
-            elif threat and aimed:
-                kind = "threat"
-            else:
-                kind = "aimed" if aimed else "bare"
-            if weight or kind == "threat":
-                yield kind, weight or 1.0, word
-
-
-def features(text: str | None, insult: InsultTransducer) -> list[float]:
-    """Sums of matched weights by kind over all clauses of the whole text, in the order of FEATURES."""
+def clause_matches(read: list[tuple[int, float]]) -> Iterator[tuple[str, float, int]]:
+    """Kind, weight and place of each match of the grammar in one clause of symbols with lexicon weights."""
+    state, symbols, weights = 0, [], []
+    for symbol, _ in reversed(read):
+        symbols.append(_F_OUT[state][symbol])
+        weights.append(_F_WEIGHT[state][symbol])
+        state = _F_NEXT[state][symbol]
+    state, n = 0, len(read)
+    for at in range(n):
+        symbol = symbols[n - 1 - at]
+        out = _OUT[state][symbol]
+        if out >= AIMED:
+            yield KIND[out], read[at][1] * math.exp(_WEIGHT[state][symbol] + weights[n - 1 - at]), at
+        state = _NEXT[state][symbol]
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
+    """What the grammar matched in all clauses of the whole text, in the order of FEATURES.
+
+    Sums of weights by kind, the strongest clause, the share of clauses with a match and the number of different
+    words matched; the last three leave out what is negated or reported.
+    """
     tokens = TOKEN.findall((text or "").lower())
-    weights = list(map(insult.__getitem__, tokens))
+    read = list(map(lexicon.__getitem__, tokens))
     sums = dict.fromkeys(("bare", "aimed", "negated", "reported", "threat"), 0.0)
-    strongest, matched, kinds = 0.0, 0, set()
-    if any(weights) or not THREATS.isdisjoint(tokens):
+    strongest, matched, clauses, kinds = 0.0, 0, 0, set()
+    if any(weight for _, weight in read):
         start = 0
         for at in range(len(tokens) + 1):
             if at == len(tokens) or tokens[at] in CLAUSE_END:
-                if at > start:
-                    for kind, weight, word in clause_matches(tokens[start:at], weights[start:at]):
+                clauses += at > start
+                own, whole = read[start:at], 0.0
+                if any(weight for _, weight in own):
+                    for kind, weight, place in clause_matches(own):
                         sums[kind] += weight
-                        matched += weight > 0
                         if kind not in ("negated", "reported"):
-                            strongest = max(strongest, weight)
-                        kinds.add(word)
+                            whole += weight
+                            kinds.add(tokens[start + place])
+                matched += whole > 0
+                strongest = max(strongest, whole)
                 start = at + 1
-    return [*(float(np.log1p(x)) for x in sums.values()), strongest, 1000.0 * matched / (len(tokens) + 50) / 10, float(np.log1p(len(kinds)))]
+    return [*(float(np.log1p(x)) for x in sums.values()), float(np.log1p(strongest)), 10.0 * matched / (clauses + 1), float(np.log1p(len(kinds)))]
 
 
 def _terms(text: str, model: ToxicityModel) -> set[str]:
@@ -175,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Toxici
     lexicon = learn_lexicon(rows.where("half = 0"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        insult = InsultTransducer(lexicon)
+        insult = Lexicon(lexicon)
         for frame in frames:
             got = pd.DataFrame([features(t, insult) for t in frame["text"]], columns=FEATURES)
             got["toxic"] = frame["toxic"].to_numpy()
@@ -195,7 +280,7 @@ def scorer(model: ToxicityModel, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release_table()
-        insult = InsultTransducer(model)
+        insult = Lexicon(model)
         weights = np.array(model.coefficients)
         for texts in series:
             found = np.array([features(t if isinstance(t, str) else None, insult) for t in texts], float).reshape(-1, len(FEATURES))
@@ -205,7 +290,11 @@ def scorer(model: ToxicityModel, text: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, score, predicted`` for each row; repeated rows give repeated rows, only ``doc_id`` and ``text`` are read."""
+    """``doc_id, score, predicted`` for each row; a score of exactly 0.5 is predicted 1.
+
+    Null and empty texts get the model's least evidence, its intercept; very long texts are read whole. Repeated rows
+    give repeated rows, an empty table an empty result; only ``doc_id`` and ``text`` are read.
+    """
     return docs.select("doc_id", scorer(model, F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

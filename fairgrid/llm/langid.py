@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairgrid.llm.common import documents, id_crc, release_table
@@ -75,27 +75,30 @@ def calibrate(samples: dict[str, list[str]], each: int, level: int, default: flo
     return float(np.sqrt(at[best] * at[min(best + 1, len(at) - 1)]))
 
 
-def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112 << 10, level: int = 9) -> LanguageModel:
-    """Dictionaries from ``examples`` (doc_id, text, lang).
+def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112 << 10, level: int = 9, excerpt_chars: int = 1200, languages: int = 200) -> LanguageModel:
+    """Dictionaries from ``examples`` (text, lang).
 
-    Counts of each language cover all rows. Content is taken from at most ``sample_docs`` texts a language, those
-    with the least hash, and at most ``dictionary_bytes`` of it are kept: both are bounds of the model, not of what
-    it is applied to. Rows with a null text or lang teach nothing. The margin is calibrated on the same texts.
+    Counts of each language cover all rows; of more than ``languages`` values of lang the commonest are learned.
+    Content is taken from ``sample_docs`` distinct texts a language, those with the least hash, ``excerpt_chars``
+    characters of each at a place that the hash chooses, and at most ``dictionary_bytes`` of it are kept: these are
+    bounds of the model, not of what it is applied to. Rows with a null text or lang teach nothing. The margin is
+    calibrated on the same texts.
     """
-    usable = examples.where("text is not null and lang is not null").select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    share = F.lit(1.0)
+    usable = examples.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample_docs / n))).otherwise(share)
-    excerpt = F.substring("text", 1, 4096)  # of the sample only
-    near = usable.where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) <= share).select("lang", "h", excerpt.alias("text"))
-    rows = near.toPandas() if counts else pd.DataFrame({"lang": [], "h": [], "text": []})  # about 2 * sample_docs a language
-    each = max(256, dictionary_bytes // sample_docs)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample_docs / n))).otherwise(share)
+    start = F.pmod(F.xxhash64("h", F.lit(9)), F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))).cast("int") + 1
+    near = usable.where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).select("lang", "h", F.substring("text", start, F.lit(excerpt_chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs)
+    rows = chosen.select("lang", "h", "text").toPandas() if counts else pd.DataFrame({"lang": [], "h": [], "text": []})  # sample_docs a language
+    each = max(64, dictionary_bytes // sample_docs)
     content, samples = {}, {}
-    for lang, own in rows.sort_values(["lang", "h", "text"]).groupby("lang"):
-        samples[str(lang)] = list(own["text"].head(sample_docs))
-        parts = [_letters(x)[: 4 * each] for x in samples[str(lang)]]
-        content[str(lang)] = b" ".join(parts)[:dictionary_bytes]
+    for lang, own in rows.sort_values(["lang", "h"]).groupby("lang"):
+        samples[str(lang)] = list(own["text"])
+        content[str(lang)] = b" ".join(_letters(x)[: 4 * each] for x in samples[str(lang)])[:dictionary_bytes]
     ordered = sorted(content, key=lambda x: (-counts[x], x))
     margin = calibrate(samples, each, level, LanguageModel.margin)
     return LanguageModel({k: content[k] for k in ordered if content[k]}, level, margin)
@@ -164,7 +167,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, lang_pred, score, margin, rejected`` for each row of ``docs``.
 
     Null texts and texts without letters are ``und`` with score 0 and rejected, as is every text under a model
-    without languages. Repeated rows give repeated rows; nothing but ``doc_id`` and ``text`` is read.
+    without languages. Very long texts are measured whole, block by block. Of equal sizes the commonest language
+    wins, with margin 0. Repeated rows give repeated rows, an empty table an empty result; nothing but ``doc_id``
+    and ``text`` is read.
     """
     return docs.select("doc_id", predictor(model, F.col("text")).alias("_p")).select("doc_id", "_p.*")
 

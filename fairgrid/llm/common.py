@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where none is named (local tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only for a local master without one, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"fairgrid-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

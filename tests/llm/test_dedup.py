@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,19 @@ def test_merge_index(spark):
         assert r.d == sorted(r.d)
 
 
+def test_exact_with_many_memtables(docs):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert Counter(map(tuple, exact_dedup.deduplicate(docs, keep="max", memtable_rows=30).collect())) == brute_exact(rows)
+
+
+def test_filter_holds_all_hits_and_few_others(spark):
+    digests = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text_sha256"), "id")
+    parts = exact_dedup.parts_for(2000)
+    told = exact_dedup.filter_of(digests.where("id < 2000"), parts)
+    got = [r.id for r in exact_dedup.may_be_in(digests, told, parts).collect()]
+    assert set(range(2000)) <= set(got) and len(got) == len(set(got)) < 2000 + 0.12 * 18_000
+
+
 def test_two_texts_of_one_digest_are_told(spark):
     rows = spark.createDataFrame([("d", "a"), ("d", "b"), ("e", "c"), ("e", "c"), ("f", "z")], "text_sha256 string, text string")
     assert {r.text_sha256: r.variants for r in exact_dedup.verified(rows).collect()} == {"d": 2, "e": 1}
@@ -95,6 +110,31 @@ def test_near_chain_and_hot_group(spark):
     assert got == brute_near([(i, t) for i, t, _ in rows])
 
 
+def test_groups_of_adjacent_keys():
+    keys = [2**62, 2**62, 2**62 + 1, 2**62 + 2, 2**62 + 2]
+    frame = pd.DataFrame({"key": keys, "block": [0] * 5})
+    cuts = [(rows["key"].iloc[a], b - a) for rows, starts, ends in minhash._slices(iter([frame.iloc[:3], frame.iloc[3:]]), ["key", "block"]) for a, b in zip(starts, ends)]
+    assert cuts == [(2**62, 2), (2**62 + 1, 1), (2**62 + 2, 2)]
+
+
+def test_planted_pairs_share_a_band():
+    """Pairs of similarity 0.75: the minima agree as often, and no pair is missed by bands or by the floor on estimates."""
+    random = np.random.default_rng(8)
+    agree, missed = [], 0
+    for _ in range(2000):
+        hashes = random.integers(0, 1 << 63, 160, np.uint64) * np.uint64(2)
+        a, b = (minhash.minima(np.sort(x)) for x in (hashes[:140], np.concatenate([hashes[:120], hashes[140:160]])))  # 120 of 160
+        agree.append(np.mean(a == b))
+        bits = [minhash.packed_bits(x)[None] for x in (a, b)]
+        missed += not (minhash.band_keys(a) == minhash.band_keys(b)).any() or minhash._likeness(*bits)[0, 0] < minhash.FLOOR
+    assert np.mean(agree) == pytest.approx(0.75, abs=0.01) and missed == 0
+
+
+def test_near_needs_integer_ids(spark):
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 @pytest.mark.parametrize("share", [0.75, 0.85, 0.95])
 def test_estimate_is_corrected(spark, share):
     base = [f"w{i}" for i in range(2000)]

@@ -1,5 +1,6 @@
 """Toxicity, archives, vector search and the pipeline."""
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -11,15 +12,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from fairgrid.llm import toxicity, vectors, warc
 from fairgrid.llm.common import new_path
-from tests.llm.conftest import AWKWARD
+from tests.llm.conftest import AWKWARD, sentence
 
 MODEL = toxicity.ToxicityModel({"idiot$": 4.0, "dumm": 3.0})
 
 
 def kinds(sentence):
-    insult = toxicity.InsultTransducer(MODEL)
+    lexicon = toxicity.Lexicon(MODEL)
     words = sentence.lower().split()
-    return [(k, w) for k, _, w in toxicity.clause_matches(words, [insult[w] for w in words])]
+    return [(k, words[at]) for k, _, at in toxicity.clause_matches([lexicon[w] for w in words])]
 
 
 @pytest.mark.parametrize(
@@ -34,11 +35,60 @@ def test_clauses(sentence, want):
 
 
 def test_negation_stops_at_the_clause():
-    insult = toxicity.InsultTransducer(MODEL)
-    names = dict(zip(toxicity.FEATURES, toxicity.features("I did not. You idiot", insult), strict=True))
+    names = dict(zip(toxicity.FEATURES, toxicity.features("I did not. You idiot", toxicity.Lexicon(MODEL)), strict=True))
     assert names["aimed"] > 0 and names["negated"] == 0
 
 
+def told_plainly(clause):
+    """What the grammar says of a clause of symbols, by looking at the places around each one."""
+    t, found = toxicity, []
+    for at, symbol in enumerate(clause):
+        if symbol not in (t.INSULT, t.THREAT):
+            continue
+        near = lambda kinds, reach: [at - k for k in range(max(0, at - reach), at) if clause[k] in kinds]
+        after = [k - at for k in range(at + 1, min(len(clause), at + 1 + t.REACH)) if clause[k] == t.TARGET]
+        before = near((t.TARGET, t.COPULA), t.REACH)
+        weight = (-0.05 * (min(before) - 1) if before else 0) + (-0.05 * (min(after) - 1) if after else 0)
+        if symbol == t.THREAT and not (before or after):
+            continue
+        kind = "threat" if symbol == t.THREAT else "aimed" if before or after else "bare"
+        if near((t.NEGATION,), t.REACH // 2):
+            kind = "negated"
+        elif near((t.REPORT,), t.REACH):
+            kind = "reported"
+        found.append((kind, at, round(weight, 9)))
+    return found
+
+
+def test_grammar_against_brute_force():
+    """All clauses of up to four symbols, and long ones at random."""
+    inputs = [toxicity.OTHER, toxicity.TARGET, toxicity.COPULA, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.THREAT]
+    random = np.random.RandomState(5)
+    clauses = [c for n in range(5) for c in itertools.product(inputs, repeat=n)] + [tuple(random.choice(inputs, 25, p=[0.6, 0.1, 0.05, 0.05, 0.05, 0.1, 0.05])) for _ in range(2000)]
+    for clause in clauses:
+        got = [(kind, at, round(float(np.log(weight)), 9) + 0.0) for kind, weight, at in toxicity.clause_matches([(int(x), 1.0) for x in clause])]
+        assert got == [(k, at, w + 0.0) for k, at, w in told_plainly(clause)], clause
+
+
+def test_composition_is_one_machine_after_the_other():
+    random = np.random.RandomState(6)
+    parts = [toxicity.PRECEDED, toxicity.ALONE, toxicity.DENIED, toxicity.TOLD]
+    for _ in range(500):
+        clause = random.randint(0, 9, 20).tolist()
+        symbols, total = clause, np.zeros(20)
+        for part in parts:
+            symbols, weights = part.run(symbols)
+            total += weights
+        outs, weights = toxicity.GRAMMAR.run(clause)
+        assert outs == symbols and np.allclose(weights, total)
+
+
+def test_quoted_and_denied_insults_score_less():
+    model = toxicity.ToxicityModel({"idiot$": 4.0}, (0.5, 1.0, -0.5, -0.5, 1.0, 1.0, 0.2, 0.5), -3.0)
+    score = lambda x: toxicity.features(x, toxicity.Lexicon(model)) @ np.array(model.coefficients)
+    assert score("You are an idiot.") > score("An idiot came by.") > max(score("You are not an idiot."), score('He said "idiot".'))
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = toxicity.op8_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
@@ -85,6 +135,23 @@ def test_archives_of_nothing_and_no_id(spark):
     assert warc.read_bundles(spark, folder).count() == 3
 
 
+def test_archives_keep_large_ids_and_any_url(spark):
+    ids = [2**60 + 1, 2**60 + 3, 2**63 - 1, None]
+    urls = ["http://a\r\nX-Page-ID: 5\r\n\r\nWARC/1.1", "http://b%0D\n", "plain: %41", "\x00\x7f\x85"]
+    pages = spark.createDataFrame([(i, u, "p" * 200) for i, u in zip(ids, urls)], "page_id long, url string, html string")
+    folder = new_path(spark, "warc-test")
+    index = {r.page_id for r in warc.write_bundles(pages, folder, bundles=1).collect()}
+    got = {r.page_id: r for r in warc.read_bundles(spark, folder).collect()}
+    assert index == set(ids) and {i: got[i].url for i in ids} == dict(zip(ids, urls))
+    assert [got[i].refers_to for i in ids[1:3]] == [2**60 + 1] * 2
+
+
+def test_archives_query_without_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op7_warc(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
 def test_archives_query_equals_sql(spark, small):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{small}/pages.parquet'")
@@ -122,6 +189,14 @@ def test_search_of_awkward_vectors(spark):
     assert vectors.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_of_repeated_ids_and_other_lengths(spark):
+    rows = [(20, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [2.0, 5.0]), (2, [2.5, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vectors.search(table, F.col("vec_id") % 20 == 0, k=3).collect()] == [(2, 2.5), (1, 2.0)]
+    with pytest.raises(ValueError):
+        vectors.search(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+
+
 def test_search_with_one_vector_many_times(spark):
     rows = [(i, [1.0, 0.0, 0.0] if i % 3 else [float(np.cos(i)), float(np.sin(i)), 0.1]) for i in range(900)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -148,6 +223,16 @@ def test_pipeline(spark, small):
     assert left == {k[0] for k in brute_near(rows) if k[3]}
 
 
+def test_pipeline_drops_rows_not_ids(spark):
+    b, near_b = sentence(5, 60), sentence(5, 60) + " more"
+    rows = [(5, "A text"), (9, "A text"), (5, b), (7, sentence(9, 60)), (3, near_b), (5, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.exact(spark, docs, "")
+    assert Counter(map(tuple, left.collect())) == Counter(rows[1:])
+    more = spark.createDataFrame([*rows, (8, sentence(9, 60) + " end")], "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.near(spark, more, "").collect())) == Counter(rows)
+
+
 def test_pipeline_of_awkward_and_empty(spark, awkward, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for table in (awkward, nothing):

@@ -32,22 +32,24 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.scorer(model, F.col("text")) < 0.5)
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``decided`` (doc_id, kept) doesn't drop."""
-    dropped = materialise(decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts the largest doc_id stays; a row goes only for its own text, whatever else has its doc_id."""
     ship_package(spark)
-    return _without(docs, exact_dedup.deduplicate(docs, keep="max"))
+    decided = exact_dedup.deduplicate(docs, keep="max")
+    dropped = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.col("text_sha256").alias("_digest")).distinct()
+    rows = docs.withColumn("_digest", exact_dedup.digest(F.col("text")))
+    return rows.join(materialise(dropped, "dropped"), ["doc_id", "_digest"], "left_anti").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies the smallest doc_id stays; rows whose doc_id has several texts stay as they are."""
     ship_package(spark)
-    return _without(docs, minhash.near_duplicates(docs))
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("_h"))
+    shared = materialise(texts.groupBy("doc_id").agg((F.min("_h") < F.max("_h")).alias("_shared")).where("_shared").select("doc_id"), "shared-ids")
+    alone = docs if shared.isEmpty() else docs.where("doc_id is not null").join(shared, "doc_id", "left_anti")
+    decided = minhash.near_duplicates(alone)
+    dropped = materialise(decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

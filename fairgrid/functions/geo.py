@@ -17,6 +17,15 @@ BITS = {3: (8, 7), 4: (10, 10)}
 MOST_CELLS = 50
 
 
+#: Kilometres in a mile, as the search form counts them.
+KM_PER_MILE = 1.60934
+
+
+def miles_to_km(miles: Column) -> Column:
+    """Kilometres."""
+    return miles * KM_PER_MILE
+
+
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in km, the atan2 form."""
     half_lat, half_lng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2

@@ -31,6 +31,16 @@ def local_time(ts: Column, zone: str) -> Column:
     return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "h:mm a")
 
 
+def hours_since(then: Column, now: Column) -> Column:
+    """Hours from one time to another, with fractions."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 3.6e9
+
+
+def page_delay_ms(pages: Column, cycle_minutes: float) -> Column:
+    """Pause between pages: nine tenths of the cycle shared out, 2 s at least and 5 minutes at most."""
+    return F.greatest(F.lit(2000), F.least(F.floor(F.try_divide(F.lit(cycle_minutes * 60_000 * 0.9), pages)), F.lit(300_000))).cast("long")
+
+
 def days_between(start: Column, end: Column) -> Column:
     """Array of all days, both ends included."""
     return F.sequence(F.to_date(start), F.to_date(end))

@@ -104,12 +104,15 @@ def provider_name(place: Column, region: Column, country: Column, address: Colum
 
 
 def buylist_lines(text: Column) -> Column:
-    """Array of ``(quantity, card)`` of a buylist's lines: blanks, lines ending in a colon and headings are skipped."""
+    """Array of ``(quantity, card)`` of a buylist's lines: blanks, lines ending in a colon and headings are skipped.
+
+    A quantity too large for an integer is null.
+    """
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.endswith(":") & ~x.rlike(HEADINGS))
     counted = r"(?i)^(\d+)x?\s+(.+)$"
     return F.transform(
         lines,
-        lambda x: F.when(x.rlike(counted), F.struct(F.regexp_extract(x, counted, 1).cast("int").alias("quantity"), F.trim(F.regexp_extract(x, counted, 2)).alias("card")))
+        lambda x: F.when(x.rlike(counted), F.struct(F.regexp_extract(x, counted, 1).try_cast("int").alias("quantity"), F.trim(F.regexp_extract(x, counted, 2)).alias("card")))
         .otherwise(F.struct(F.lit(1).alias("quantity"), x.alias("card"))),
     )
 

@@ -11,23 +11,53 @@ from fairgrid.operators.search import if_small
 
 
 def geocode(queries: DataFrame, zips: DataFrame, cache: DataFrame, local: DataFrame, public: DataFrame) -> DataFrame:
-    """``query_id, lat, lng, source``: ZIP table, cache, local provider (US only), public provider, else null.
+    """``query_id, lat, lng, source, label``: ZIP table, cache, local provider (US only), public provider, else null.
 
     A five-digit query is answered by the ZIP table or not at all from it. ``zips`` is (zipcode, latitude, longitude), the others (query, latitude, longitude), keyed by
-    normalised query.
+    normalised query, with a ``label`` or not. Of several rows of a key the one with the least coordinates answers.
     """
     key = text.normalised(F.col("query"))
     asked = queries.withColumn("_key", key).withColumn("_zip", F.when(text.is_zip(F.col("query")), F.trim("query")))
 
     def side(df: DataFrame, column: str, on: str, name: str) -> DataFrame:
-        return df.select(F.col(column).alias(on), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.lit(name.removesuffix("_hit")).alias("source")).alias(f"_{name}"))
+        label = F.coalesce(*(F.col(c) for c in ("label", "city") if c in df.columns), F.col(column))
+        found = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), label.alias("label"), F.lit(name.removesuffix("_hit")).alias("source"))
+        return df.groupBy(F.col(column).alias(on)).agg(F.min(found).alias(f"_{name}"))  # one row a key
 
     met = asked.join(if_small(side(zips, "zipcode", "_zip", "zip_hit")), "_zip", "left")
     for df, name in ((cache, "cache"), (local, "local"), (public, "public")):
         met = met.join(if_small(side(df, "query", "_key", name)), "_key", "left")
     near = F.when(~text.is_non_us(F.col("query")), F.col("_local"))
     best = F.coalesce("_zip_hit", "_cache", near, "_public")
-    return met.withColumn("_best", best).select("query_id", "_best.lat", "_best.lng", F.coalesce("_best.source", F.lit("none")).alias("source"))
+    return met.withColumn("_best", best).select("query_id", "_best.lat", "_best.lng", F.coalesce("_best.source", F.lit("none")).alias("source"), "_best.label")
+
+
+def cache_entries(queries: DataFrame, answered: DataFrame, as_of: object) -> DataFrame:
+    """What the cache takes in: provider answers by normalised query, ``query, latitude, longitude, accessed``; ZIP and cache hits are not cached again."""
+    fresh = answered.where(F.col("source").isin("local", "public")).join(queries.select("query_id", "query"), "query_id")
+    best = fresh.groupBy(text.normalised(F.col("query")).alias("query")).agg(F.min(F.struct("lat", "lng")).alias("_at"))
+    return best.select("query", F.col("_at.lat").alias("latitude"), F.col("_at.lng").alias("longitude"), F.lit(as_of).alias("accessed"))
+
+
+def replaced(cache: DataFrame, entries: DataFrame, key: str = "query") -> DataFrame:
+    """Insert or replace: ``entries`` (one row a key) over ``cache``."""
+    return cache.join(entries.select(key), key, "left_anti").unionByName(entries.select(cache.columns))
+
+
+def indexable(places: DataFrame) -> DataFrame:
+    """Places whose type is worth indexing."""
+    return places.where(F.lower(F.coalesce(text.blank_to_null(F.col("type")), text.blank_to_null(F.col("osm_value")))).isin(text.PLACE_TYPES))
+
+
+def city_list(coords: DataFrame, known: DataFrame, forward: DataFrame) -> DataFrame:
+    """All cities once, ``city, state, country, source``: those of ``coords`` (reverse geocoded), then of ``known``, then of ``forward``.
+
+    Rows without city or country are left out; an earlier source wins, and in a source the first in order of state.
+    """
+    told = [df.where("city is not null and country is not null").select("city", "state", "country", F.lit(k).alias("_rank"), F.lit(name).alias("source")) for k, (name, df) in enumerate((("coords", coords), ("known", known), ("forward", forward)))]
+    every = told[0].unionByName(told[1]).unionByName(told[2])
+    best = every.groupBy("city", "country").agg(F.min(F.struct("_rank", "state", "source")).alias("_b"))
+    return best.select("city", "_b.state", "country", "_b.source")
 
 
 def suggest(places: DataFrame, prefix: str, limit: int = 4, shortest: int = 2) -> DataFrame:

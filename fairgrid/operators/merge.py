@@ -5,26 +5,32 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgrid.functions import text
+from fairgrid.functions import geo, text
 from fairgrid.operators.calendar import first_in_group
+from fairgrid.operators.search import if_small
+
+#: Where an event's own page is.
+EVENT_PAGES = "https://events.example.org/"
 
 
 def canonical_events(raw: DataFrame, templates: DataFrame) -> DataFrame:
     """Wire events (one row each, as in ``schema.WIRE_EVENT``) to event rows; ``templates`` is (id, name)."""
     known = templates.select(F.col("id").alias("event_configuration_template"), text.template_category(F.col("name")).alias("_category")).where("_category is not null")
-    rows = raw.join(F.broadcast(known), "event_configuration_template", "left")  # templates are a page of names
+    rows = raw.join(if_small(known), "event_configuration_template", "left")
     address = F.coalesce("full_address", "store.full_address")
+    latitude, longitude = F.coalesce("latitude", "store.latitude"), F.coalesce("longitude", "store.longitude")
     return rows.select(
         F.col("id").cast("string").alias("external_id"), "name", "description", F.col("store.name").alias("location"), address.alias("address"),
         text.city_from_address(address, F.col("store.city"), F.col("store.state")).alias("city"), F.col("store.state").alias("state"), F.col("store.country").alias("country"),
-        F.coalesce("latitude", "store.latitude").alias("latitude"), F.coalesce("longitude", "store.longitude").alias("longitude"),
+        latitude.alias("latitude"), longitude.alias("longitude"),
         F.try_to_timestamp("start_datetime").alias("start_date"), F.lit(None).cast("string").alias("start_time"), F.try_to_timestamp("end_datetime").alias("end_date"),
         F.coalesce("_category", text.infer_category(F.col("name"), F.col("description"))).alias("event_type"), F.col("store.name").alias("organizer"),
         F.col("registered_user_count").alias("player_count"), "capacity", text.format_price(F.col("cost_in_cents"), F.col("currency")).alias("price"),
-        F.col("full_header_image_url").alias("image_url"), F.col("store.id").cast("string").alias("shop_id"),
+        F.concat(F.lit(EVENT_PAGES), F.col("id").cast("string")).alias("url"), F.col("full_header_image_url").alias("image_url"), F.col("store.id").cast("string").alias("shop_id"),
+        geo.geohash(latitude, longitude, 3).alias("geohash3"), F.col("store.name").alias("shop_name"), F.col("store.latitude").alias("shop_latitude"), F.col("store.longitude").alias("shop_longitude"),
     )
 
 
@@ -38,18 +44,28 @@ def changed(left: str, right: str, columns: list[str]) -> Column:
     return reduce(or_, [~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def merge(stored: DataFrame, incoming: DataFrame, key: str, compared: list[str]) -> DataFrame:
+def without_key(incoming: DataFrame, key: str) -> DataFrame:
+    """Incoming rows that no merge can take, since their key is null."""
+    return incoming.where(F.col(key).isNull())
+
+
+def merge(stored: DataFrame, incoming: DataFrame, key: str, compared: list[str], as_of: object = None) -> DataFrame:
     """Post-state with ``_status``: ``kept`` (not incoming), ``created``, ``skipped`` (nothing changed) or ``updated``.
 
-    ``incoming`` has one row a key. Columns of ``stored`` that ``incoming`` lacks keep their stored values.
+    ``incoming`` has one row a key; rows with a null key are left out, see :func:`without_key`. Columns of ``stored``
+    that ``incoming`` lacks keep their stored values. With ``as_of``, new rows get it as ``created_at`` and new and
+    updated ones as ``updated_at`` and ``scraped_at``, where ``stored`` has these columns and ``incoming`` doesn't.
     """
-    both = stored.alias("s").join(incoming.alias("i"), F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
-    is_new, is_gone = F.col(f"s.{key}").isNull(), F.col(f"i.{key}").isNull()
+    s, i = stored.withColumn("_stored", F.lit(True)).alias("s"), incoming.where(F.col(key).isNotNull()).withColumn("_incoming", F.lit(True)).alias("i")
+    both = s.join(i, F.col(f"s.{key}") == F.col(f"i.{key}"), "full_outer")
+    is_new, is_gone = F.col("s._stored").isNull(), F.col("i._incoming").isNull()
     status = F.when(is_gone, "kept").when(is_new, "created").when(changed("s", "i", compared), "updated").otherwise("skipped")
     out = []
     for c in stored.columns:
         if c not in incoming.columns:
-            out.append(F.col(f"s.{c}").alias(c))
+            at = {"created_at": status == "created", "updated_at": status.isin("created", "updated"), "scraped_at": status.isin("created", "updated")}.get(c)
+            own = F.col(f"s.{c}")
+            out.append((own if as_of is None or at is None else F.when(at, F.lit(as_of).cast(stored.schema[c].dataType)).otherwise(own)).alias(c))
         else:
             out.append(F.when(status.isin("kept", "skipped"), F.col(f"s.{c}")).otherwise(F.col(f"i.{c}")).alias(c))
     return both.select(*out, status.alias("_status"))
@@ -67,7 +83,24 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, key: str, order: list[
 
 
 def write_version(df: DataFrame, folder: str, version: int) -> str:
-    """Write a post-state beside the old ones: ``folder/v=<version>``; readers switch by version, never by overwriting."""
+    """Write a post-state beside the old ones: ``folder/v=<version>``; a batch repeated after a failure replaces its own."""
     path = f"{folder}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite").parquet(path)
     return path
+
+
+def newest_version(spark: SparkSession, folder: str, before: int) -> str | None:
+    """The path of the newest whole version under ``before``: what a repeated batch with that number starts from."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = [str(f.getPath()) for f in store.listStatus(path)] if store.exists(path) else []
+    numbers = {int(p.rsplit("v=", 1)[1]): p for p in held if "/v=" in p and store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+    older = [n for n in numbers if n < before]
+    return numbers[max(older)] if older else None
+
+
+def ingestion_counters(merged: DataFrame, incoming: DataFrame, store: str = "shop_name") -> DataFrame:
+    """One row: found, created, updated, skipped, stores by name, and the rounded percent skipped."""
+    told = merged.agg(*(F.count_if(F.col("_status") == s).alias(s) for s in ("created", "updated", "skipped")))
+    stores = incoming.agg(F.count(F.lit(1)).alias("found"), F.count_distinct(store).alias("stores"))
+    return stores.join(F.broadcast(told)).withColumn("skip_rate", F.floor(F.try_divide(100.0 * F.col("skipped"), F.col("found")) + 0.5))  # one row each

@@ -19,8 +19,14 @@ def parse_buylists(lists: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def price_lines(lines: DataFrame, prices: DataFrame) -> DataFrame:
-    """Lines with unit and total prices by normalised card name; CNY falls back to USD; unknown cards have ``found`` false."""
-    book = prices.select(text.normalised(F.col("card")).alias("_key"), "price_usd", "price_cny", F.lit(True).alias("_found"))
+    """Lines with unit and total prices by normalised card name; CNY falls back to USD.
+
+    ``prices`` may hold a card several times: the row with the greatest ``updated_at`` counts (without that column the
+    greatest prices). A card that is unknown or has neither price has ``found`` false.
+    """
+    newest = F.struct(*([F.col("updated_at")] if "updated_at" in prices.columns else []), "price_usd", "price_cny")
+    book = prices.groupBy(text.normalised(F.col("card")).alias("_key")).agg(F.max(newest).alias("_p")).select("_key", "_p.price_usd", "_p.price_cny")
+    book = book.withColumn("_found", F.coalesce("price_usd", "price_cny").isNotNull())
     met = lines.withColumn("_key", text.normalised(F.col("card"))).join(if_small(book), "_key", "left").drop("_key")
     unit = F.coalesce("price_cny", "price_usd")
     return met.withColumn("unit_cny", unit).withColumn("total_cny", unit * F.col("quantity")).withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found", "price_cny")
@@ -30,7 +36,15 @@ def buylist_totals(priced: DataFrame, key: str) -> DataFrame:
     """Cards, lines, subtotal, whether all were found and whether the list is valid."""
     return priced.groupBy(key).agg(
         F.sum("quantity").alias("total_cards"), F.count(F.lit(1)).alias("line_items"), F.sum(F.coalesce("total_cny", F.lit(0.0))).alias("subtotal_cny"), F.bool_and("found").alias("all_found")
-    )
+    ).withColumn("valid", (F.col("line_items") > 0) & (F.coalesce("total_cards", F.lit(0)) > 0))
+
+
+def set_prices(prices: DataFrame, changes: DataFrame) -> DataFrame:
+    """``prices`` with ``changes`` (card, price_usd, updated_at) over them by normalised card name; a change's last row wins."""
+    key = text.normalised(F.col("card"))
+    last = changes.groupBy(key.alias("_key")).agg(F.max_by(F.struct(F.trim("card").alias("card"), "price_usd", "updated_at"), "updated_at").alias("_c"))
+    kept = prices.withColumn("_key", key).join(last.select("_key"), "_key", "left_anti").select(prices.columns)
+    return kept.unionByName(last.select("_c.card", "_c.price_usd", F.lit(None).cast(prices.schema["price_cny"].dataType).alias("price_cny"), "_c.updated_at"))
 
 
 def estimated_total(totals: DataFrame) -> DataFrame:
@@ -46,7 +60,7 @@ def orders(priced: DataFrame, key: str) -> DataFrame:
 
 def rejects(lines: DataFrame, most: int = 3) -> DataFrame:
     """Lines that an order can't take, with the reason."""
-    reason = F.when(F.col("quantity") > most, "too many").when(F.col("quantity") < 1, "no quantity").when(F.trim("card") == "", "no name")
+    reason = F.when(F.col("quantity").isNull(), "unreadable quantity").when(F.col("quantity") > most, "too many").when(F.col("quantity") < 1, "no quantity").when(F.trim("card") == "", "no name")
     return lines.withColumn("reason", reason).where("reason is not null")
 
 

@@ -23,10 +23,15 @@ def drop_stale(events: DataFrame, seen: DataFrame, as_of: str, complete: bool) -
     if not complete:
         return events
     future = F.col("start_date") >= F.lit(as_of).cast("timestamp_ntz")
-    seen_ids = seen.select("external_id").distinct()
-    some = seen_ids.limit(1).agg((F.count(F.lit(1)) > 0).alias("_some"))  # one row
-    stale = events.where(future).join(seen_ids, "external_id", "left_anti").select("external_id").join(F.broadcast(some)).where("_some").select("external_id")
-    return events.join(stale, "external_id", "left_anti")
+    seen_ids = seen.select("external_id", F.lit(True).alias("_seen")).distinct()
+    some = seen.select(F.lit(True).alias("_any")).limit(1).agg(F.count(F.lit(1)).alias("_some"))  # one row
+    told = events.join(seen_ids, "external_id", "left").join(F.broadcast(some))
+    return told.where(~future | F.col("_seen").isNotNull() | (F.col("_some") == 0)).select(events.columns)
+
+
+def cleanup_due(last_run: Column, as_of: Column, hours: int = 24) -> Column:
+    """Whether a cleanup may run: never run before, or at least ``hours`` ago."""
+    return F.coalesce(temporal.hours_since(last_run, as_of) >= hours, F.lit(True))
 
 
 def drop_orphans(events: DataFrame, column: str = "shop_id") -> DataFrame:
@@ -51,9 +56,19 @@ def backfilled(existing: Column, lat: Column, lng: Column, precision: int) -> Co
     return F.coalesce(existing, geo.geohash(lat, lng, precision))
 
 
+RUN_LOG = "run_id long, at timestamp, status string, events_found long, events_created long, events_updated long, error_message string"
+
+
 def run_transition(runs: DataFrame, run_id: int, status: str, as_of: str, found: int = 0, created: int = 0, updated: int = 0, error: str | None = None) -> DataFrame:
-    """Append a run's new state; the latest row of a run is its state."""
+    """Append a run's new state to a log of ``RUN_LOG`` rows; :func:`latest_runs` reads it."""
     if status not in ("running", "completed", "failed"):
         raise ValueError(status)
-    row = [(run_id, as_of, status, found, created, updated, error)]
-    return runs.unionByName(runs.sparkSession.createDataFrame(row, "run_id long, at string, status string, events_found long, events_created long, events_updated long, error_message string"))
+    row = runs.sparkSession.createDataFrame([(run_id, as_of, status, found, created, updated, error)], RUN_LOG.replace("timestamp", "string"))
+    return runs.unionByName(row.withColumn("at", F.to_timestamp("at")))
+
+
+def latest_runs(log: DataFrame) -> DataFrame:
+    """A row a run: its start, its end where it has one, and its last state."""
+    last = F.max_by(F.struct("status", "events_found", "events_created", "events_updated", "error_message"), F.struct("at", (F.col("status") != "running").alias("ended")))
+    told = log.groupBy("run_id").agg(F.min("at").alias("started_at"), F.max(F.when(F.col("status") != "running", F.col("at"))).alias("completed_at"), last.alias("_l"))
+    return told.select("run_id", "started_at", "completed_at", "_l.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from fairgrid.functions import geo, text
 from fairgrid.schema import EventQuery
 
-#: A dimension of at most this many bytes is broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 32 << 20
+#: A dimension of at most this many bytes by the optimiser (compressed, for Parquet) is broadcast; larger ones are left to adaptive execution.
+BROADCAST_BYTES = 8 << 20
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -22,7 +23,9 @@ def if_small(df: DataFrame) -> DataFrame:
 
 
 def event_predicates(q: EventQuery, as_of: str | None = None) -> list[Column]:
-    """Conjuncts on event columns."""
+    """Conjuncts on event columns; a default window needs ``as_of`` where a bound is missing."""
+    if q.default_window_days and as_of is None and not (q.start_from and q.start_to):
+        raise ValueError("a default window needs as_of")
     out = [text.contains_text(F.col(c), getattr(q, c), q.wildcards) for c in ("city", "state", "country") if getattr(q, c)]
     if q.search:
         out.append(reduce(lambda a, b: a | b, [text.contains_text(F.col(c), q.search, q.wildcards) for c in ("name", "description", "location")]))
@@ -116,17 +119,29 @@ def within_radius(points: DataFrame, rows: DataFrame, radius_km: float) -> DataF
     return met.where(F.col("distance_km") <= radius_km).select("point_id", "row_id", "distance_km")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, first_km: float = 250.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
     """The nearest of ``places`` (row_id, latitude, longitude) for each point (point_id, lat, lng), ties to the smaller id.
 
-    Circles double until every point has met a place; each round only carries the points still without one.
+    Both fall into a grid of ``cell`` degrees, of 16 200 cells however many rows there are, so cells meet cells by
+    broadcast. Each cell with points gets a bound from the nearest cells with places, then the cells that can hold
+    something as near; points meet the places of those cells only, and both tables are read once.
     """
-    out, left, radius = None, points, first_km
-    while True:
-        best = within_radius(left, places, radius).groupBy("point_id").agg(F.min(F.struct("distance_km", "row_id")).alias("_best"))
-        best = best.select("point_id", F.col("_best.row_id").alias("row_id"), F.col("_best.distance_km").alias("distance_km"))
-        out = best if out is None else out.unionByName(best)
-        if radius > 20_100:
-            return out
-        left = left.join(best.select("point_id"), "point_id", "left_anti")
-        radius = radius * 4 if radius * 4 < 10_000 else 20_200.0
+    across, down = int(360 // cell), int(180 // cell)
+    grid = lambda lat, lng: (F.least(F.floor((lat + 90) / cell), F.lit(down - 1)), F.pmod(F.floor((lng + 180) / cell), F.lit(across)))
+    y, x = grid(F.col("latitude"), F.col("longitude"))
+    placed = places.where("latitude is not null and longitude is not null").select("row_id", "latitude", "longitude", y.alias("_y"), x.alias("_x"))
+    y, x = grid(F.col("lat"), F.col("lng"))
+    asked = points.where("lat is not null and lng is not null").select("point_id", "lat", "lng", y.alias("_py"), x.alias("_px"))
+    middle = lambda k, low: (F.col(k) + 0.5) * cell + low
+    full = placed.select("_y", "_x").distinct()
+    wanted = asked.select("_py", "_px").distinct()
+    # a point of a cell is within ``half`` of the cell's middle, so cells whose middles are farther apart than the nearest by 4 halves can't hold the nearest place
+    half = geo.EARTH_KM * math.radians(cell) / math.sqrt(2) * 1.001
+    apart = geo.haversine_km(middle("_py", -90), middle("_px", -180), middle("_y", -90), middle("_x", -180))
+    met = wanted.join(F.broadcast(full)).withColumn("_km", apart)  # cells with cells
+    near = met.groupBy("_py", "_px").agg(F.min("_km").alias("_least"), F.collect_list(F.struct("_km", "_y", "_x")).alias("_cells"))
+    near = near.select("_py", "_px", F.explode(F.filter("_cells", lambda c: c["_km"] <= F.col("_least") + 4 * half)).alias("_c")).select("_py", "_px", "_c._y", "_c._x")
+    pairs = asked.join(near, ["_py", "_px"]).join(placed, ["_y", "_x"])
+    km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
+    best = pairs.groupBy("point_id").agg(F.min(F.struct(km.alias("distance_km"), "row_id")).alias("_best"))
+    return best.select("point_id", F.col("_best.row_id").alias("row_id"), F.col("_best.distance_km").alias("distance_km"))

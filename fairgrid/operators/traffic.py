@@ -19,27 +19,19 @@ def since(log: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def wide_report(log: DataFrame) -> DataFrame:
-    """All single-number metrics in one pass."""
-    uri, visitor = F.col("uri"), F.col("visitor")
-    home, page = uri.isin("/", "/index.html"), uri.rlike(weblog.EVENT_PAGE)
-    visit = uri.rlike("/(visit|register)$")
-    return with_visitor(log).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_distinct("visitor").alias("visitors"),
-        F.count_if(weblog.is_success(F.col("status"))).alias("successful"),
-        F.count_if(home).alias("homepage"),
-        F.count_distinct(F.when(home, visitor)).alias("homepage_visitors"),
-        F.count_if(page).alias("event_pages"),
-        F.count_distinct(F.when(page, visitor)).alias("event_page_visitors"),
-        F.count_distinct(F.when(page, uri)).alias("events_viewed"),
-        F.count_if(uri.startswith("/api/")).alias("api_calls"),
-        F.count_if(uri == "/api/events").alias("calendar_api"),
-        F.count_if(uri.startswith("/api/events/geocode")).alias("geocode_api"),
-        F.count_if(visit).alias("visits"),
-        F.count_distinct(F.when(visit, visitor)).alias("visit_visitors"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-    )
+    """All single-number metrics: each visitor's counts first, so that distinct visitors are counted on one row a visitor."""
+    uri = F.col("uri")
+    home, page, visit = uri.isin("/", "/index.html"), uri.rlike(weblog.EVENT_PAGE), uri.rlike("/(visit|register)$")
+    counted = {
+        "requests": F.lit(True), "successful": weblog.is_success(F.col("status")), "homepage": home, "event_pages": page, "api_calls": uri.startswith("/api/"),
+        "calendar_api": uri == "/api/events", "geocode_api": uri.startswith("/api/events/geocode"), "visits": visit,
+    }
+    each = with_visitor(log).groupBy("visitor").agg(*(F.count_if(c).alias(n) for n, c in counted.items()), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    seen = {"homepage_visitors": "homepage", "event_page_visitors": "event_pages", "visit_visitors": "visits"}
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counted]
+    told = each.agg(*sums, F.count("visitor").alias("visitors"), *(F.count_if(F.col("visitor").isNotNull() & (F.col(c) > 0)).alias(n) for n, c in seen.items()), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    pages = log.where(page).select("uri").distinct().agg(F.count(F.lit(1)).alias("events_viewed"))
+    return told.join(F.broadcast(pages))  # one row each
 
 
 def daily(log: DataFrame) -> DataFrame:
@@ -58,11 +50,23 @@ def geocode_report(log: DataFrame) -> DataFrame:
     counts = log.agg(
         F.count_if(kind == "cache_hit").alias("hits"), F.count_if(kind == "cache_miss").alias("misses"), F.count_if(kind.startswith("mapbox_")).alias("provider_calls"),
         F.count_if(success).alias("successes"), F.count_if(~success).alias("errors"),
+        *(F.count_if(kind == f"mapbox_{name}").alias(name) for name in ("forward", "reverse", "autocomplete")),
     )
     hit_rate = temporal.percent_truncated(F.col("hits"), F.col("hits") + F.col("misses"))
     return counts.withColumn("hit_rate", hit_rate).withColumn("error_rate", temporal.percent_truncated(F.col("errors"), F.col("errors") + F.col("successes")))
 
 
+def geocode_correlation(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """Autocomplete calls of the geocoder log against visitors (by address) and location searches of the access log, cut ratios."""
+    calls = log.agg(F.count_if(text.metric_type(F.col("line")) == "mapbox_autocomplete").alias("calls"))
+    asked = requests.agg(F.count_distinct("ip").alias("visitors"), F.count_if(F.col("uri").startswith("/api/events/geocode")).alias("searches"))
+    told = calls.join(F.broadcast(asked))  # one row each
+    return told.select(
+        "calls", "visitors", "searches", temporal.percent_truncated(F.col("calls") / 100.0, F.col("visitors"), 3).alias("calls_per_visitor"),
+        temporal.percent_truncated(F.col("calls"), F.col("searches")).alias("calls_per_search"), (F.col("searches") - F.col("calls")).alias("saved_calls"),
+    )
+
+
 def rate_limited(rows: DataFrame, key: str, ts: str, order: str, limit: int, window: str = "1 minute") -> DataFrame:
     """Add ``allowed``: whether the row is among the first ``limit`` of its key and epoch-aligned window."""
     framed = rows.withColumn("_w", F.window(ts, window)["start"])

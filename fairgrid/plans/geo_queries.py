@@ -105,15 +105,16 @@ LEFT JOIN places u ON lower(trim(q.query)) = lower(u.name) || ', uk'""")
 def geocode_cascade(queries: DataFrame, zips: DataFrame, cache: DataFrame, places: DataFrame) -> DataFrame:
     """ZIP, cache, local, public, none."""
     local = places.select(F.lower("name").alias("query"), "latitude", "longitude")
+    local = local.unionByName(local.withColumn("latitude", F.col("latitude") + 50))  # a provider that gives several answers
     public = places.select(F.concat(F.lower("name"), F.lit(", uk")).alias("query"), (F.col("latitude") + 1).alias("latitude"), (F.col("longitude") + 1).alias("longitude"))
-    return geocode.geocode(queries, zips, cache, local, public)
+    return geocode.geocode(queries, zips, cache, local, public).select("query_id", "lat", "lng", "source")
 
 
-@query("places", sql="SELECT place_id, name, type, region || ' land' AS label FROM places WHERE lower(name) LIKE 'i%' QUALIFY row_number() OVER (PARTITION BY region, type ORDER BY place_id) = 1 ORDER BY place_id LIMIT 4")
+@query("places", sql="SELECT place_id, name, type, region || ' land' AS label FROM places WHERE lower(name) LIKE 'nation_1%' QUALIFY row_number() OVER (PARTITION BY region, type ORDER BY place_id) = 1 ORDER BY place_id LIMIT 4")
 def keep_first_suggestions(places: DataFrame) -> DataFrame:
     """Suggestions by prefix, each label and type once."""
     labelled = places.select("place_id", "name", "type", F.concat("region", F.lit(" land")).alias("label"))
-    return geocode.suggest(labelled, " I", shortest=1)
+    return geocode.suggest(labelled, " Nation_1")
 
 
 @query("places", sql="""SELECT place_id, CASE WHEN place_id % 4 = 0 THEN 'Q' || CAST(place_id AS STRING) ELSE name END AS name, type, CASE WHEN place_id % 3 = 0 THEN upper(left(name, 2)) ELSE '' END AS countrycode,
@@ -156,7 +157,7 @@ def display_name_join(places: DataFrame) -> DataFrame:
     return places.select("place_id", label.alias("label"), F.coalesce(city, F.concat("name", F.lit(", Land"))).alias("city_label"), provider.alias("provider"))
 
 
-@query("places", "shops", sql="SELECT place_id AS id, name AS city FROM places UNION ALL SELECT shop_id, state FROM shops WHERE state NOT IN (SELECT name FROM places WHERE place_id % 2 = 0) AND shop_id % 2 = 0 AND state NOT IN (SELECT name FROM places)")
+@query("places", "shops", sql="SELECT place_id AS id, name AS city FROM places WHERE place_id < 12 UNION ALL SELECT shop_id, state FROM shops WHERE state NOT IN (SELECT name FROM places WHERE place_id < 12)")
 def priority_union_cities(places: DataFrame, shops: DataFrame) -> DataFrame:
     """Places first, shops' cities that they lack after."""
-    return geocode.priority_union(places.select(F.col("place_id").cast("long").alias("id"), F.col("name").alias("city")), shops.where("shop_id % 2 = 0").select(F.col("shop_id").alias("id"), F.col("state").alias("city")), ["city"])
+    return geocode.priority_union(places.where("place_id < 12").select(F.col("place_id").cast("long").alias("id"), F.col("name").alias("city")), shops.select(F.col("shop_id").alias("id"), F.col("state").alias("city")), ["city"])

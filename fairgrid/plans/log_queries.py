@@ -9,6 +9,7 @@ from fairgrid.functions import temporal, text, weblog
 from fairgrid.operators import traffic
 from fairgrid.plans.registry import query
 
+# Patterns and names of the access-log classes, as in functions/weblog.py.
 VISITOR = "coalesce(nullif(regexp_extract(cookie, 'mid=([a-f0-9-]+)', 1), ''), ip)"
 PAGE = "regexp_matches(uri, '^/events?/[a-f0-9-]+$')"
 VISIT = "regexp_matches(uri, '/(visit|register)$')"
@@ -114,6 +115,7 @@ def geocode_by_type(log: DataFrame) -> DataFrame:
 
 @query("geo_log", sql="""SELECT *, CASE WHEN hits + misses > 0 THEN CAST(hits * 1000 // (hits + misses) AS DOUBLE) / 10 END AS hit_rate, CASE WHEN errors + successes > 0 THEN CAST(errors * 1000 // (errors + successes) AS DOUBLE) / 10 END AS error_rate FROM
 (SELECT count(*) FILTER (contains(line, 'type=cache_hit')) AS hits, count(*) FILTER (contains(line, 'type=cache_miss')) AS misses, count(*) FILTER (contains(line, 'type=mapbox_')) AS provider_calls,
+count(*) FILTER (contains(line, 'type=mapbox_forward')) AS forward, count(*) FILTER (contains(line, 'type=mapbox_reverse')) AS reverse, count(*) FILTER (contains(line, 'type=mapbox_autocomplete')) AS autocomplete,
 count(*) FILTER (contains(line, 'success=true')) AS successes, count(*) FILTER (contains(line, 'success=false')) AS errors FROM geo_log)""")
 def geocode_report(log: DataFrame) -> DataFrame:
     """Hit and error rates."""

@@ -22,10 +22,10 @@ def upsert_status_counts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return merge.status_counts(merge.merge(stored, incoming, "external_id", COMPARED))
 
 
-@query("stored", "incoming", sql="SELECT coalesce(i.external_id, s.external_id) AS external_id, CASE WHEN i.external_id IS NULL THEN s.name ELSE i.name END AS name, CASE WHEN i.external_id IS NULL THEN s.description ELSE i.description END AS description, s.created_at FROM " + JOINED)
+@query("stored", "incoming", sql="SELECT coalesce(i.external_id, s.external_id) AS external_id, CASE WHEN i.external_id IS NULL THEN s.name ELSE i.name END AS name, CASE WHEN i.external_id IS NULL THEN s.description ELSE i.description END AS description, CASE WHEN s.external_id IS NULL THEN 20000 ELSE s.created_at END AS created_at FROM " + JOINED)
 def upsert_post_state(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Table after the upsert; creation times stay."""
-    return merge.merge(stored, incoming, "external_id", COMPARED).select("external_id", "name", "description", "created_at")
+    """Table after the upsert; creation times stay, new rows get the time of the upsert."""
+    return merge.merge(stored, incoming, "external_id", COMPARED, as_of=20_000).select("external_id", "name", "description", "created_at")
 
 
 @query("cal_events", sql="SELECT shop_id, external_id, name FROM cal_events QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY start_date DESC, external_id DESC) = 1")
@@ -97,8 +97,9 @@ def backfill_geohash(shops: DataFrame) -> DataFrame:
     return shops.select("shop_id", retention.backfilled(existing, F.col("latitude"), F.col("longitude"), 3).alias("geohash3"))
 
 
-PRICED = """SELECT b.order_id, b.line, b.quantity, p.price_usd, coalesce(p.price_cny, p.price_usd) AS unit_cny, coalesce(p.price_cny, p.price_usd) * b.quantity AS total_cny, p.card IS NOT NULL AS found
-FROM buylist b LEFT JOIN prices p ON lower(trim(b.card)) = lower(trim(p.card))"""
+PRICED = """SELECT b.order_id, b.line, b.quantity, p.price_usd, coalesce(p.price_cny, p.price_usd) AS unit_cny, coalesce(p.price_cny, p.price_usd) * b.quantity AS total_cny,
+coalesce(p.price_cny, p.price_usd) IS NOT NULL AS found
+FROM buylist b LEFT JOIN (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY lower(trim(card)) ORDER BY updated_at DESC) = 1) p ON lower(trim(b.card)) = lower(trim(p.card))"""
 
 
 @query("buylist", "prices", sql=f"SELECT order_id, line, quantity, found, round(unit_cny, 4) AS unit_cny, round(total_cny, 4) AS total_cny FROM ({PRICED})")
@@ -107,7 +108,7 @@ def buylist_priced(lines: DataFrame, prices: DataFrame) -> DataFrame:
     return pricing.price_lines(lines, prices).select("order_id", "line", "quantity", "found", F.round("unit_cny", 4).alias("unit_cny"), F.round("total_cny", 4).alias("total_cny"))
 
 
-@query("buylist", "prices", sql=f"SELECT order_id, CAST(sum(quantity) AS BIGINT) AS total_cards, count(*) AS line_items, round(sum(coalesce(total_cny, 0)), 2) AS subtotal_cny, bool_and(found) AS all_found FROM ({PRICED}) GROUP BY order_id")
+@query("buylist", "prices", sql=f"SELECT order_id, CAST(sum(quantity) AS BIGINT) AS total_cards, count(*) AS line_items, round(sum(coalesce(total_cny, 0)), 2) AS subtotal_cny, bool_and(found) AS all_found, sum(quantity) > 0 AS valid FROM ({PRICED}) GROUP BY order_id")
 def buylist_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Totals of each list."""
     return pricing.buylist_totals(pricing.price_lines(lines, prices), "order_id").withColumn("subtotal_cny", F.round("subtotal_cny", 2))
@@ -127,7 +128,7 @@ def buylist_rejects(lines: DataFrame) -> DataFrame:
 
 
 @query("card_lists", sql="""SELECT conv_id, turn, 0 AS line, CAST(turn % 7 AS INT) AS quantity, 'Card ' || CAST(conv_id % 40 AS STRING) AS card FROM card_lists UNION ALL SELECT conv_id, turn, 1, 1, 'Lone Card' FROM card_lists
-UNION ALL SELECT conv_id, turn, 2, CAST(conv_id % 4 AS INT), 'Other ' || split_part(text, ':', 1) FROM card_lists""")
+UNION ALL SELECT conv_id, turn, 2, CAST(conv_id % 4 AS INT), 'Other ' || split_part(text, ':', 1) FROM card_lists UNION ALL SELECT conv_id, turn, 3, NULL, 'Big Card' FROM card_lists""")
 def buylist_parse(lists: DataFrame) -> DataFrame:
     """Lines of pasted lists."""
     return pricing.parse_buylists(lists).select("conv_id", "turn", "line", "quantity", "card")

@@ -50,7 +50,9 @@ SELECT event_id, CAST(CAST(ts AS DATE) AS STRING) AS date, '[GEOCODE] type=' ||
        CASE WHEN event_id % 6 IN (3, 4) THEN CASE WHEN event_id % 13 = 0 THEN ' success=false' ELSE ' success=true' END ELSE '' END AS line
 FROM {events}""",
     "prices": """
-SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS card, p_retailprice AS price_usd, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_retailprice * 7 END AS price_cny FROM {part}""",
+SELECT p_name || ' ' || CAST(p_partkey AS STRING) AS card, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price_usd,
+       CASE WHEN p_size % 3 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_retailprice * 7 END AS price_cny, p_partkey AS updated_at FROM {part}
+UNION ALL SELECT ' ' || upper(p_name || ' ' || CAST(p_partkey AS STRING)), p_retailprice + 1, p_retailprice * 8, p_partkey + 1000000 FROM {part} WHERE p_partkey % 7 = 0""",
     "buylist": """
 SELECT l_orderkey AS order_id, l_linenumber AS line, CAST(l_quantity AS INT) % 5 AS quantity,
        CASE WHEN l_partkey % 20 = 0 THEN 'Unknown ' || CAST(l_partkey AS STRING) ELSE '  ' || upper(p_name) || ' ' || CAST(l_partkey AS STRING) END AS card
@@ -69,12 +71,31 @@ SELECT lpad(CAST(c_custkey AS STRING), 5, '0') AS zipcode, c_name AS city, 20 +
     "geocache": """
 SELECT lower(s_name) AS query, 10 + (s_suppkey % 60) * 0.5e0 AS latitude, (s_suppkey % 120) * 0.5e0 AS longitude, s_suppkey * 31 % 1009 AS accessed FROM {supplier}""",
     "geo_queries": """
-SELECT c_custkey AS query_id, CASE c_custkey % 6 WHEN 0 THEN ' ' || lpad(CAST(c_custkey * 2 AS STRING), 5, '0') WHEN 1 THEN 'SUPPLIER#' || CAST(c_custkey % 300 AS STRING) WHEN 2 THEN n_name || ' '
+SELECT c_custkey AS query_id, CASE c_custkey % 6 WHEN 0 THEN ' ' || lpad(CAST(c_custkey * 2 AS STRING), 5, '0') WHEN 1 THEN 'SUPPLIER#' || lpad(CAST(c_custkey % 300 AS STRING), 9, '0') WHEN 2 THEN n_name || ' '
        WHEN 3 THEN n_name || ', uk' WHEN 4 THEN 'ukraine ' || n_name ELSE 'nowhere' END AS query
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "shop_state": """
+SELECT shop_id, name, CASE WHEN shop_id % 6 = 0 THEN NULL WHEN shop_id % 6 = 1 THEN '' ELSE state || ', ' || country END AS location_text, latitude, longitude,
+       CASE WHEN shop_id % 4 = 0 THEN 'completed' ELSE 'pending' END AS geocode_status, CASE WHEN shop_id % 9 = 0 THEN 'old error' END AS geocode_error,
+       CASE WHEN shop_id % 5 = 0 THEN 'Old City' END AS display_city, CAST('2024-01-01' AS DATE) + CAST(shop_id % 20 AS INT) AS created_on
+FROM {shops}""",
+    "geocode_results": """
+SELECT shop_id, CASE WHEN shop_id % 3 = 0 THEN NULL ELSE 10.5e0 END AS latitude, CASE WHEN shop_id % 3 = 0 THEN NULL ELSE 20.5e0 END AS longitude, CASE WHEN shop_id % 3 = 0 THEN 'no result' END AS error,
+       CASE WHEN shop_id % 10 = 0 THEN 'New City' END AS display_city
+FROM {shops} WHERE shop_id % 2 = 0""",
+    "wire": """
+SELECT external_id AS id, name, description, start_date, cost_in_cents, currency, capacity, player_count, city, shop_id, 'T' || CAST(external_id % 4 AS STRING) AS template,
+       CASE WHEN external_id % 13 = 0 THEN NULL ELSE 'Store ' || CAST(shop_id AS STRING) END AS store_name, CASE WHEN external_id % 3 = 0 THEN 'TX' ELSE 'Store Town' END AS store_city,
+       '1 Road, ' || city || ', TX 78701, US' AS full_address, CASE WHEN external_id % 5 = 0 THEN NULL ELSE 30 + (shop_id * 37 % 2000) / 100.0e0 END AS latitude, 31.25e0 AS store_latitude, -97.75e0 AS longitude
+FROM {cal_events}""",
+    "items": """
+SELECT 'SHOP' AS entity_type, CAST(shop_id AS STRING) AS id, CAST(NULL AS STRING) AS shop_id, CAST(NULL AS TIMESTAMP) AS start_date, CAST(NULL AS STRING) AS index_key FROM {shops}
+UNION ALL SELECT 'EVENT', CAST(external_id AS STRING), CASE WHEN external_id % 7 = 0 THEN NULL ELSE CAST(shop_id AS STRING) END, CAST(start_date AS TIMESTAMP), CASE WHEN external_id % 4 = 0 THEN 'SHOP#kept' END FROM {cal_events}
+UNION ALL SELECT 'GEOCACHE', query, NULL, NULL, NULL FROM {geocache} UNION ALL SELECT 'SCRAPE_RUN', CAST(run_id AS STRING), NULL, CAST(started_at AS TIMESTAMP), NULL FROM {runs} WHERE run_id < 400
+UNION ALL SELECT 'ZIPCODE', zipcode, NULL, NULL, NULL FROM {zipcodes}""",
     "card_lists": """
 SELECT conv_id, turn, role || ':' || chr(10) || CAST(turn % 7 AS STRING) || 'x Card ' || CAST(conv_id % 40 AS STRING) || chr(10) || 'MainDeck' || chr(10) || chr(10) || '  Lone Card  ' || chr(10) ||
-       CAST(conv_id % 4 AS STRING) || ' Other ' || role AS text FROM {conversations}""",
+       CAST(conv_id % 4 AS STRING) || ' Other ' || role || chr(10) || '99999999999 Big Card' AS text FROM {conversations}""",
 }
 
 

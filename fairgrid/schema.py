@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from urllib.parse import parse_qsl, urlencode
 
 from pyspark.sql import types as T
 
@@ -19,9 +20,9 @@ EVENT = T.StructType(
 #: Columns whose change makes an event worth writing; images and bookkeeping times don't.
 COMPARED_EVENT = [
     "name", "description", "location", "address", "city", "state", "country", "latitude", "longitude", "start_date", "start_time", "end_date",
-    "event_type", "organizer", "player_count", "capacity", "price", "url", "shop_id",
+    "event_type", "organizer", "player_count", "capacity", "price", "url", "shop_id", "geohash3", "shop_name", "shop_latitude", "shop_longitude",
 ]
-COMPARED_SHOP = ["name", "location_text", "latitude", "longitude"]
+COMPARED_SHOP = ["name", "location_text", "latitude", "longitude", "geohash3", "geohash4"]
 
 WIRE_STORE = "struct<id:long,name:string,full_address:string,city:string,state:string,country:string,latitude:double,longitude:double,website:string,email:string>"
 WIRE_EVENT = (
@@ -62,6 +63,21 @@ class EventQuery:
         if self.limit < 0:
             raise ValueError("limit is negative")
 
+    def key(self) -> str:
+        """A shareable text of the filters: defaults left out, coordinates to four decimals, names in order."""
+        told = {}
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if value != f.default and f.name not in ("page", "limit"):
+                told[f.name] = f"{value:.4f}" if f.name in ("lat", "lng") else str(value)
+        return urlencode(sorted(told.items()))
+
+    @classmethod
+    def of_key(cls, key: str) -> EventQuery:
+        """The filters of :meth:`key`."""
+        kinds = {"radius_km": float, "lat": float, "lng": float, "default_window_days": int, "calendar_mode": "True".__eq__, "wildcards": "True".__eq__}
+        return cls(**{name: kinds.get(name, str)(value) for name, value in parse_qsl(key)})
+
     @property
     def window(self) -> tuple[int, int]:
         """(limit, offset); the calendar takes its first CALENDAR_LIMIT rows, pages below 1 count as 1."""

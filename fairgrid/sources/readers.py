@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from abc import abstractmethod
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from fairgrid import schema
 from fairgrid.functions.text import blank_to_null
@@ -39,14 +40,33 @@ class PagedEvents(DataSource):
         """Number of pages, from the options ``total`` and ``page_size`` (250)."""
         return -(-int(self.options.get("total", "0")) // int(self.options.get("page_size", "250")))
 
+    @abstractmethod
     def load_page(self, page: int) -> list[tuple]:
-        """Rows of one page: made up here, fetched in a subclass."""
-        size, total = int(self.options.get("page_size", "250")), int(self.options.get("total", "0"))
-        return [(page, i, f"event {i}") for i in range((page - 1) * size, min(page * size, total))]
+        """Rows of one page; a subclass fetches them."""
 
     def reader(self, schema: object) -> DataSourceReader:
         return _PagedReader(self)
 
+    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:  # noqa: N802
+        return _PagedStream(self)
+
+
+class _PagedStream(SimpleDataSourceStreamReader):
+    """Pages one after another, at most ``pages_per_batch`` (1) in a micro-batch, until the last one."""
+
+    def __init__(self, source: PagedEvents):
+        self.source, self.most = source, int(source.options.get("pages_per_batch", "1"))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"page": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        end = {"page": min(self.source.pages(), start["page"] + self.most)}
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        return iter([row for page in range(start["page"] + 1, end["page"] + 1) for row in self.source.load_page(page)])
+
 
 class _PagedReader(DataSourceReader):
     def __init__(self, source: PagedEvents):
@@ -59,10 +79,13 @@ class _PagedReader(DataSourceReader):
         yield from self.source.load_page(partition.value)
 
 
-def read_access_logs(spark: SparkSession, path: str, first_date: str | None = None) -> DataFrame:
-    """Tab-separated log lines, comments skipped, lines of fewer than ten fields dropped, missing fields ''."""
+def read_access_logs(spark: SparkSession, path: str, first_date: str | None = None, packed_only: bool = False) -> DataFrame:
+    """Tab-separated log lines, comments skipped, lines of fewer than ten fields dropped, missing fields ''.
+
+    ``packed_only`` reads ``*.gz`` alone, where a folder holds each log packed and unpacked.
+    """
     parts = F.split("value", "\t")
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(parts.alias("_p")).where(F.size("_p") >= LEAST_FIELDS)
+    lines = spark.read.option("pathGlobFilter", "*.gz" if packed_only else "*").text(path).where(~F.startswith("value", F.lit("#"))).select(parts.alias("_p")).where(F.size("_p") >= LEAST_FIELDS)
     rows = lines.select(*(F.coalesce(F.get("_p", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(LOG_FIELDS)))
     typed = rows.withColumn("bytes", F.expr("try_cast(bytes as bigint)")).withColumn("datetime", F.try_to_timestamp(F.concat_ws(" ", "date", "time")))
     return typed.where(F.col("date") >= first_date) if first_date else typed
@@ -95,20 +118,33 @@ def read_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         found = [blank_to_null(F.trim(F.col(f"`{have[a]}`").cast("string"))) for a in aliases if a in have]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
-    number = lambda c: c.try_cast("double")
+    usd, cny = F.coalesce(pick("priceusd", "usd"), pick("price")), pick("pricecny", "cny")
+    unreadable = lambda c: c.isNotNull() & (c.try_cast("double").isNull() | F.isnan(c.try_cast("double")))
     rows = raw.select(
         pick("cardname", "name", "card").alias("card"), pick("cardnumber", "number").alias("card_number"), pick("set", "setcode").alias("set"),
-        F.coalesce(number(pick("priceusd", "usd")), number(pick("price"))).alias("price_usd"), number(pick("pricecny", "cny")).alias("price_cny"),
+        usd.try_cast("double").alias("price_usd"), cny.try_cast("double").alias("price_cny"), (unreadable(usd) | unreadable(cny)).alias("_bad"),
     )
-    reason = F.when(F.col("card").isNull(), "no name").when(F.col("price_usd").isNull() & F.col("price_cny").isNull(), "no price").when(F.least("price_usd", "price_cny") < 0, "negative price")
-    told = rows.withColumn("reason", reason)
+    reason = F.when(F.col("card").isNull(), "no name").when(F.col("_bad"), "unreadable price").when(F.col("price_usd").isNull() & F.col("price_cny").isNull(), "no price").when(F.least("price_usd", "price_cny") < 0, "negative price")
+    told = rows.withColumn("reason", reason).drop("_bad")
     return told.where("reason is null").drop("reason"), told.where("reason is not null")
 
 
+def known_ids(spark: SparkSession, path: str, column: str = "osm_id") -> DataFrame:
+    """The distinct ids of a file of JSON lines."""
+    return spark.read.schema(f"`{column}` long").json(path).where(F.col(column).isNotNull()).distinct()
+
+
 def card_fields(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Fields of event cards in HTML, each id once, the first card of an id wins: adds ``external_id, title, fee, players``."""
+    """Fields of event cards in HTML, each id once, the first card of an id wins: ``external_id`` and its title, date, time, fee, players, format, region, store and image; what a card lacks is null."""
     cards = pages.select(F.posexplode(F.split(html_col, 'data-testid="eventCard-(?=[0-9])')).alias("_n", "_c"), F.monotonically_increasing_id().alias("_p")).where("_n > 0")
-    part = lambda name: F.trim(F.regexp_replace(F.regexp_extract("_c", f'data-testid="eventCard-{name}"[^>]*>(.*?)</', 1), "<[^>]*>", ""))
-    rows = cards.select("_p", "_n", F.regexp_extract("_c", "^([0-9]+)", 1).alias("external_id"), part("text-title").alias("title"), part("text-entryFee").alias("fee"), F.expr(r"try_cast(regexp_extract(regexp_replace(_c, '<!--.*?-->', ''), '([0-9]+)\\s*Players', 1) as int)").alias("players"))
-    first = rows.groupBy("external_id").agg(F.min_by(F.struct("title", "fee", "players"), F.struct("_p", "_n")).alias("_f"))
-    return first.select("external_id", "_f.*")
+    cards = cards.withColumn("_c", F.regexp_replace("_c", "(?s)<!--.*?-->", ""))
+    inner = lambda c: blank_to_null(F.trim(F.regexp_replace(c, "<[^>]*>", "")))
+    part = lambda name: inner(F.regexp_extract("_c", f'(?s)data-testid="eventCard-{name}"[^>]*>(.*?)</', 1))
+    after = lambda icon: inner(F.regexp_extract("_c", f'(?s)<svg[^>]*{icon}[^>]*>.*?</svg>(.*?)</(?:div|span|p)>', 1))
+    fields = F.struct(
+        part("text-title").alias("title"), F.expr("try_to_date(date_text, 'MMM d, yyyy')").alias("date"), part("text-time").alias("time"), part("text-entryFee").alias("fee"),
+        F.regexp_extract("_c", r"([0-9]+)\s*Players", 1).try_cast("int").alias("players"), after("trophy").alias("format"), part("text-storeName").alias("region"), after("store").alias("store"),
+        blank_to_null(F.regexp_extract("_c", '<img[^>]*src="([^"]*)"', 1)).alias("image"),
+    )
+    rows = cards.withColumn("date_text", part("text-date")).select("_p", "_n", F.regexp_extract("_c", "^([0-9]+)", 1).alias("external_id"), fields.alias("_f"))
+    return rows.groupBy("external_id").agg(F.min_by("_f", F.struct("_p", "_n")).alias("_f")).select("external_id", "_f.*")

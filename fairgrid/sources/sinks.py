@@ -39,6 +39,11 @@ def padded(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     return df.select(F.concat_ws("  ", *cells).alias("line"))
 
 
+def append_lines(rows: DataFrame, path: str, *columns: str) -> None:
+    """Append tab-separated lines to a log folder."""
+    rows.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value")).write.mode("append").text(path)
+
+
 def rate_metrics(df: DataFrame, name: str) -> DataFrame:
     """Counters of a batch, published with it as an observation."""
     return df.observe(name, F.count(F.lit(1)).alias("found"), F.count_if(F.col("_status") == "created").alias("created"), F.count_if(F.col("_status") == "updated").alias("updated"), F.count_if(F.col("_status") == "skipped").alias("skipped"))

@@ -1,10 +1,14 @@
 """Merges, retention, spatial joins, plans, sources, sinks and streams."""
 
+import gzip
 import itertools
+import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from fairgrid import schema
 from fairgrid.operators import merge, pricing, retention, search, traffic
 from fairgrid.plans.views import frames
 from fairgrid.schema import EventQuery
@@ -79,7 +83,7 @@ def test_unknown_cards_and_missing_prices(spark):
     lines = spark.createDataFrame([(1, 0, 2, " a "), (1, 1, 3, "zz"), (2, 0, 1, "B")], "order_id int, line int, quantity int, card string")
     prices = spark.createDataFrame([("A", 2.0, None), ("b", None, None)], "card string, price_usd double, price_cny double")
     totals = {r.order_id: (r.total_cards, r.subtotal_cny, r.all_found) for r in pricing.buylist_totals(pricing.price_lines(lines, prices), "order_id").collect()}
-    assert totals == {1: (5, 4.0, False), 2: (1, 0.0, True)}
+    assert totals == {1: (5, 4.0, False), 2: (1, 0.0, False)}
 
 
 def test_access_log_reader(spark, tmp_path):
@@ -95,6 +99,9 @@ def test_zip_and_price_readers(spark, tmp_path):
     head = "country,zip,place,n1,c1,n2,c2,lat,lng\n"
     (tmp_path / "z.csv").write_text(head + "US,00001,A,S,SS,,,1.5,2\nUS,1,B,S,SS,,,1,2\nCA,00002,C,S,SS,,,1,2\nUS,00003,D,S,SS,,,x,2\nUS,00001,E,S,SS,,,3,4\n")
     assert [(r.zipcode, r.city, r.latitude) for r in readers.read_zipcodes(spark, str(tmp_path / "z.csv")).collect()] == [("00001", "E", 3.0)]
+    (tmp_path / "q.json").write_text('[{"cardName":"E","priceUsd":"abc","priceCny":3},{"cardName":"F","priceUsd":"2.5"}]')
+    good, bad = readers.read_prices(spark, str(tmp_path / "q.json"))
+    assert [(r.card, r.price_usd) for r in good.collect()] == [("F", 2.5)] and [(r.card, r.reason) for r in bad.collect()] == [("E", "unreadable price")]
     (tmp_path / "p.json").write_text('[{"cardName":" A ","priceUsd":1.5},{"cardName":"B","price":2},{"cardName":"C"},{"cardName":"D","priceCny":-1}]')
     good, bad = readers.read_prices(spark, str(tmp_path / "p.json"))
     assert sorted((r.card, r.price_usd) for r in good.collect()) == [("A", 1.5), ("B", 2.0)]
@@ -104,17 +111,34 @@ def test_zip_and_price_readers(spark, tmp_path):
     assert [(r.card, r.price_usd, r.set) for r in good.collect()] == [("X", 3.5, "S1")] and bad.count() == 1
 
 
-def test_paged_source(spark):
-    spark.dataSource.register(readers.PagedEvents)
+def test_paged_source(spark, tmp_path):
+    class Pages(readers.PagedEvents):
+        def load_page(self, page):
+            return [(page, i, f"event {i}") for i in range((page - 1) * 250, min(page * 250, 601))]
+
+    spark.dataSource.register(Pages)
     rows = spark.read.format("paged_events").option("total", "601").load()
     assert rows.count() == 601 and rows.select("page").distinct().count() == 3
+    sizes = []
+    stream = spark.readStream.format("paged_events").option("total", "601").option("pages_per_batch", "2").load()
+    run = stream.writeStream.foreachBatch(lambda df, n: sizes.append(df.count())).option("checkpointLocation", str(tmp_path)).start()
+    run.processAllAvailable()
+    run.stop()
+    assert [n for n in sizes if n] == [500, 101]
 
 
 def test_card_fields(spark):
     card = '<div data-testid="eventCard-{i}"><p data-testid="eventCard-text-title">{t}</p><span data-testid="eventCard-text-entryFee">{f}</span><svg/>12<!-- --> Players</div>'
     page = card.format(i=11, t="One", f="Free") + card.format(i=12, t="Two", f="$5") + card.format(i=11, t="", f="")
     got = readers.card_fields(spark.createDataFrame([(page,)], "html string")).orderBy("external_id").collect()
-    assert [tuple(r) for r in got] == [("11", "One", "Free", 12), ("12", "Two", "$5", 12)]
+    assert [(r.external_id, r.title, r.fee, r.players, r.store, r.image) for r in got] == [("11", "One", "Free", 12, None, None), ("12", "Two", "$5", 12, None, None)]
+    full = (
+        '<div data-testid="eventCard-13"><img alt="" src="http://i/x.png"/><p data-testid="eventCard-text-title">Three</p><p data-testid="eventCard-text-date">Jan 5, 2024</p>'
+        '<p data-testid="eventCard-text-time">6:30 PM (UTC)</p><div><svg class="lucide-users"></svg>8<!-- --> Players</div><div><svg class="lucide-trophy"></svg>Sealed</div>'
+        '<p data-testid="eventCard-text-storeName">Ohio, US</p><div><svg class="lucide-store"></svg>Shop A</div><span data-testid="eventCard-text-entryFee">$3</span></div>'
+    )
+    r = readers.card_fields(spark.createDataFrame([(full,)], "html string")).first()
+    assert (str(r.date), r.time, r.players, r.format, r.region, r.store, r.image) == ("2024-01-05", "6:30 PM (UTC)", 8, "Sealed", "Ohio, US", "Shop A", "http://i/x.png")
 
 
 def test_sinks(spark, tmp_path):
@@ -151,4 +175,81 @@ def test_ingestion_stream_equals_one_merge(spark, small, tmp_path):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.ingest(stream, stored, write, str(tmp_path / "cp"), "external_id", ["start_date"], ["name", "player_count"]).awaitTermination()
     assert len(versions) > 1
+    # a batch killed between its write and its commit is run again from the version before it, and gives the same state
+    again = merge.newest_version(spark, str(tmp_path / "state"), len(versions) - 1)
+    assert again.endswith(versions[-2].rsplit("/", 1)[1])
+    last = spark.read.parquet(versions[-1]).collect()
+    assert merge.write_version(spark.createDataFrame(last), str(tmp_path / "state"), len(versions) - 1) == versions[-1]
+    assert sorted(spark.read.parquet(versions[-1]).collect()) == sorted(last)
     assert sorted(spark.read.parquet(versions[-1]).collect()) == sorted(events.drop("start_date").collect())
+
+
+def test_merge_leaves_null_keys_to_the_rejects(spark):
+    stored = spark.createDataFrame([(1, "a", 5)], "external_id long, name string, created_at int")
+    incoming = table(spark, [(None, "x"), (2, "b")])
+    got = merge.merge(stored, incoming, "external_id", ["name"], as_of=9).collect()
+    assert {r.external_id: (r.name, r.created_at, r._status) for r in got} == {1: ("a", 5, "kept"), 2: ("b", 9, "created")}
+    assert [r.name for r in merge.without_key(incoming, "external_id").collect()] == ["x"]
+
+
+def test_pages_to_merged_events(spark, tmp_path):
+    store = {"id": 7, "name": "Shop", "full_address": "1 Rd, Oslo, 12345 X, NO", "city": "Oslo", "state": "O", "country": "NO", "latitude": 59.9, "longitude": 10.7}
+    event = {"id": 5, "name": "Nexus Night", "start_datetime": "2024-01-05T18:00:00Z", "cost_in_cents": 0, "currency": "USD", "capacity": 8, "registered_user_count": 3, "event_configuration_template": "t", "store": store}
+    page = {"current_page_number": 1, "results": [event, event | {"id": 6, "store": None, "start_datetime": "soon"}]}
+    (tmp_path / "p.json").write_text(json.dumps(page))
+    rows = readers.read_pages(spark, str(tmp_path / "p.json"))
+    events = merge.canonical_events(rows, spark.createDataFrame([("t", "Summoner Skirmish kit")], "id string, name string"))
+    got = {r.external_id: r for r in events.collect()}
+    assert (got["5"].event_type, got["5"].city, got["5"].price, got["5"].geohash3, got["5"].shop_name, got["5"].url) == ("Summoner Skirmish", "Oslo", "Free", "u4x", "Shop", merge.EVENT_PAGES + "5")
+    assert got["6"].start_date is None and got["6"].shop_id is None and set(schema.COMPARED_EVENT) <= set(events.columns)
+    merged = merge.merge(events.limit(0), events, "external_id", schema.COMPARED_EVENT)
+    assert tuple(merge.ingestion_counters(merged, events).first()) == (2, 1, 2, 0, 0, 0)
+
+
+def test_run_log(spark):
+    log = spark.createDataFrame([], retention.RUN_LOG)
+    log = retention.run_transition(log, 1, "running", "2024-01-01 00:00:00")
+    log = retention.run_transition(log, 2, "running", "2024-01-01 01:00:00")
+    log = retention.run_transition(log, 1, "completed", "2024-01-01 02:00:00", 9, 2, 1)
+    log = retention.run_transition(log, 2, "failed", "2024-01-01 03:00:00", error="down")
+    got = {r.run_id: (r.status, r.events_found, r.error_message, str(r.completed_at)) for r in retention.latest_runs(log).collect()}
+    assert got == {1: ("completed", 9, None, "2024-01-01 02:00:00"), 2: ("failed", 0, "down", "2024-01-01 03:00:00")}
+    with pytest.raises(ValueError):
+        retention.run_transition(log, 3, "lost", "2024-01-01 00:00:00")
+
+
+def test_filters_as_text():
+    q = EventQuery(search="a&b =c", lat=40.123456, lng=-95.0, radius_km=50.0, calendar_mode=True)
+    assert q.key() == "calendar_mode=True&lat=40.1235&lng=-95.0000&radius_km=50.0&search=a%26b+%3Dc"
+    assert EventQuery.of_key(q.key()).key() == q.key() and EventQuery().key() == ""
+    assert EventQuery(page=4).key() == EventQuery().key()
+
+
+def test_default_window_needs_a_time():
+    with pytest.raises(ValueError):
+        search.event_predicates(EventQuery(default_window_days=90))
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_nearest_place_equals_all_pairs(spark, n):
+    from tests.test_functions import distance
+
+    spots = [(i, math.degrees(math.asin(math.sin(i * 1.7))), (i * 77.7) % 360 - 180) for i in range(60)]
+    places = [(i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]] + [(100 + i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]]
+    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), spark.createDataFrame(places, "row_id long, latitude double, longitude double")).collect()}
+    assert got == {i: min((round(distance(*p, *q), 9), k) for k, *q in places)[1] for i, *p in spots}
+
+
+def test_small_files(spark, tmp_path):
+    (tmp_path / "ids.json").write_text('{"osm_id": 4}\n{"osm_id": 4}\n{"other": 1}\n')
+    assert [r.osm_id for r in readers.known_ids(spark, str(tmp_path / "ids.json")).collect()] == [4]
+    for name in ("a", "b"):
+        sinks.append_lines(spark.createDataFrame([("2024", name)], "at string, query string"), str(tmp_path / "log"), "at", "query")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["2024\ta", "2024\tb"]
+    line = "\t".join(["2024-01-02", "03:04:05", *"abcdefgh"]) + "\n"
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/x.log").write_text(line)
+    (tmp_path / "logs/x.log.gz").write_bytes(gzip.compress(line.encode()))
+    assert readers.read_access_logs(spark, str(tmp_path / "logs"), packed_only=True).count() == 1
+    (tmp_path / "geo.log").write_text('noise\n[GEOCODE] type=cache_hit query="q"\n')
+    assert [r.line for r in readers.read_metric_lines(spark, str(tmp_path / "geo.log")).collect()] == ['[GEOCODE] type=cache_hit query="q"']

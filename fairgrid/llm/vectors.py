@@ -23,6 +23,8 @@ from fairgrid.llm.common import materialise
 BLOCK_ROWS = 4096
 #: Queries of a leaf that are compared in one group.
 QUERY_ROWS = 1024
+#: Leaves that a query visits first, to know how near a row must be for the others to tell it.
+FIRST = 4
 
 
 @dataclass
@@ -133,8 +135,11 @@ def exact_scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.add.reduce(rows * query, axis=1)
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """``(query_id, vec_id, score)`` of the k best rows of each query, ties to the smaller id, itself left out."""
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """``(query_id, vec_id, score)`` of the k best rows of each query, ties to the smaller id, itself left out.
+
+    With ``floors``, rows that score less than their query's are left out.
+    """
     out = []
     for at in range(0, len(queries), 256):
         rough = _scores(queries[at : at + 256], rows)
@@ -145,6 +150,8 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: n
             near = np.flatnonzero(row >= floor - 1e-9 * (1 + abs(floor)))
             near = near[ids[near] != own]
             score = exact_scores(queries[at + q], rows[near])
+            if floors is not None:
+                near, score = near[score >= floors[at + q]], score[score >= floors[at + q]]
             order = np.lexsort((ids[near], -score))[:k]
             out += [(int(own), int(ids[near[j]]), float(score[j])) for j in order]
     return out
@@ -161,18 +168,18 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _compare(asked: DataFrame, blocks: DataFrame, dimensions: int, k: int) -> DataFrame:
-    """k best of each query in each block that it visits: ``asked`` (leaf, vec_id, v), ``blocks`` (leaf, block, vec_id, v)."""
+    """k best of each query in each block that it visits, none under its floor: ``asked`` (leaf, vec_id, v, floor), ``blocks`` (leaf, block, blocks, vec_id, v)."""
 
     def pair(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int, float]] = []
         if len(queries) and len(rows):
-            found = best_of(queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"], dimensions), rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dimensions), k)
+            found = best_of(queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"], dimensions), rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dimensions), k, queries["floor"].to_numpy(float))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     sizes = blocks.select("leaf", "blocks").distinct()
     busy = asked.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / QUERY_ROWS) + 1).cast("int").alias("turns"))
     turns = F.coalesce("turns", F.lit(1))
-    each = asked.join(busy, "leaf").join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v")
+    each = asked.join(busy, "leaf").join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v", "floor")
     dealt = blocks.join(busy, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "block", "vec_id", "v")
     keys = ["leaf", "block", "turn"]
     return each.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score double")
@@ -205,7 +212,8 @@ def search(
 
     The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed. Its
     leaves hold about ``leaf_rows`` rows, or more where the sample has fewer than 16 rows for each such leaf, and
-    leaves are cut into blocks. A query visits as many leaves as the calibration needs for ``recall``.
+    leaves are cut into blocks. A query visits as many leaves as the calibration needs for ``recall``; the k-th best
+    score of its first FIRST leaves is its floor in the others, so that few rows leave them.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id.
     Rows of one id are one candidate with the least of its vectors; equal scores rank by the smaller id. Vectors of
     different lengths are an error. An empty table gives an empty result; other columns are not read.
@@ -236,8 +244,14 @@ def search(
 
     counts = placed.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("blocks"))  # a row for each leaf
     blocks = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = rows.where(is_query).withColumn("leaf", F.explode(walk("v")))
-    return _ranked(_compare(asked, blocks, dimensions, k), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    asked = materialise(rows.where(is_query).withColumn("_leaves", walk("v")), "vector-queries")
+    first = asked.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.explode(F.slice("_leaves", 1, FIRST)).alias("leaf"))
+    near = materialise(_ranked(_compare(first, blocks, dimensions, k), k), "vector-near")
+    floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    others = F.slice("_leaves", FIRST + 1, max(1, visits))
+    rest = asked.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.explode(others).alias("leaf"))
+    both = near.drop("rank").unionByName(_compare(rest, blocks, dimensions, k))
+    return _ranked(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

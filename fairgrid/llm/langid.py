@@ -78,17 +78,20 @@ def calibrate(samples: dict[str, list[str]], each: int, level: int, default: flo
 def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112 << 10, level: int = 9, excerpt_chars: int = 1200, languages: int = 200) -> LanguageModel:
     """Dictionaries from ``examples`` (text, lang).
 
-    Counts of each language cover all rows; of more than ``languages`` values of lang the commonest are learned.
+    Counts of each language cover all rows, and so does the number of its different texts, which the share to sample
+    follows from, however often one text is repeated; of more than ``languages`` values of lang the commonest are learned.
     Content is taken from ``sample_docs`` distinct texts a language, those with the least hash, ``excerpt_chars``
     characters of each at a place that the hash chooses, and at most ``dictionary_bytes`` of it are kept: these are
     bounds of the model, not of what it is applied to. Rows with a null text or lang teach nothing. The margin is
     calibrated on the same texts.
     """
     usable = examples.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    told = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts"))
+    told = told.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = {r["lang"]: r["n"] for r in told}
     share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample_docs / n))).otherwise(share)
+    for r in told:
+        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 4 * sample_docs / r["texts"]))).otherwise(share)
     start = F.pmod(F.xxhash64("h", F.lit(9)), F.greatest(F.length("text") - excerpt_chars + 1, F.lit(1))).cast("int") + 1
     near = usable.where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).select("lang", "h", F.substring("text", start, F.lit(excerpt_chars)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h")

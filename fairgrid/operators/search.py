@@ -6,7 +6,7 @@ import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairgrid.functions import geo, text
@@ -14,6 +14,8 @@ from fairgrid.schema import EventQuery
 
 #: A dimension of at most this many bytes by the optimiser (compressed, for Parquet) is broadcast; larger ones are left to adaptive execution.
 BROADCAST_BYTES = 8 << 20
+#: Levels of the grid for nearest places, and the places in a cell at most that end its refinement.
+FINEST, CELL_PLACES = 9, 64
 
 
 def if_small(df: DataFrame) -> DataFrame:
@@ -119,29 +121,81 @@ def within_radius(points: DataFrame, rows: DataFrame, radius_km: float) -> DataF
     return met.where(F.col("distance_km") <= radius_km).select("point_id", "row_id", "distance_km")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, cell: float = 2.0) -> DataFrame:
+def _grid(lat: Column, lng: Column, level: int, name: str) -> list[Column]:
+    """The cell of a point on a grid of 4**level bands of latitude and twice as many of longitude: ``<name>y, <name>x``."""
+    down = 4**level
+    y = F.greatest(F.lit(0), F.least(F.floor((lat + 90) / 180 * down), F.lit(down - 1)))
+    return [y.alias(f"{name}y"), F.pmod(F.floor((lng + 180) / 180 * down), F.lit(2 * down)).alias(f"{name}x")]
+
+
+def _ancestors(cells: DataFrame, name: str, levels: int) -> DataFrame:
+    """The cells ``levels`` grids up that hold one of ``cells``; the shuffle behind ``cells`` serves all grids."""
+    return cells.select(*(F.floor(F.col(c) / 4**levels).alias(c) for c in (f"{name}y", f"{name}x"))).distinct()
+
+
+def _middle_and_reach(name: str, level: int) -> tuple[Column, Column, Column]:
+    """Latitude and longitude of a cell's middle, and the farthest that a point of the cell is from it, in km."""
+    size = 180 / 4**level
+    lat, lng = (F.col(f"{name}y") + 0.5) * size - 90, (F.col(f"{name}x") + 0.5) * size - 180
+    half = math.radians(size / 2)
+    widest = F.cos(F.radians(F.greatest(F.lit(0.0), F.abs(lat) - size / 2)))
+    chord = F.sqrt(half * half * (1 + F.cos(F.radians(lat)) * widest)) / 2
+    return lat, lng, 2 * geo.EARTH_KM * F.asin(F.least(F.lit(1.0), chord)) * 1.001 + 1e-6
+
+
+def _near_cells(asked: DataFrame, full: DataFrame, level: int) -> DataFrame:
+    """For each cell of points (py, px) the cells of places (qy, qx) that can hold a nearest place of one of its points.
+
+    Pairs of cells are refined from the coarsest grid to that of ``level``: each pair's cells give way to those inside
+    them, and a pair goes when another pair of its point cell is nearer at its farthest than it at its nearest. A
+    few dozen pairs a point cell stay, however many cells are full.
+    """
+    pairs = None
+    for at in range(1, level + 1):
+        p, q = _ancestors(asked, "p", level - at), _ancestors(full, "q", level - at)
+        if pairs is None:  # at most 32 cells on either side
+            met = p.withColumn("_top", F.lit(0)).join(q.withColumn("_top", F.lit(0)), "_top").drop("_top")
+        else:
+            up = lambda c: F.floor(F.col(c) / 4)
+            above = pairs.select(*(F.col(c).alias(f"_{c}") for c in pairs.columns))
+            met = above.join(p.select("py", "px", up("py").alias("_py"), up("px").alias("_px")), ["_py", "_px"])
+            met = met.join(q.select("qy", "qx", up("qy").alias("_qy"), up("qx").alias("_qx")), ["_qy", "_qx"])
+        (lat, lng, reach), (q_lat, q_lng, q_reach) = _middle_and_reach("p", at), _middle_and_reach("q", at)
+        told = met.select("py", "px", "qy", "qx", geo.haversine_km(lat, lng, q_lat, q_lng).alias("_km"), (reach + q_reach).alias("_reach"))
+        told = told.withColumn("_most", F.min(F.col("_km") + F.col("_reach")).over(Window.partitionBy("py", "px")))
+        pairs = told.where(F.col("_km") - F.col("_reach") <= F.col("_most")).select("py", "px", "qy", "qx")
+    return pairs
+
+
+def _level_for(located: DataFrame) -> int:
+    """The coarsest grid whose cells hold CELL_PLACES places at most, or else the finest, of cells of 76 m."""
+    finest = located.select(*_grid(F.col("latitude"), F.col("longitude"), FINEST, "q"))
+    each = finest.select(F.explode(F.sequence(F.lit(1), F.lit(FINEST))).alias("level"), "qy", "qx")
+    up = F.pow(F.lit(4.0), FINEST - F.col("level"))
+    counts = each.groupBy("level", F.floor(F.col("qy") / up).alias("qy"), F.floor(F.col("qx") / up).alias("qx")).agg(F.count(F.lit(1)).alias("_n"))
+    fits = counts.groupBy("level").agg(F.max("_n").alias("_n")).where(F.col("_n") <= CELL_PLACES).agg(F.min("level")).first()[0]
+    return FINEST if fits is None else fits
+
+
+def nearest_place(points: DataFrame, places: DataFrame, level: int | None = None) -> DataFrame:
     """The nearest of ``places`` (row_id, latitude, longitude) for each point (point_id, lat, lng), ties to the smaller id.
 
-    Both fall into a grid of ``cell`` degrees, of 16 200 cells however many rows there are, so cells meet cells by
-    broadcast. Each cell with points gets a bound from the nearest cells with places, then the cells that can hold
-    something as near; points meet the places of those cells only, and both tables are read once.
+    Points and places count once for each pair of coordinates. Both fall into the cells of a grid of ``level``, by
+    default the coarsest whose cells hold few places; cells of points meet only the cells that can hold a nearest
+    place, and points only the places of those. A cell or spot with many points meets few rows, so adaptive execution
+    broadcasts these or splits its points. Points and places without coordinates are left out.
     """
-    across, down = int(360 // cell), int(180 // cell)
-    grid = lambda lat, lng: (F.least(F.floor((lat + 90) / cell), F.lit(down - 1)), F.pmod(F.floor((lng + 180) / cell), F.lit(across)))
-    y, x = grid(F.col("latitude"), F.col("longitude"))
-    placed = places.where("latitude is not null and longitude is not null").select("row_id", "latitude", "longitude", y.alias("_y"), x.alias("_x"))
-    y, x = grid(F.col("lat"), F.col("lng"))
-    asked = points.where("lat is not null and lng is not null").select("point_id", "lat", "lng", y.alias("_py"), x.alias("_px"))
-    middle = lambda k, low: (F.col(k) + 0.5) * cell + low
-    full = placed.select("_y", "_x").distinct()
-    wanted = asked.select("_py", "_px").distinct()
-    # a point of a cell is within ``half`` of the cell's middle, so cells whose middles are farther apart than the nearest by 4 halves can't hold the nearest place
-    half = geo.EARTH_KM * math.radians(cell) / math.sqrt(2) * 1.001
-    apart = geo.haversine_km(middle("_py", -90), middle("_px", -180), middle("_y", -90), middle("_x", -180))
-    met = wanted.join(F.broadcast(full)).withColumn("_km", apart)  # cells with cells
-    near = met.groupBy("_py", "_px").agg(F.min("_km").alias("_least"), F.collect_list(F.struct("_km", "_y", "_x")).alias("_cells"))
-    near = near.select("_py", "_px", F.explode(F.filter("_cells", lambda c: c["_km"] <= F.col("_least") + 4 * half)).alias("_c")).select("_py", "_px", "_c._y", "_c._x")
-    pairs = asked.join(near, ["_py", "_px"]).join(placed, ["_y", "_x"])
+    located = places.where("latitude is not null and longitude is not null").groupBy("latitude", "longitude").agg(F.min("row_id").alias("row_id"))
+    if level is None:
+        level = _level_for(located)
+    placed = located.select("row_id", "latitude", "longitude", *_grid(F.col("latitude"), F.col("longitude"), level, "q"))
+    asked = points.where("lat is not null and lng is not null").select("point_id", "lat", "lng")
+    spots = asked.select("lat", "lng").distinct().select("lat", "lng", *_grid(F.col("lat"), F.col("lng"), level, "p"))
+    near = _near_cells(spots.select("py", "px").distinct(), placed.select("qy", "qx").distinct(), level)
+    choice = near.join(placed, ["qy", "qx"]).select("py", "px", "row_id", "latitude", "longitude")
+
+    pairs = spots.join(choice, ["py", "px"])
     km = geo.haversine_km(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))
-    best = pairs.groupBy("point_id").agg(F.min(F.struct(km.alias("distance_km"), "row_id")).alias("_best"))
-    return best.select("point_id", F.col("_best.row_id").alias("row_id"), F.col("_best.distance_km").alias("distance_km"))
+    best = pairs.groupBy("lat", "lng").agg(F.min(F.struct(km.alias("distance_km"), "row_id")).alias("_best"))
+    told = asked.join(best, ["lat", "lng"])
+    return told.select("point_id", F.col("_best.row_id").alias("row_id"), F.col("_best.distance_km").alias("distance_km"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,12 @@ def append_lines(rows: DataFrame, path: str, *columns: str) -> None:
     rows.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("value")).write.mode("append").text(path)
 
 
+def rate_counters() -> list[Column]:
+    """Counters of merged rows."""
+    of = [F.count_if(F.col("_status") == status).alias(status) for status in ("created", "updated", "skipped")]
+    return [F.count(F.lit(1)).alias("found"), *of]
+
+
 def rate_metrics(df: DataFrame, name: str) -> DataFrame:
-    """Counters of a batch, published with it as an observation."""
-    return df.observe(name, F.count(F.lit(1)).alias("found"), F.count_if(F.col("_status") == "created").alias("created"), F.count_if(F.col("_status") == "updated").alias("updated"), F.count_if(F.col("_status") == "skipped").alias("skipped"))
+    """``df`` whose counters are published under ``name`` with each batch."""
+    return df.observe(name, *rate_counters())

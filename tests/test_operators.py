@@ -6,9 +6,11 @@ import json
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fairgrid import schema
+from fairgrid.functions import temporal
 from fairgrid.operators import merge, pricing, retention, search, traffic
 from fairgrid.plans.views import frames
 from fairgrid.schema import EventQuery
@@ -230,16 +232,76 @@ def test_default_window_needs_a_time():
         search.event_predicates(EventQuery(default_window_days=90))
 
 
-@pytest.mark.parametrize("n", [1, 40])
-def test_nearest_place_equals_all_pairs(spark, n):
+@pytest.mark.parametrize(("n", "level"), [(1, None), (40, None), (40, 4)])
+def test_nearest_place_equals_all_pairs(spark, n, level):
     from tests.test_functions import distance
 
     spots = [(i, math.degrees(math.asin(math.sin(i * 1.7))), (i * 77.7) % 360 - 180) for i in range(60)]
+    spots += [(60, 90.0, 10.0), (61, -90.0, 180.0), (62, 0.0, -180.0), (63, 0.0, -180.0)]
     places = [(i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]] + [(100 + i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]]
-    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), spark.createDataFrame(places, "row_id long, latitude double, longitude double")).collect()}
+    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), spark.createDataFrame(places, "row_id long, latitude double, longitude double"), level).collect()}
     assert got == {i: min((round(distance(*p, *q), 9), k) for k, *q in places)[1] for i, *p in spots}
 
 
+def test_nearest_place_refines_dense_cells(spark):
+    from tests.test_functions import distance
+
+    dense = [(i, 45 + i % 40 * 0.01, 12 + i // 40 * 0.01) for i in range(1000)]
+    places = spark.createDataFrame(dense, "row_id long, latitude double, longitude double")
+    assert search._level_for(places) > 3
+    spots = [(1, 45.105, 12.1), (2, 45.105, 12.1), (3, 45.105, 12.1), (4, -30.0, -100.0), (5, None, 3.0)]
+    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), places).collect()}
+    assert got == {i: min((round(distance(*p, *q), 9), k) for k, *q in dense)[1] for i, *p in spots[:4]}
+
+
+def times(spark, rows):
+    """A stream's rows: time, key."""
+    return spark.createDataFrame(rows, "ts string, key string").withColumn("ts", F.to_timestamp("ts")).withColumn("event_type", F.col("key"))
+
+
+def streamed(spark, rows, tmp_path, job):
+    """What ``job`` gives for a stream of ``rows``, one file a row, in order."""
+    for k, row in enumerate(rows):
+        times(spark, [row]).coalesce(1).write.parquet(str(tmp_path / f"in/{k:03d}"))
+    schema = times(spark, rows).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    run = job(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+def test_limits_and_windows_of_a_batch(spark):
+    rows = times(spark, [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:30", "a"), ("2024-01-01 00:00:59", "a"), ("2024-01-01 00:01:00", "a"), ("2024-01-01 00:00:05", "b")])
+    got = sorted((str(r.w.start)[11:], r.key, r.hits, r.over) for r in jobs.minute_hits(rows, "key", 2).collect())
+    assert got == [("00:00:00", "a", 3, 1), ("00:00:00", "b", 1, 0), ("00:01:00", "a", 1, 0)]
+    slides = sorted((str(r.w.start)[11:], r["count"]) for r in jobs.sliding_counts(rows).where("event_type = 'b'").collect())
+    assert slides == [("00:00:00", 1), ("23:40:00", 1), ("23:50:00", 1)]
+
+
+def test_stream_drops_late_rows_and_repeats(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:02", "a"), ("2024-01-01 00:10:00", "b"), ("2024-01-01 00:10:30", "b"), ("2024-01-01 00:00:03", "a"), ("2024-01-01 00:20:00", "c")]
+    got = streamed(spark, rows, tmp_path, lambda s: jobs.minute_hits(s, "key", 1))
+    closed = {(str(r.w.start)[11:], r.key): (r.hits, r.over) for r in got.collect()}
+    assert closed[("00:00:00", "a")] == (2, 1)  # the row that came after its minute had closed isn't counted
+
+
+def test_stream_keeps_each_key_once(spark, tmp_path):
+    rows = [("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:02", "b"), ("2024-01-01 00:00:03", "a"), ("2024-01-01 00:00:04", "b")]
+    assert sorted(r.key for r in streamed(spark, rows, tmp_path, lambda s: jobs.once_each(s, "key")).collect()) == ["a", "b"]
+
+
+def test_counters_ride_with_the_batch(spark):
+    rows = spark.createDataFrame([(1, "created"), (2, "updated"), (3, "updated"), (4, "skipped"), (5, "kept")], "id long, _status string")
+    seen = Observation("counters")
+    rows.observe(seen, *sinks.rate_counters()).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"found": 5, "created": 1, "updated": 2, "skipped": 1}
+
+
+def test_days(spark):
+    one = spark.range(1).select(temporal.days_between(F.lit("2024-02-28"), F.lit("2024-03-01")).alias("d")).first().d
+    assert [str(d) for d in one] == ["2024-02-28", "2024-02-29", "2024-03-01"]
+
+
 def test_small_files(spark, tmp_path):
     (tmp_path / "ids.json").write_text('{"osm_id": 4}\n{"osm_id": 4}\n{"other": 1}\n')
     assert [r.osm_id for r in readers.known_ids(spark, str(tmp_path / "ids.json")).collect()] == [4]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairgrid.llm import exact_dedup, langid, minhash, packing, toxicity
-from fairgrid.llm.common import documents, materialise
+from fairgrid.llm.common import documents, materialise, scratch
 from fairgrid.session import ship_package
 
 
@@ -71,8 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
-    docs = documents(spark, sf_dir)
+    """Apply the stages to ``documents``; tables of a stage, and the one it read, are removed when its own is written."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as made:
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+            own = made.pop()
+            if last:
+                made.append(last)
+            last = own
     return STAGES[-1][1](spark, docs, sf_dir)

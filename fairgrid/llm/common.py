@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
@@ -24,14 +26,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_scopes = threading.local()
+
+
+def _on_store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's JVM ends."""
+    """A fresh path in the shared folder, removed with the scope that it was made in, and else when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/fairgrid/{name}-{uuid.uuid4().hex}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    store, hadoop_path = _on_store(spark, path)
+    store.deleteOnExit(hadoop_path)
+    for made in getattr(_scopes, "open", []):
+        made.append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A scope that removes, at its end, the tables made in it by this thread.
+
+    It yields the list of their paths; what is taken off the list stays.
+    """
+    made: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), made]
+    try:
+        yield made
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in made:
+            store, hadoop_path = _on_store(spark, path)
+            store.delete(hadoop_path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared folder and read it again."""
     spark = df.sparkSession

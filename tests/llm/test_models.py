@@ -1,6 +1,7 @@
 """Toxicity, archives, vector search and the pipeline."""
 
 import itertools
+import os
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fairgrid.llm import toxicity, vectors, warc
-from fairgrid.llm.common import new_path
+from fairgrid.llm.common import materialise, new_path, scratch
 from tests.llm.conftest import AWKWARD, sentence
 
 MODEL = toxicity.ToxicityModel({"idiot$": 4.0, "dumm": 3.0})
@@ -223,6 +224,18 @@ def test_pipeline(spark, small):
     assert left == {k[0] for k in brute_near(rows) if k[3]}
 
 
+def test_tables_go_with_their_scope(spark):
+    def held(df):
+        return os.path.exists(df.inputFiles()[0].removeprefix("file://"))
+
+    outside = materialise(spark.range(3), "outside")
+    with scratch(spark) as made:
+        goes, stays = materialise(spark.range(4), "goes"), materialise(spark.range(5), "stays")
+        made.pop()
+        assert held(goes)
+    assert (held(outside), held(goes), held(stays), stays.count()) == (True, False, True, 5)
+
+
 def test_pipeline_drops_rows_not_ids(spark):
     b, near_b = sentence(5, 60), sentence(5, 60) + " more"
     rows = [(5, "A text"), (9, "A text"), (5, b), (7, sentence(9, 60)), (3, near_b), (5, b)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fairgrid.session import ship_package
-from fairgrid.llm import exact_dedup, langid, minhash, packing, piece_dropout, sharding, token_counts, toxicity, vectors, warc
+from fairgrid.llm import exact_dedup, langid, minhash, online_packing, packing, piece_dropout, sharding, token_counts, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_vector_search": vectors.op9_vector_search,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
+        "op11_online_packing": online_packing.op11_online_packing,
     }
     return {name: with_package(query) for name, query in own.items()}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fairgrid.session import ship_package
-from fairgrid.llm import exact_dedup, hard_negatives, langid, minhash, online_packing, packing, piece_dropout, sharding, token_counts, toxicity, vectors, warc
+from fairgrid.llm import exact_dedup, hard_negatives, langid, minhash, online_packing, packing, piece_dropout, prefix_trie, sharding, token_counts, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_search": vectors.op9_vector_search,
         "op10_minhash_near_dedup": minhash.op10_minhash_near_dedup,
         "op11_online_packing": online_packing.op11_online_packing,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
     return {name: with_package(query) for name, query in own.items()}
@@ -41,4 +42,4 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express."""
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op7_warc": warc.OP7_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL, "op7_warc": warc.OP7_SQL, "op10_minhash_near_dedup": minhash.OP10_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}

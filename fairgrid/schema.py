@@ -6,17 +6,6 @@ import math
 from dataclasses import dataclass, fields
 from urllib.parse import parse_qsl, urlencode
 
-from pyspark.sql import types as T
-
-EVENT = T.StructType(
-    [T.StructField(n, T.StringType(), n not in ("external_id", "name")) for n in ("external_id", "name", "description", "location", "address", "city", "state", "country")]
-    + [T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType()), T.StructField("start_date", T.TimestampType(), False)]
-    + [T.StructField(n, T.StringType()) for n in ("start_time",)] + [T.StructField("end_date", T.TimestampType())]
-    + [T.StructField(n, T.StringType()) for n in ("event_type", "organizer")]
-    + [T.StructField(n, T.IntegerType()) for n in ("player_count", "capacity")]
-    + [T.StructField(n, T.StringType()) for n in ("price", "url", "image_url", "shop_id")]
-)
-
 #: Columns whose change makes an event worth writing; images and bookkeeping times don't.
 COMPARED_EVENT = [
     "name", "description", "location", "address", "city", "state", "country", "latitude", "longitude", "start_date", "start_time", "end_date",
@@ -25,11 +14,12 @@ COMPARED_EVENT = [
 COMPARED_SHOP = ["name", "location_text", "latitude", "longitude", "geohash3", "geohash4"]
 
 WIRE_STORE = "struct<id:long,name:string,full_address:string,city:string,state:string,country:string,latitude:double,longitude:double,website:string,email:string>"
-WIRE_EVENT = (
-    "struct<id:long,name:string,description:string,start_datetime:string,end_datetime:string,full_address:string,latitude:double,longitude:double,"
-    "event_format:string,event_type:string,cost_in_cents:long,currency:string,capacity:int,registered_user_count:int,full_header_image_url:string,"
-    f"event_configuration_template:string,store:{WIRE_STORE}>"
-)
+WIRE_FIELDS = {
+    "id": "long", "name": "string", "description": "string", "start_datetime": "string", "end_datetime": "string", "full_address": "string", "latitude": "double", "longitude": "double",
+    "event_format": "string", "event_type": "string", "cost_in_cents": "long", "currency": "string", "capacity": "int", "registered_user_count": "int", "full_header_image_url": "string",
+    "event_configuration_template": "string", "store": WIRE_STORE,
+}
+WIRE_EVENT = "struct<" + ",".join(f"{name}:{kind}" for name, kind in WIRE_FIELDS.items()) + ">"
 WIRE_PAGE = f"page_size int, count int, total int, current_page_number int, next_page_number int, results array<{WIRE_EVENT}>"
 
 CALENDAR_LIMIT = 1000
@@ -69,7 +59,7 @@ class EventQuery:
         for f in fields(self):
             value = getattr(self, f.name)
             if value != f.default and f.name not in ("page", "limit"):
-                told[f.name] = f"{value:.4f}" if f.name in ("lat", "lng") else str(value)
+                told[f.name] = f"{value:.4f}" if f.name in ("lat", "lng") else repr(float(value)) if f.name == "radius_km" else str(value)
         return urlencode(sorted(told.items()))
 
     @classmethod

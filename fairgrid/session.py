@@ -5,11 +5,28 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in ``spark.checkpoint.dir``, removed when the driver's JVM ends; only a local master may lack that setting."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = "file://" + os.path.join(tempfile.gettempdir(), f"fairgrid-{os.getuid()}")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where.rstrip('/')}/fairgrid/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 #: Bytes of an Arrow batch; Spark's own bound of 10 000 rows lets long texts fill a Python worker.
 BATCH_BYTES = 4 << 20
 

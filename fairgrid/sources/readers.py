@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from fairgrid import schema
 from fairgrid.functions.text import blank_to_null
@@ -26,57 +27,83 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.col("current_page_number").alias("page"), F.posexplode("results").alias("position", "_e")).select("page", "position", "_e.*")
 
 
+def _told(value: object, kind: T.DataType) -> object:
+    """A JSON value as Spark takes it: objects by their schema's fields, what they lack is null."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(_told(value.get(f.name), f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return [_told(x, kind.elementType) for x in value]
+    if isinstance(kind, T.DoubleType):
+        return float(value)
+    return value
+
+
 class PagedEvents(DataSource):
-    """``spark.read.format("paged_events")``: one partition a page; ``load_page`` of a subclass fetches it."""
+    """``spark.read.format("paged_events")``: a partition for each page; ``load_page`` of a subclass fetches it, on an executor.
+
+    Rows are ``page, position`` and the fields of a wire event. Options: ``total`` and ``page_size`` (250); of a stream
+    ``pages_per_batch`` (1), and ``from_page``, the last page that is already in, when it starts again.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged_events"
 
     def schema(self) -> str:
-        return "page int, id long, name string"
+        return "page int, position int, " + ", ".join(f"{name} {kind}" for name, kind in schema.WIRE_FIELDS.items())
 
     def pages(self) -> int:
-        """Number of pages, from the options ``total`` and ``page_size`` (250)."""
+        """Number of pages; a subclass may ask the source."""
         return -(-int(self.options.get("total", "0")) // int(self.options.get("page_size", "250")))
 
     @abstractmethod
-    def load_page(self, page: int) -> list[tuple]:
-        """Rows of one page; a subclass fetches them."""
+    def load_page(self, page: int) -> list[dict]:
+        """Events of one page as JSON objects; a subclass fetches them."""
 
-    def reader(self, schema: object) -> DataSourceReader:
-        return _PagedReader(self)
+    def rows(self, page: int, kind: T.StructType) -> Iterator[tuple]:
+        """The rows of one page; ``kind`` is the schema of a row."""
+        for position, event in enumerate(self.load_page(page)):
+            yield _told({**event, "page": page, "position": position}, kind)
 
-    def simpleStreamReader(self, schema: object) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _PagedStream(self)
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _PagedReader(self, schema)
 
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:  # noqa: N802
+        return _PagedStream(self, schema)
 
-class _PagedStream(SimpleDataSourceStreamReader):
-    """Pages one after another, at most ``pages_per_batch`` (1) in a micro-batch, until the last one."""
 
-    def __init__(self, source: PagedEvents):
-        self.source, self.most = source, int(source.options.get("pages_per_batch", "1"))
+class _PagedStream(DataSourceStreamReader):
+    """Micro-batches of a bounded number of pages; the driver plans page numbers, executors fetch the pages."""
+
+    def __init__(self, source: PagedEvents, kind: T.StructType):
+        self.source, self.kind, self.most = source, kind, int(source.options.get("pages_per_batch", "1"))
+        self.at = int(source.options.get("from_page", "0"))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"page": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = {"page": min(self.source.pages(), start["page"] + self.most)}
-        return self.readBetweenOffsets(start, end), end
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"page": max(self.at, min(self.source.pages(), self.at + self.most))}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = max(self.at, end["page"])  # also where a restarted query repeats its last batch
+        return [InputPartition(page) for page in range(start["page"] + 1, end["page"] + 1)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([row for page in range(start["page"] + 1, end["page"] + 1) for row in self.source.load_page(page)])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from self.source.rows(partition.value, self.kind)
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, source: PagedEvents):
-        self.source = source
+    def __init__(self, source: PagedEvents, kind: T.StructType):
+        self.source, self.kind = source, kind
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(page) for page in range(1, self.source.pages() + 1)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from self.source.load_page(partition.value)
+        yield from self.source.rows(partition.value, self.kind)
 
 
 def read_access_logs(spark: SparkSession, path: str, first_date: str | None = None, packed_only: bool = False) -> DataFrame:

@@ -1,14 +1,9 @@
-"""Structured Streaming: windowed counts, rate limits, and the idempotent ingestion micro-batch."""
+"""Structured Streaming: windowed counts, rate limits, repeats."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from fairgrid.operators import merge
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -30,17 +25,3 @@ def minute_hits(requests: DataFrame, key: str, limit: int, late: str = "1 minute
 def once_each(events: DataFrame, key: str, within: str = "1 hour") -> DataFrame:
     """Rows of a stream, each key once within the watermark."""
     return events.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
-
-
-def ingest(stream: DataFrame, read_stored: Callable[[], DataFrame], write_state: Callable[[DataFrame, int], None], checkpoint: str, key: str, order: list[str], compared: list[str]) -> StreamingQuery:
-    """Merge each micro-batch into the stored table: last row of a key wins, unchanged rows are skipped.
-
-    ``write_state`` gets the post-state and the batch's number and must write under that number, so a batch
-    repeated after a failure replaces itself. Runs what is there and ends.
-    """
-
-    def batch(rows: DataFrame, number: int) -> None:
-        incoming = merge.last_of_batch(rows, key, order).drop(*(c for c in order if c not in compared and c != key))
-        write_state(merge.merge(read_stored(), incoming, key, compared), number)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

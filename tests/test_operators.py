@@ -113,22 +113,6 @@ def test_zip_and_price_readers(spark, tmp_path):
     assert [(r.card, r.price_usd, r.set) for r in good.collect()] == [("X", 3.5, "S1")] and bad.count() == 1
 
 
-def test_paged_source(spark, tmp_path):
-    class Pages(readers.PagedEvents):
-        def load_page(self, page):
-            return [(page, i, f"event {i}") for i in range((page - 1) * 250, min(page * 250, 601))]
-
-    spark.dataSource.register(Pages)
-    rows = spark.read.format("paged_events").option("total", "601").load()
-    assert rows.count() == 601 and rows.select("page").distinct().count() == 3
-    sizes = []
-    stream = spark.readStream.format("paged_events").option("total", "601").option("pages_per_batch", "2").load()
-    run = stream.writeStream.foreachBatch(lambda df, n: sizes.append(df.count())).option("checkpointLocation", str(tmp_path)).start()
-    run.processAllAvailable()
-    run.stop()
-    assert [n for n in sizes if n] == [500, 101]
-
-
 def test_card_fields(spark):
     card = '<div data-testid="eventCard-{i}"><p data-testid="eventCard-text-title">{t}</p><span data-testid="eventCard-text-entryFee">{f}</span><svg/>12<!-- --> Players</div>'
     page = card.format(i=11, t="One", f="Free") + card.format(i=12, t="Two", f="$5") + card.format(i=11, t="", f="")
@@ -163,29 +147,6 @@ def test_stream_equals_batch(spark, small, tmp_path):
     assert sorted(spark.sql("select * from hours").collect()) == sorted(jobs.hourly_counts(batch).collect())
 
 
-def test_ingestion_stream_equals_one_merge(spark, small, tmp_path):
-    events = frames(spark, small, "cal_events")[0].select("external_id", "name", "player_count", "start_date")
-    events.repartition(4).write.parquet(str(tmp_path / "in"))
-    versions = []
-
-    def stored():
-        return spark.read.parquet(versions[-1]) if versions else events.limit(0).drop("start_date")
-
-    def write(post, number):
-        versions.append(merge.write_version(post.drop("_status"), str(tmp_path / "state"), number))
-
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.ingest(stream, stored, write, str(tmp_path / "cp"), "external_id", ["start_date"], ["name", "player_count"]).awaitTermination()
-    assert len(versions) > 1
-    # a batch killed between its write and its commit is run again from the version before it, and gives the same state
-    again = merge.newest_version(spark, str(tmp_path / "state"), len(versions) - 1)
-    assert again.endswith(versions[-2].rsplit("/", 1)[1])
-    last = spark.read.parquet(versions[-1]).collect()
-    assert merge.write_version(spark.createDataFrame(last), str(tmp_path / "state"), len(versions) - 1) == versions[-1]
-    assert sorted(spark.read.parquet(versions[-1]).collect()) == sorted(last)
-    assert sorted(spark.read.parquet(versions[-1]).collect()) == sorted(events.drop("start_date").collect())
-
-
 def test_merge_leaves_null_keys_to_the_rejects(spark):
     stored = spark.createDataFrame([(1, "a", 5)], "external_id long, name string, created_at int")
     incoming = table(spark, [(None, "x"), (2, "b")])

@@ -33,6 +33,13 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     return 2 * EARTH_KM * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def haversine_text(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
+    """:func:`haversine_km` as SQL text of expressions; long plans are built faster from text."""
+    half_lat, half_lng = f"radians(({lat2}) - ({lat1})) / 2", f"radians(({lng2}) - ({lng1})) / 2"
+    a = f"sin({half_lat}) * sin({half_lat}) + cos(radians({lat1})) * cos(radians({lat2})) * sin({half_lng}) * sin({half_lng})"
+    return f"(2 * {EARTH_KM}D * atan2(sqrt({a}), sqrt(1 - ({a}))))"
+
+
 def law_of_cosines_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """The same distance by the spherical law of cosines; the cosine is clamped so that equal points give 0."""
     cosine = F.sin(F.radians(lat1)) * F.sin(F.radians(lat2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(F.radians(lng2 - lng1))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairgrid.functions import geo, text
-from fairgrid.operators import geocode, search
+from fairgrid.operators import geocode, search, spatial
 from fairgrid.plans.registry import query
 from fairgrid.plans.search_queries import km
+from fairgrid.session import shared_folder
 
 
 def cell(value: str, low: str, span: str, bits: int) -> str:
@@ -63,16 +64,35 @@ WHERE {km("p.latitude", "p.longitude", "s.latitude", "s.longitude")} <= 400""")
 def many_point_radius_join(shops: DataFrame, places: DataFrame) -> DataFrame:
     """All pairs of places and shops within 400 km."""
     points = places.select(F.col("place_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
-    pairs = search.within_radius(points, shops.select(F.col("shop_id").alias("row_id"), "latitude", "longitude"), 400.0)
+    pairs = spatial.within_radius(points, shops.select(F.col("shop_id").alias("row_id"), "latitude", "longitude"), 400.0)
     return pairs.withColumn("distance_km", F.round("distance_km", 6))
 
 
+@query("shops", "places", sql=f"""SELECT p.place_id AS point_id, s.shop_id AS row_id, round({km("p.latitude", "p.longitude", "s.latitude", "s.longitude")}, 6) AS distance_km FROM places p, shops s
+WHERE {km("p.latitude", "p.longitude", "s.latitude", "s.longitude")} <= 50 + p.place_id * 97 % 1500""")
+def circle_cover_join(shops: DataFrame, places: DataFrame) -> DataFrame:
+    """Shops within each place's own radius, by covers of cells of mixed levels."""
+    points = places.select(F.col("place_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), (50 + F.col("place_id") * 97 % 1500).alias("radius_km"))
+    return spatial.radius_pairs(points, shops.select(F.col("shop_id").alias("row_id"), "latitude", "longitude")).withColumn("distance_km", F.round("distance_km", 6))
+
+
+@query("cal_events", "shops", "places", sql=f"""SELECT p.place_id AS point_id, e.external_id, round({km("p.latitude", "p.longitude", "s.latitude", "s.longitude")}, 6) AS distance_km
+FROM cal_events e JOIN shops s ON e.shop_id = s.shop_id, places p WHERE p.region = 'ASIA' AND e.start_date BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' AND {km("p.latitude", "p.longitude", "s.latitude", "s.longitude")} <= 300""")
+def clustered_near_join(events: DataFrame, shops: DataFrame, places: DataFrame) -> DataFrame:
+    """Events of three days near the places of one region, from a table clustered by cell and start."""
+    path = shared_folder(events.sparkSession, "clustered-events")
+    spatial.write_clustered(events.join(shops.select("shop_id", "latitude", "longitude"), "shop_id").select("external_id", "start_date", "latitude", "longitude"), path)
+    table = spatial.clustered(events.sparkSession, path, "external_id long, start_date timestamp_ntz, latitude double, longitude double")
+    points = places.where("region = 'ASIA'").select(F.col("place_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), F.lit(300.0).alias("radius_km"))
+    return spatial.clustered_near(table, points, "2024-01-10", "2024-01-12").select("point_id", "external_id", F.round("distance_km", 6).alias("distance_km"))
+
+
 @query("shops", "places", sql=f"""SELECT s.shop_id AS point_id, p.place_id AS row_id FROM shops s, places p WHERE s.latitude IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY s.shop_id ORDER BY {km("s.latitude", "s.longitude", "p.latitude", "p.longitude")}, p.place_id) = 1""")
 def nearest_place(shops: DataFrame, places: DataFrame) -> DataFrame:
     """The nearest place of each shop."""
     points = shops.where("latitude is not null").select(F.col("shop_id").alias("point_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
-    return search.nearest_place(points, places.select(F.col("place_id").alias("row_id"), "latitude", "longitude")).select("point_id", "row_id")
+    return spatial.nearest_place(points, places.select(F.col("place_id").alias("row_id"), "latitude", "longitude")).select("point_id", "row_id")
 
 
 @query("shops", sql="SELECT DISTINCT round(latitude, 0) AS lat, round(longitude, 0) AS lng FROM shops WHERE latitude IS NOT NULL AND longitude IS NOT NULL")

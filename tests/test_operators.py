@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fairgrid import schema
 from fairgrid.functions import temporal
-from fairgrid.operators import merge, pricing, retention, search, traffic
+from fairgrid.operators import merge, pricing, retention, search, spatial, traffic
 from fairgrid.plans.views import frames
 from fairgrid.schema import EventQuery
 from fairgrid.sources import readers, sinks
@@ -61,7 +61,7 @@ def test_radius_join_equals_all_pairs(spark, radius):
     spots = [(i, lat, lng) for i, (lat, lng) in enumerate(itertools.product([-89.0, -60.0, 0.0, 0.2, 45.0, 85.0], [-180.0, -179.8, -10.0, 0.0, 179.9, 100.0]))]
     points = spark.createDataFrame(spots, "point_id long, lat double, lng double")
     rows = spark.createDataFrame(spots, "row_id long, latitude double, longitude double")
-    got = sorted((r.point_id, r.row_id) for r in search.within_radius(points, rows, radius).collect())
+    got = sorted((r.point_id, r.row_id) for r in spatial.within_radius(points, rows, radius).collect())
     assert got == sorted((a, b) for (a, *p), (b, *q) in itertools.product(spots, spots) if distance(*p, *q) <= radius)
 
 
@@ -200,7 +200,7 @@ def test_nearest_place_equals_all_pairs(spark, n, level):
     spots = [(i, math.degrees(math.asin(math.sin(i * 1.7))), (i * 77.7) % 360 - 180) for i in range(60)]
     spots += [(60, 90.0, 10.0), (61, -90.0, 180.0), (62, 0.0, -180.0), (63, 0.0, -180.0)]
     places = [(i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]] + [(100 + i, lat * 0.9, (lng + 37) % 360 - 180) for i, lat, lng in spots[:n]]
-    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), spark.createDataFrame(places, "row_id long, latitude double, longitude double"), level).collect()}
+    got = {r.point_id: r.row_id for r in spatial.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), spark.createDataFrame(places, "row_id long, latitude double, longitude double"), level).collect()}
     assert got == {i: min((round(distance(*p, *q), 9), k) for k, *q in places)[1] for i, *p in spots}
 
 
@@ -209,9 +209,9 @@ def test_nearest_place_refines_dense_cells(spark):
 
     dense = [(i, 45 + i % 40 * 0.01, 12 + i // 40 * 0.01) for i in range(1000)]
     places = spark.createDataFrame(dense, "row_id long, latitude double, longitude double")
-    assert search._level_for(places) > 3
+    assert spatial._level_for(places) > 3
     spots = [(1, 45.105, 12.1), (2, 45.105, 12.1), (3, 45.105, 12.1), (4, -30.0, -100.0), (5, None, 3.0)]
-    got = {r.point_id: r.row_id for r in search.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), places).collect()}
+    got = {r.point_id: r.row_id for r in spatial.nearest_place(spark.createDataFrame(spots, "point_id long, lat double, lng double"), places).collect()}
     assert got == {i: min((round(distance(*p, *q), 9), k) for k, *q in dense)[1] for i, *p in spots[:4]}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairgrid.functions import text
@@ -68,6 +68,64 @@ def suggest(places: DataFrame, prefix: str, limit: int = 4, shortest: int = 2) -
     return first_in_group(hits, [F.col("label"), F.col("type")], [F.col("place_id")]).orderBy("place_id").limit(limit)
 
 
+def prefix_index(places: DataFrame, limit: int = 4, shortest: int = 2, longest: int = 12) -> DataFrame:
+    """``prefix, rank, place_id, name, type, label``: the first ``limit`` places of each prefix of a name, each label and type once.
+
+    ``places`` is (place_id, name, type, label); names count in lower case, prefixes have ``shortest`` to ``longest``
+    letters. Each task keeps its own first places of a prefix before the shuffle.
+    """
+    name = F.lower("name")
+    ends = F.sequence(F.lit(shortest), F.least(F.length(name), F.lit(longest)))
+    rows = places.where(F.length(name) >= shortest).select("place_id", "name", "type", "label", F.explode(F.transform(ends, lambda n: F.substring(name, F.lit(1), n))).alias("prefix"))
+    once = rows.groupBy("prefix", "label", "type").agg(F.min(F.struct("place_id", "name")).alias("_first")).select("prefix", "_first.*", "type", "label")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("place_id"))).where(F.col("rank") <= limit)
+
+
+def suggest_all(queries: DataFrame, places: DataFrame, zips: DataFrame, limit: int = 4, shortest: int = 2, longest: int = 12) -> DataFrame:
+    """Suggestions for each of ``queries`` (query_id, query): ``query_id, rank, name, type, label``.
+
+    A five-digit query is answered by its row of ``zips`` (zipcode, city, state_code) as a postcode, or not at all.
+    Others of ``shortest`` letters and more find the places whose name starts with them: up to ``longest`` letters by
+    :func:`prefix_index`, longer ones among the places that share their first ``longest`` letters.
+    """
+    asked = queries.where(F.length("query") >= shortest).select("query_id", F.trim("query").alias("_q"), F.lower(F.trim("query")).alias("prefix"))
+    is_zip = text.is_zip(F.col("_q"))
+    places_asked = asked.where(~is_zip & (F.length("prefix") >= shortest))
+    one = zips.groupBy("zipcode").agg(F.min(F.struct("city", "state_code")).alias("_z"))
+    shown = F.concat(F.col("_z.city"), F.lit(", "), F.col("_z.state_code"), F.lit(" "), F.col("zipcode"))
+    by_zip = asked.where(is_zip).join(one, F.col("_q") == F.col("zipcode")).select("query_id", F.lit(1).alias("rank"), F.col("zipcode").alias("name"), F.lit("postcode").alias("type"), shown.alias("label"))
+    short = places_asked.where(F.length("prefix") <= longest)
+    by_index = short.join(prefix_index(places, limit, shortest, longest), "prefix").select("query_id", "rank", "name", "type", "label")
+    stem = lambda c: F.substring(F.lower(c), 1, longest)
+    long = places_asked.where(F.length("prefix") > longest).withColumn("_stem", stem("prefix"))
+    hits = long.join(places.where(F.length("name") > longest).withColumn("_stem", stem("name")), "_stem").where(F.startswith(F.lower("name"), F.col("prefix")))
+    once = hits.groupBy("query_id", "label", "type").agg(F.min(F.struct("place_id", "name")).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_first.place_id"))
+    by_stem = once.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "_first.name", "type", "label")
+    return by_zip.unionByName(by_index).unionByName(by_stem)
+
+
+def enqueued(answered: DataFrame, queries: DataFrame, features: DataFrame, queue: DataFrame) -> DataFrame:
+    """``queue`` (osm_id, doc) with the places that public answers bring: each id once, ids already queued stay.
+
+    ``answered`` is what :func:`geocode` gives, ``features`` (query, feature) the public provider's features by
+    normalised query. An indexable feature goes in as it is, another as the most specific place of its address.
+    """
+    public = answered.where("source = 'public'").join(queries.select("query_id", "query"), "query_id")
+    met = public.withColumn("_key", text.normalised(F.col("query"))).join(features.withColumnRenamed("query", "_key"), "_key")
+    place = most_specific_place(F.col("feature.city"), F.col("feature.county"), F.col("feature.state"), F.col("feature.country"))
+    own = place_document("feature", F.col("query"))
+    kind = F.lower(F.coalesce(text.blank_to_null(F.col("feature.type")), text.blank_to_null(F.col("feature.osm_value"))))
+    extracted = F.struct(
+        stable_id(F.concat_ws("|", place["name"], place["type"], F.col("feature.countrycode")), 800_000_000).alias("osm_id"), F.lit("N").alias("osm_type"), place["type"].alias("type"), place["name"].alias("name"),
+        F.upper(F.coalesce(F.col("feature.countrycode"), F.lit(""))).alias("countrycode"), F.col("feature.country").alias("country"), F.col("feature.state").alias("state"), F.lit(None).cast("string").alias("city"),
+    )
+    doc = F.when(kind.isin(text.PLACE_TYPES), own).otherwise(F.when(place.isNotNull(), extracted))
+    rows = met.select(doc.alias("_d"), "_key").where("_d is not null").select(F.col("_d.osm_id").alias("osm_id"), F.to_json("_d").alias("doc"), "_key")
+    fresh = rows.groupBy("osm_id").agg(F.min(F.struct("_key", "doc")).alias("_f")).select("osm_id", "_f.doc").join(queue.select("osm_id"), "osm_id", "left_anti")
+    return queue.unionByName(fresh.select(queue.columns))
+
+
 def stable_id(key: Column, base: int) -> Column:
     """A surrogate id that follows from its key."""
     return F.pmod(F.xxhash64(key), F.lit(100_000_000)) + base

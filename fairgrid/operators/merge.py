@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fairgrid.functions import geo, text
 from fairgrid.operators.calendar import first_in_group
 from fairgrid.operators.search import if_small
+from fairgrid.schema import COMPARED_SHOP
 
 #: Where an event's own page is.
 EVENT_PAGES = "https://events.example.org/"
@@ -76,6 +77,27 @@ def status_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("_status").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_status", "status")
 
 
+def wire_shops(raw: DataFrame) -> DataFrame:
+    """The stores of wire events as shop rows, each once, the last in order of the rows' ``page`` and ``position`` winning: ``shop_id, name, location_text, latitude, longitude, geohash3, geohash4``.
+
+    Stores without an id are left out; a zero or missing coordinate has no geohash.
+    """
+    last = raw.where("store.id is not null").groupBy(F.col("store.id").alias("shop_id")).agg(F.max_by("store", F.struct("page", "position")).alias("s"))
+    lat, lng = F.nullif(F.col("s.latitude"), F.lit(0.0)), F.nullif(F.col("s.longitude"), F.lit(0.0))
+    return last.select("shop_id", "s.name", F.col("s.full_address").alias("location_text"), "s.latitude", "s.longitude", geo.geohash(lat, lng, 3).alias("geohash3"), geo.geohash(lat, lng, 4).alias("geohash4"))
+
+
+def merge_shops(stored: DataFrame, incoming: DataFrame, as_of: object = None) -> DataFrame:
+    """:func:`merge` of shops on all compared columns, with ``needs_city``, null for shops that don't come in.
+
+    What is written has its geocode completed and no error; a skipped shop keeps both, and all keep their display city.
+    """
+    merged = merge(stored, incoming, "shop_id", COMPARED_SHOP, as_of)
+    written = F.col("_status").isin("created", "updated")
+    done = merged.withColumn("geocode_status", F.when(written, F.lit("completed")).otherwise(F.col("geocode_status"))).withColumn("geocode_error", F.when(~written, F.col("geocode_error")))
+    return done.withColumn("needs_city", F.when(F.col("_status") != "kept", text.blank_to_null(F.col("display_city")).isNull()))
+
+
 def insert_ignore(target: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``target`` and the first incoming row of each new key."""
     fresh = first_in_group(incoming, [F.col(key)], [F.col(c) for c in order]).join(target.select(key), key, "left_anti")

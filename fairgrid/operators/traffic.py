@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fairgrid.functions import temporal, text, weblog
 
+#: Registers of a distinct-count sketch, as a power of two.
+SKETCH_BITS = 14
+
 
 def with_visitor(log: DataFrame) -> DataFrame:
     """Add ``visitor``."""
@@ -67,6 +70,36 @@ def geocode_correlation(log: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def daily_partials(log: DataFrame) -> DataFrame:
+    """What reports need of each day, a row a day: sums, and sketches of distinct visitors and event pages that can be united."""
+    page = F.when(F.col("uri").rlike(weblog.EVENT_PAGE), F.col("uri"))
+    return with_visitor(log).groupBy("date").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(weblog.is_success(F.col("status"))).alias("successful"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.hll_sketch_agg("visitor", SKETCH_BITS).alias("visitors"), F.hll_sketch_agg(page, SKETCH_BITS).alias("event_pages"),
+    )
+
+
+def with_days(state: DataFrame, days: DataFrame) -> DataFrame:
+    """``state`` with the rows of ``days`` in place of its own of these dates: a late or repeated day is replaced, never added twice."""
+    return state.join(F.broadcast(days.select("date")), "date", "left_anti").unionByName(days)  # a row a day
+
+
+def report_of_days(state: DataFrame, first: str, last: str) -> DataFrame:
+    """One row over the days from ``first`` to ``last``: days, exact sums, and distinct visitors and event pages to about 0.8 % (one standard deviation)."""
+    inside = state.where(F.col("date").between(first, last))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("requests", "successful", "bytes")]
+    united = [F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in ("visitors", "event_pages")]
+    return inside.agg(F.count(F.lit(1)).alias("days"), *sums, *united)
+
+
+def trailing_reports(state: DataFrame, days: int = 7) -> DataFrame:
+    """:func:`report_of_days` for the ``days`` days up to each date: each day's row goes to the windows that hold it, and these are united."""
+    ends = F.explode(F.sequence(F.to_date("date"), F.date_add(F.to_date("date"), days - 1)))
+    spread = state.withColumn("end", ends).withColumn("end", F.col("end").cast("string")).join(F.broadcast(state.select(F.col("date").alias("end"))), "end")
+    sums = [F.sum(c).alias(c) for c in ("requests", "successful", "bytes")]
+    return spread.groupBy("end").agg(F.count(F.lit(1)).alias("days"), *sums, *(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("visitors", "event_pages")))
+
+
 def rate_limited(rows: DataFrame, key: str, ts: str, order: str, limit: int, window: str = "1 minute") -> DataFrame:
     """Add ``allowed``: whether the row is among the first ``limit`` of its key and epoch-aligned window."""
     framed = rows.withColumn("_w", F.window(ts, window)["start"])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairgrid.plans import geo_queries, log_queries, search_queries, store_queries, upkeep_queries
+from fairgrid.plans import geo_queries, ingest_queries, log_queries, search_queries, store_queries, upkeep_queries
 from fairgrid.plans.registry import QUERIES, SQL
 
-_MODULES = (geo_queries, log_queries, search_queries, store_queries, upkeep_queries)
+_MODULES = (geo_queries, ingest_queries, log_queries, search_queries, store_queries, upkeep_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

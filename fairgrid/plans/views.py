@@ -91,8 +91,15 @@ FROM {cal_events}""",
     "items": """
 SELECT 'SHOP' AS entity_type, CAST(shop_id AS STRING) AS id, CAST(NULL AS STRING) AS shop_id, CAST(NULL AS TIMESTAMP) AS start_date, CAST(NULL AS STRING) AS index_key FROM {shops}
 UNION ALL SELECT 'EVENT', CAST(external_id AS STRING), CASE WHEN external_id % 7 = 0 THEN NULL ELSE CAST(shop_id AS STRING) END, CAST(start_date AS TIMESTAMP), CASE WHEN external_id % 4 = 0 THEN 'SHOP#kept' END FROM {cal_events}
-UNION ALL SELECT 'GEOCACHE', query, NULL, NULL, NULL FROM {geocache} UNION ALL SELECT 'SCRAPE_RUN', CAST(run_id AS STRING), NULL, CAST(started_at AS TIMESTAMP), NULL FROM {runs} WHERE run_id < 400
+UNION ALL SELECT 'GEOCACHE', query, NULL, NULL, NULL FROM {geocache} UNION ALL SELECT 'SCRAPE_RUN', CAST(run_id AS STRING), NULL, CAST(started_at AS TIMESTAMP), NULL FROM {runs}
 UNION ALL SELECT 'ZIPCODE', zipcode, NULL, NULL, NULL FROM {zipcodes}""",
+    "json_items": """
+SELECT '{{"entityType":"SHOP","PK":"SHOP#' || CAST(shop_id AS STRING) || '","SK":"SHOP","externalId":' || CAST(shop_id AS STRING) || ',"name":"' || name || '","latitude":' || coalesce(CAST(latitude AS STRING), 'null') || ',"note":"n' || CAST(shop_id AS STRING) || '"}}' AS item FROM {shops}
+UNION ALL SELECT '{{"entityType":"EVENT","PK":"EVENT#' || CAST(external_id AS STRING) || '","name":"' || name || '","startDate":"' || CAST(start_date AS STRING) || '","shopExternalId":' || CAST(shop_id AS STRING) || ',"playerCount":' || CAST(player_count AS STRING) || ',"extra":[1,2]}}' FROM {cal_events}
+UNION ALL SELECT '{{"PK":"GEOCACHE#' || query || '","query":"' || query || '","latitude":' || CAST(latitude AS STRING) || ',"entityType":"GEOCACHE","note":"g"}}' FROM {geocache}
+UNION ALL SELECT '{{"entityType":"SCRAPE_RUN","PK":"RUN#' || CAST(run_id AS STRING) || '","startedAt":"' || CAST(started_at AS STRING) || '","status":"' || status || '","eventsFound":' || CASE WHEN run_id % 5 = 0 THEN '"many"' ELSE CAST(events_found AS STRING) END || '}}' FROM {runs}
+UNION ALL SELECT '{{"entityType":"ZIPCODE","PK":"ZIP#' || zipcode || '","zipcode":"' || zipcode || '","city":"' || city || '","latitude":' || CAST(latitude AS STRING) || '}}' FROM {zipcodes}
+UNION ALL SELECT 'not JSON ' || zipcode FROM {zipcodes}""",
     "card_lists": """
 SELECT conv_id, turn, role || ':' || chr(10) || CAST(turn % 7 AS STRING) || 'x Card ' || CAST(conv_id % 40 AS STRING) || chr(10) || 'MainDeck' || chr(10) || chr(10) || '  Lone Card  ' || chr(10) ||
        CAST(conv_id % 4 AS STRING) || ' Other ' || role || chr(10) || '99999999999 Big Card' AS text FROM {conversations}""",

@@ -28,22 +28,35 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"«»“”„]")
 CLAUSE_END = frozenset(".!?;:\n")
 QUOTES = frozenset('"«»“”„')
 
-# Closed-class words of the grammar.
-TARGETS = frozenset(
-    "you your yours they them their he him she her it this these those who everyone du dich dir ihr euch sie er es dieser diese tu te toi vous il elle ils elles ce cette tú ti usted ustedes él ella ellos ellas este esta".split()
-)
-COPULAS = frozenset("is are am be was were ist sind bist bin war est es sont suis êtes son eres soy era".split())
-NEGATIONS = frozenset("not no never neither nor without nicht kein keine nie niemals ohne ne pas jamais sans nunca sin jamás".split())
-REPORTS = frozenset("said says wrote writes called quoted reported claims sagte schrieb nannte berichtete dit écrit appelé dijo escribió llamó".split())
-THREATS = frozenset("kill hurt destroy beat burn shoot die töten schlagen sterben tuer frapper mourir matar golpear morir".split())
+# Words of the grammar by language; the last list has further closed-class words that tell the language.
+WORDS = {
+    "en": {
+        "targets": "you your yours they them their he him she her it this these those who everyone", "copulas": "is are am be was were", "negations": "not no never neither nor without",
+        "reports": "said says wrote writes called quoted reported claims", "threats": "kill hurt destroy beat burn shoot die", "closed": "the of and to in that for with on as at by from have",
+    },
+    "de": {
+        "targets": "du dich dir ihr euch sie er es dieser diese", "copulas": "ist sind bist bin war", "negations": "nicht kein keine nie niemals ohne",
+        "reports": "sagte schrieb nannte berichtete", "threats": "töten schlagen sterben", "closed": "der die das den dem des und ein eine von zu mit auf für im",
+    },
+    "fr": {
+        "targets": "tu te toi vous il elle ils elles ce cette", "copulas": "est es sont suis êtes", "negations": "ne pas jamais sans",
+        "reports": "dit écrit appelé", "threats": "tuer frapper mourir", "closed": "le la les des du et un une dans que pour qui au",
+    },
+    "es": {
+        "targets": "tú ti usted ustedes él ella ellos ellas este esta", "copulas": "es son eres soy era", "negations": "no nunca sin jamás",
+        "reports": "dijo escribió llamó", "threats": "matar golpear morir", "closed": "el la los las de y en que por un una con del",
+    },
+}
+_LISTS = {language: {name: frozenset(told.split()) for name, told in own.items()} for language, own in WORDS.items()}
+_CLOSED = {language: frozenset().union(*own.values()) - own["threats"] for language, own in _LISTS.items()}
 
 #: Words of a clause that a report reaches over, and that a target may stand from its insult; a negation reaches half as far.
 REACH = 6
 FEATURES = ["bare", "aimed", "negated", "reported", "threat", "strongest", "clauses", "kinds"]
 
 #: Input symbols, then what transducers make of insults and threats.
-OTHER, TARGET, COPULA, NEGATION, REPORT, INSULT, THREAT, INSULT_AT, THREAT_AT, AIMED, BARE, MENACE, NEGATED, REPORTED = range(14)
-SYMBOLS = 14
+OTHER, TARGET, COPULA, NEGATION, REPORT, OPEN, CLOSE, INSULT, THREAT, INSULT_AT, THREAT_AT, AIMED, BARE, MENACE, NEGATED, REPORTED = range(16)
+SYMBOLS = 16
 KIND = {BARE: "bare", AIMED: "aimed", NEGATED: "negated", REPORTED: "reported", MENACE: "threat"}
 
 
@@ -106,7 +119,21 @@ FOLLOWED = _reach((TARGET,), REACH, {INSULT: INSULT_AT, THREAT: THREAT_AT}, 0.05
 PRECEDED = _reach((TARGET, COPULA), REACH, {INSULT: AIMED, INSULT_AT: AIMED, THREAT: MENACE, THREAT_AT: MENACE}, 0.05)
 ALONE = transducer(1, lambda s, x: (0, {INSULT: BARE, INSULT_AT: AIMED, THREAT: OTHER, THREAT_AT: MENACE}.get(x, x), 0.0))
 DENIED = _reach((NEGATION,), REACH // 2, dict.fromkeys((AIMED, BARE, MENACE), NEGATED))
-TOLD = _reach((REPORT,), REACH, dict.fromkeys((AIMED, BARE, MENACE), REPORTED))
+
+
+def _told(words: int) -> Transducer:
+    """What a report reaches, ``words`` long, or stands between two quotation marks, is reported; the closing mark ends both."""
+
+    def arcs(state: int, x: int) -> tuple[int, int, float]:
+        quoted, left = divmod(state, words + 1)
+        hit = (quoted or left) and x in (AIMED, BARE, MENACE)
+        left = words if x == REPORT else 0 if x == CLOSE else max(0, left - 1)
+        return (words + 1) * (x == OPEN or (quoted and x != CLOSE)) + left, REPORTED if hit else x, 0.0
+
+    return transducer(2 * (words + 1), arcs)
+
+
+TOLD = _told(REACH)
 GRAMMAR = compose(compose(compose(PRECEDED, ALONE), DENIED), TOLD)
 _NEXT, _OUT, _WEIGHT, _F_NEXT, _F_OUT, _F_WEIGHT = (x.tolist() for m in (GRAMMAR, FOLLOWED) for x in (m.next, m.out, m.weight))
 
@@ -123,36 +150,65 @@ class ToxicityModel:
 
 
 class Lexicon(dict):
-    """Word to its symbol and weight, the first transducer; each word is read once.
+    """Word to its symbol and weight in one language, the first transducer; each word is read once.
 
     An insult's weight is the best of its whole form and its stems; a threat outside the lexicon has weight 1.
     """
 
-    def __init__(self, model: ToxicityModel):
+    def __init__(self, model: ToxicityModel, language: str = "en"):
         super().__init__()
-        self.model = model
+        self.model, self.words = model, _LISTS[language]
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        held = self.model.lexicon
+        held, words = self.model.lexicon, self.words
         best = max([held.get(word + "$", 0.0), *(held.get(word[:n], 0.0) for n in range(self.model.shortest, min(len(word), self.model.longest) + 1))])
-        if word in NEGATIONS:
+        if word in words["negations"]:
             out = (NEGATION, 0.0)
-        elif word in REPORTS or word in QUOTES:
+        elif word in words["reports"]:
             out = (REPORT, 0.0)
-        elif word in TARGETS:
+        elif word in words["targets"]:
             out = (TARGET, 0.0)
-        elif word in COPULAS:
+        elif word in words["copulas"]:
             out = (COPULA, 0.0)
-        elif word in THREATS:
+        elif word in words["threats"]:
             out = (THREAT, best or 1.0)
         else:
             out = (INSULT, best) if best else (OTHER, 0.0)
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = out
         return out
 
 
+class Lexicons(dict):
+    """The lexicon of each language."""
+
+    def __init__(self, model: ToxicityModel):
+        super().__init__({language: Lexicon(model, language) for language in WORDS})
+
+
+def language_of(tokens: list[str]) -> str:
+    """The language with most closed-class words among ``tokens``, of equals the first of WORDS."""
+    counts = Counter(tokens)
+    return max(WORDS, key=lambda language: sum(map(counts.__getitem__, _CLOSED[language])))
+
+
+def paired_quotes(tokens: list[str]) -> dict[int, int]:
+    """The quotation marks by place, OPEN and CLOSE in turn within a paragraph; one without its closing mark is left out."""
+    out: dict[int, int] = {}
+    opened = None
+    for at, token in enumerate(tokens):
+        if token == "\n":
+            opened = None
+        elif token in QUOTES:
+            if opened is None:
+                opened = at
+            else:
+                out[opened], out[at] = OPEN, CLOSE
+                opened = None
+    return out
+
+
 def clause_matches(read: list[tuple[int, float]]) -> Iterator[tuple[str, float, int]]:
     """Kind, weight and place of each match of the grammar in one clause of symbols with lexicon weights."""
     state, symbols, weights = 0, [], []
@@ -169,28 +225,34 @@ def clause_matches(read: list[tuple[int, float]]) -> Iterator[tuple[str, float,
         state = _NEXT[state][symbol]
 
 
-def features(text: str | None, lexicon: Lexicon) -> list[float]:
+def features(text: str | None, lexicons: Lexicons) -> list[float]:
     """What the grammar matched in all clauses of the whole text, in the order of FEATURES.
 
     Sums of weights by kind, the strongest clause, the share of clauses with a match and the number of different
-    words matched; the last three leave out what is negated or reported.
+    words matched; the last three leave out what is negated or reported. The words are those of the language that the
+    text's own closed-class words tell. A quotation goes on over the ends of clauses until its closing mark.
     """
     tokens = TOKEN.findall((text or "").lower())
-    read = list(map(lexicon.__getitem__, tokens))
+    read = list(map(lexicons[language_of(tokens)].__getitem__, tokens))
     sums = dict.fromkeys(("bare", "aimed", "negated", "reported", "threat"), 0.0)
     strongest, matched, clauses, kinds = 0.0, 0, 0, set()
     if any(weight for _, weight in read):
-        start = 0
+        quotes = paired_quotes(tokens)
+        for at, symbol in quotes.items():
+            read[at] = (symbol, 0.0)
+        start, quoted = 0, False
         for at in range(len(tokens) + 1):
             if at == len(tokens) or tokens[at] in CLAUSE_END:
                 clauses += at > start
                 own, whole = read[start:at], 0.0
                 if any(weight for _, weight in own):
-                    for kind, weight, place in clause_matches(own):
+                    for kind, weight, place in clause_matches([(OPEN, 0.0), *own] if quoted else own):
                         sums[kind] += weight
                         if kind not in ("negated", "reported"):
                             whole += weight
-                            kinds.add(tokens[start + place])
+                            kinds.add(tokens[start + place - quoted])
+                for symbol, _ in own:
+                    quoted = symbol == OPEN or (quoted and symbol != CLOSE)
                 matched += whole > 0
                 strongest = max(strongest, whole)
                 start = at + 1
@@ -260,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> Toxici
     lexicon = learn_lexicon(rows.where("half = 0"))
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        insult = Lexicon(lexicon)
+        insult = Lexicons(lexicon)
         for frame in frames:
             got = pd.DataFrame([features(t, insult) for t in frame["text"]], columns=FEATURES)
             got["toxic"] = frame["toxic"].to_numpy()
@@ -280,7 +342,7 @@ def scorer(model: ToxicityModel, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release_table()
-        insult = Lexicon(model)
+        insult = Lexicons(model)
         weights = np.array(model.coefficients)
         for texts in series:
             found = np.array([features(t if isinstance(t, str) else None, insult) for t in texts], float).reshape(-1, len(FEATURES))

@@ -28,7 +28,7 @@ def kinds(sentence):
     ("sentence", "want"),
     [
         ("you are an idiot", [("aimed", "idiot")]), ("an idiot appears", [("bare", "idiot")]), ("you are not an idiot", [("negated", "idiot")]), ("she said an idiot came", [("reported", "idiot")]),
-        ("i will kill you", [("threat", "kill")]), ("kill the process", []), ("du dummkopf", [("aimed", "dummkopf")]), ("a fine day", []),
+        ("i will kill you", [("threat", "kill")]), ("kill the process", []), ("du dummkopf", [("bare", "dummkopf")]), ("a fine day", []),
     ],
 )
 def test_clauses(sentence, want):
@@ -36,7 +36,7 @@ def test_clauses(sentence, want):
 
 
 def test_negation_stops_at_the_clause():
-    names = dict(zip(toxicity.FEATURES, toxicity.features("I did not. You idiot", toxicity.Lexicon(MODEL)), strict=True))
+    names = dict(zip(toxicity.FEATURES, toxicity.features("I did not. You idiot", toxicity.Lexicons(MODEL)), strict=True))
     assert names["aimed"] > 0 and names["negated"] == 0
 
 
@@ -55,17 +55,20 @@ def told_plainly(clause):
         kind = "threat" if symbol == t.THREAT else "aimed" if before or after else "bare"
         if near((t.NEGATION,), t.REACH // 2):
             kind = "negated"
-        elif near((t.REPORT,), t.REACH):
-            kind = "reported"
+        else:
+            closed = min(near((t.CLOSE,), at), default=at + 1)  # how far the last closing mark is; it ends reports before it
+            marks = [x for x in clause[:at] if x in (t.OPEN, t.CLOSE)]
+            if (marks and marks[-1] == t.OPEN) or any(k < closed for k in near((t.REPORT,), t.REACH)):
+                kind = "reported"
         found.append((kind, at, round(weight, 9)))
     return found
 
 
 def test_grammar_against_brute_force():
     """All clauses of up to four symbols, and long ones at random."""
-    inputs = [toxicity.OTHER, toxicity.TARGET, toxicity.COPULA, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.THREAT]
+    inputs = [toxicity.OTHER, toxicity.TARGET, toxicity.COPULA, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.THREAT, toxicity.OPEN, toxicity.CLOSE]
     random = np.random.RandomState(5)
-    clauses = [c for n in range(5) for c in itertools.product(inputs, repeat=n)] + [tuple(random.choice(inputs, 25, p=[0.6, 0.1, 0.05, 0.05, 0.05, 0.1, 0.05])) for _ in range(2000)]
+    clauses = [c for n in range(5) for c in itertools.product(inputs, repeat=n)] + [tuple(random.choice(inputs, 25, p=[0.5, 0.1, 0.05, 0.05, 0.05, 0.1, 0.05, 0.05, 0.05])) for _ in range(2000)]
     for clause in clauses:
         got = [(kind, at, round(float(np.log(weight)), 9) + 0.0) for kind, weight, at in toxicity.clause_matches([(int(x), 1.0) for x in clause])]
         assert got == [(k, at, w + 0.0) for k, at, w in told_plainly(clause)], clause
@@ -75,7 +78,7 @@ def test_composition_is_one_machine_after_the_other():
     random = np.random.RandomState(6)
     parts = [toxicity.PRECEDED, toxicity.ALONE, toxicity.DENIED, toxicity.TOLD]
     for _ in range(500):
-        clause = random.randint(0, 9, 20).tolist()
+        clause = random.randint(0, 11, 20).tolist()
         symbols, total = clause, np.zeros(20)
         for part in parts:
             symbols, weights = part.run(symbols)
@@ -86,16 +89,37 @@ def test_composition_is_one_machine_after_the_other():
 
 def test_quoted_and_denied_insults_score_less():
     model = toxicity.ToxicityModel({"idiot$": 4.0}, (0.5, 1.0, -0.5, -0.5, 1.0, 1.0, 0.2, 0.5), -3.0)
-    score = lambda x: toxicity.features(x, toxicity.Lexicon(model)) @ np.array(model.coefficients)
+    score = lambda x: toxicity.features(x, toxicity.Lexicons(model)) @ np.array(model.coefficients)
     assert score("You are an idiot.") > score("An idiot came by.") > max(score("You are not an idiot."), score('He said "idiot".'))
 
 
-def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.01"
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ('He said "hello", you idiot', "aimed"), ('"Hello" you idiot', "aimed"), ('He said "you idiot" and left', "reported"), ('She wrote: "Go away. You idiot. Bye." and left', "reported"), ('She wrote: "Go away. Bye." You idiot', "aimed"),
+        ('a 5" screen and you idiot', "aimed"), ('he wrote "\nyou idiot"', "aimed"), ("du bist ein dummkopf und das ist nicht", "aimed"), ("„du dummkopf“ sagte der mann", "reported"), ("das ist die frau die er liebt", None), ("he will die and they kill him", "threat"),
+    ],
+)
+def test_quotes_are_paired_and_words_are_of_one_language(text, kind):
+    told = dict(zip(toxicity.FEATURES, toxicity.features(text, toxicity.Lexicons(MODEL)), strict=True))
+    assert [k for k in ("bare", "aimed", "negated", "reported", "threat") if told[k]] == [kind] * (kind is not None)
+
+
+def test_clean_texts_of_each_language_hold_few_threats(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").select("text", "lang").collect()
+    blank, share = toxicity.Lexicons(toxicity.ToxicityModel({})), {}
+    for text, lang in rows:
+        share.setdefault(lang, []).append(toxicity.features(text, blank)[toxicity.FEATURES.index("threat")] > 0)
+    assert len(share) == 4 and all(np.mean(own) < 0.01 for own in share.values())
+
+
+@pytest.mark.parametrize(("folder", "auc", "recall"), [("sf0.01", 0.8, 0.6), ("sf0.1", 0.955, 0.88)])
+def test_toxicity_held_out(spark, folder, auc, recall):
+    folder = f"/root/testdata/{folder}"
     got = toxicity.op8_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     ones, zeros = ([r.score for r in got if r.held_out and r.toxic == y] for y in (1, 0))
-    assert np.mean([[a > b for b in zeros] for a in ones]) > 0.8
+    assert np.mean([[(a > b) + (a == b) / 2 for b in zeros] for a in ones]) > auc and np.mean([a >= 0.5 for a in ones]) >= recall
     assert np.mean([b >= 0.5 for b in zeros]) < 0.03
 
 

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, best bin first.
 
 Vectors are lengthened by one coordinate to equal norms, so that the largest inner product is the least distance. The
-tree is fitted on a bounded sample and then every row is dealt to its leaf. A query walks the tree with a priority
+tree is fitted on a bounded sample and then every row is dealt to its leaf; the few vectors that are much longer than
+the others would flatten them to one point, so they lie in a leaf of their own, which every query visits. A query walks the tree with a priority
 queue, nearest bins first, for as many leaves as a calibration found to reach the recall asked for. Leaves are cut
 into blocks of bounded size, so one vector repeated any number of times is shared out over tasks.
 """
@@ -25,6 +26,8 @@ BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 #: Leaves that a query visits first, to know how near a row must be for the others to tell it.
 FIRST = 4
+#: Vectors longer than this many times the median, and than all but a thousandth, have a leaf of their own.
+LONG = 4
 
 
 @dataclass
@@ -65,7 +68,8 @@ class Tree:
 
     def walk(self, query: np.ndarray, visits: int) -> list[int]:
         """The first ``visits`` leaves, best bin first."""
-        point = np.append(query, 0.0)
+        point = np.append(query / np.abs(query).max(), 0.0)  # its direction alone tells the order of inner products
+        point *= self.reach / np.sqrt((point**2).sum())
         queue: list[tuple[float, int, Node | int]] = [(0.0, 0, self.root)]
         out, made = [], 1
         while queue and len(out) < visits:
@@ -147,7 +151,7 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: n
             own = query_ids[at + q]
             want = min(len(row), k + 1)
             floor = np.partition(row, len(row) - want)[len(row) - want]
-            near = np.flatnonzero(row >= floor - 1e-9 * (1 + abs(floor)))
+            near = np.flatnonzero(row >= (floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else floor))
             near = near[ids[near] != own]
             score = exact_scores(queries[at + q], rows[near])
             if floors is not None:
@@ -176,8 +180,8 @@ def _compare(asked: DataFrame, blocks: DataFrame, dimensions: int, k: int) -> Da
             found = best_of(queries["vec_id"].to_numpy(np.int64), _matrix(queries["v"], dimensions), rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"], dimensions), k, queries["floor"].to_numpy(float))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    sizes = blocks.select("leaf", "blocks").distinct()
-    busy = asked.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / QUERY_ROWS) + 1).cast("int").alias("turns"))
+    sizes = F.broadcast(blocks.select("leaf", "blocks").distinct())
+    busy = F.broadcast(asked.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / QUERY_ROWS) + 1).cast("int").alias("turns")))  # a row for each leaf, as in sizes
     turns = F.coalesce("turns", F.lit(1))
     each = asked.join(busy, "leaf").join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("turns")).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "vec_id", "v", "floor")
     dealt = blocks.join(busy, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), "block", "vec_id", "v")
@@ -186,7 +190,7 @@ def _compare(asked: DataFrame, blocks: DataFrame, dimensions: int, k: int) -> Da
 
 
 def calibrate(tree: Tree, placed: DataFrame, k: int, recall: float, queries: int = 96) -> int:
-    """Leaves to visit so that ``queries`` sample queries, held against all rows, find ``recall`` of their k nearest."""
+    """Leaves of the tree to visit so that ``queries`` sample queries, held against all rows, find ``recall`` of their k nearest."""
     sample = placed.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(queries).select("vec_id", "v").toPandas()
     ids, points = sample["vec_id"].to_numpy(np.int64), _matrix(sample["v"], tree.dimensions)
 
@@ -201,7 +205,7 @@ def calibrate(tree: Tree, placed: DataFrame, k: int, recall: float, queries: int
     needed = []
     for query, own in true.groupby("query_id"):
         order = {leaf: n + 1 for n, leaf in enumerate(tree.walk(points[np.flatnonzero(ids == query)[0]], tree.leaves))}
-        needed += [order[x] for x in own["leaf"]]
+        needed += [order.get(x, 0) for x in own["leaf"]]  # long vectors need no visit to the tree
     return int(np.quantile(needed, recall, method="higher")) if needed else tree.leaves
 
 
@@ -213,19 +217,23 @@ def search(
     The tree is fitted on at most ``sample_rows`` rows, those with the least hash; every usable row is indexed. Its
     leaves hold about ``leaf_rows`` rows, or more where the sample has fewer than 16 rows for each such leaf, and
     leaves are cut into blocks. A query visits as many leaves as the calibration needs for ``recall``; the k-th best
-    score of its first FIRST leaves is its floor in the others, so that few rows leave them.
+    score of its first FIRST leaves is its floor in the others, so that few rows leave them. Vectors over LONG times
+    the median length, a thousandth of all at most, are held against every query.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id.
     Rows of one id are one candidate with the least of its vectors; equal scores rank by the smaller id. Vectors of
     different lengths are an error. An empty table gives an empty result; other columns are not read.
     """
-    rows = materialise(usable(vectors, id_col, vector_col), "vectors")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    total, reach, dimensions, least = rows.agg(F.count(F.lit(1)), F.max(norm), F.max(F.size("v")), F.min(F.size("v"))).first()
+    largest = F.array_max(F.transform("v", F.abs))
+    norm = largest * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest)))
+    rows = materialise(usable(vectors, id_col, vector_col).withColumn("norm", norm), "vectors")
+    total, dimensions, least, middle = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v")), F.percentile_approx("norm", [0.5, 0.999], 10_000)).first()
     if not total:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     if least != dimensions:
         raise ValueError(f"vectors have {least} to {dimensions} components")
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * 1.2 * sample_rows / total) + 1)))
+    is_long = F.col("norm") > max(LONG * middle[0], middle[1])
+    reach, n_long = rows.agg(F.max(F.when(~is_long, F.col("norm"))), F.count_if(is_long)).first()
+    sample = rows.where(~is_long & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(min(1 << 20, int((1 << 20) * 1.2 * sample_rows / total) + 1))))
     sample = _matrix(sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()["v"], dimensions)
     tree = fit_tree(sample, float(reach), branches, max(1, min(total // leaf_rows, len(sample) // 16)))
 
@@ -234,21 +242,24 @@ def search(
         for v in batches:
             yield pd.Series(tree.leaf_of(_matrix(v, dimensions)))
 
-    placed = materialise(rows.withColumn("leaf", leaf("v")), "vector-leaves")
+    usual = rows.where(~is_long).select("vec_id", "v", leaf("v").alias("leaf"))
+    placed = materialise(usual.unionByName(rows.where(is_long).select("vec_id", "v", F.lit(tree.leaves).cast("long").alias("leaf"))), "vector-leaves")
     visits = calibrate(tree, placed, k, recall)
+    own_leaf = [tree.leaves] if n_long else []
 
     @F.pandas_udf("array<long>")
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series([tree.walk(x, visits) for x in _matrix(v, dimensions)])
+            yield pd.Series([own_leaf + tree.walk(x, visits) for x in _matrix(v, dimensions)])
 
     counts = placed.groupBy("leaf").agg((F.floor(F.count(F.lit(1)) / BLOCK_ROWS) + 1).cast("int").alias("blocks"))  # a row for each leaf
     blocks = placed.join(F.broadcast(counts), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = materialise(rows.where(is_query).withColumn("_leaves", walk("v")), "vector-queries")
-    first = asked.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.explode(F.slice("_leaves", 1, FIRST)).alias("leaf"))
-    near = materialise(_ranked(_compare(first, blocks, dimensions, k), k), "vector-near")
+    first = FIRST + len(own_leaf)
+    begun = asked.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.explode(F.slice("_leaves", 1, first)).alias("leaf"))
+    near = materialise(_ranked(_compare(begun, blocks, dimensions, k), k), "vector-near")
     floors = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    others = F.slice("_leaves", FIRST + 1, max(1, visits))
+    others = F.slice("_leaves", first + 1, max(1, visits))
     rest = asked.join(floors, "vec_id", "left").select("vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), F.explode(others).alias("leaf"))
     both = near.drop("rank").unionByName(_compare(rest, blocks, dimensions, k))
     return _ranked(both, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairgrid.llm.common import documents, materialise, release_table, worker_table
+from fairgrid.llm.common import documents, join_hot, materialise, release_table, worker_table
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 2
 #: Links have 100 * intersection >= LINK * union.
@@ -37,6 +37,8 @@ LINK = 75
 FLOOR = 0.55
 #: Members of a pivot that meet it in one task; members of a bucket that meet each other in the rounds of step 3.
 MEMBERS, BLOCK = 256, 512
+#: Shingles of a block's members together, some 8 MB a tile; a longer set has a block of its own.
+BLOCK_SHINGLES = 1 << 19
 #: Rounds of step 3 after the first.
 ROUNDS = 2
 #: Ids that full sets are fetched for by broadcast; more are fetched by a shuffle of the texts.
@@ -152,7 +154,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ``b``'s set goes to each of the tasks that its partners are dealt to, MEMBERS of them in each.
     """
     dealt = pairs.groupBy("b").agg((F.floor(F.count(F.lit(1)) / MEMBERS) + 1).cast("int").alias("_tasks"))
-    left = pairs.join(dealt, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("_tasks")).cast("int").alias("_task"), F.lit(False).alias("_pivot"))
+    left = join_hot(pairs, dealt, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("_tasks")).cast("int").alias("_task"), F.lit(False).alias("_pivot"))
     right = dealt.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"), F.lit(True).alias("_pivot"))
     needed = materialise(left.unionByName(right), "minhash-needed")
     sets = _with_sets(_texts_of(docs, needed))
@@ -192,20 +194,25 @@ def _likeness(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sizes_link(sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of two sizes can link at all: the smaller has LINK hundredths of the larger's members at least."""
+    return 100 * np.minimum(sizes[:, None], sizes[None, :]) >= LINK * np.maximum(sizes[:, None], sizes[None, :])
+
+
 def _nominate(members: DataFrame) -> DataFrame:
     """``a, b``: for each class its likeliest partner of another component, over the blocks of its buckets.
 
-    ``members`` has ``key, block, rep, component, s0..s3``; rows of a block stream through one task together.
+    ``members`` has ``key, block, rep, component, n_shingles, s0..s3``; rows of a block stream through one task together.
     """
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, ends in _slices(frames, ["key", "block"]):
-            reps, parts, bits = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows[SIGNATURE].to_numpy(np.int64)
+            reps, parts, bits, sizes = rows["rep"].to_numpy(), rows["component"].to_numpy(), rows[SIGNATURE].to_numpy(np.int64), rows["n_shingles"].to_numpy(np.int64)
             out_a, out_b, out_sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for start, end in zip(starts, ends, strict=True):
                 own = slice(start, end)
                 sim = _likeness(bits[own], bits[own])
-                sim[parts[own, None] == parts[None, own]] = -1
+                sim[(parts[own, None] == parts[None, own]) | ~_sizes_link(sizes[own])] = -1
                 best = sim.argmax(axis=1)
                 sims = sim[np.arange(len(best)), best]
                 good = sims >= FLOOR
@@ -214,7 +221,7 @@ def _nominate(members: DataFrame) -> DataFrame:
                 out_sim.append(sims[good])
             yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "sim": np.concatenate(out_sim)})
 
-    rows = members.select("key", "block", "rep", "component", *SIGNATURE).repartition("key", "block").sortWithinPartitions("key", "block", "rep")
+    rows = members.select("key", "block", "rep", "component", "n_shingles", *SIGNATURE).repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     found = rows.mapInPandas(pick, "a long, b long, sim double")
     return found.groupBy("a").agg(F.max_by("b", F.struct("sim", -F.col("b"))).alias("b"))
 
@@ -230,7 +237,7 @@ def _tile_pairs(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """
     parts, bits, blocks = rows["component"].to_numpy(), rows[SIGNATURE].to_numpy(np.int64), rows["block"].to_numpy()
     sim = _likeness(bits, bits)
-    open_pairs = (sim >= FLOOR) & (parts[:, None] < parts[None, :])
+    open_pairs = (sim >= FLOOR) & (parts[:, None] < parts[None, :]) & _sizes_link(rows["n_shingles"].to_numpy(np.int64))
     if rows["tile_i"].iloc[0] != rows["tile_j"].iloc[0]:
         open_pairs &= blocks[:, None] != blocks[None, :]
     a, b = np.nonzero(open_pairs)
@@ -247,8 +254,8 @@ def _links_across(docs: DataFrame, members: DataFrame) -> DataFrame:
     """``a, b``: links between components of a bucket, enough to join all components that any link joins."""
     blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     tiles = members.withColumn("_y", F.explode(blocks)).withColumn("tile_i", F.least("block", "_y")).withColumn("tile_j", F.greatest("block", "_y")).drop("_y", "blocks")
-    kept = [*TILE, "block", "rep", "component", "bands", *SIGNATURE]
-    kinds = "key long, tile_i long, tile_j long, block long, doc_id long, component long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
+    kept = [*TILE, "block", "rep", "component", "n_shingles", "bands", *SIGNATURE]
+    kinds = "key long, tile_i long, tile_j long, block long, doc_id long, component long, n_shingles long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts, ends in _slices(frames, TILE):
@@ -302,12 +309,12 @@ def _texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _mixed(met: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component: ``key, rep, component, block, blocks, bands, s0..s3``."""
-    labelled = met.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    """Rows of buckets that hold more than one component: ``key, rep, component, n_shingles, block, blocks, bands, s0..s3``; blocks are bounded in rows and in shingles."""
+    labelled = met.select("key", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     labelled = materialise(labelled, "minhash-labelled")
-    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo < hi").select("key", "_n")
-    blocks = F.floor(F.col("_n") / BLOCK) + 1
-    rows = labelled.join(several, "key").select("key", "rep", "component", F.pmod(F.xxhash64("rep"), blocks).alias("block"), blocks.alias("blocks"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s")).where("lo < hi").select("key", "_n", "_s")
+    blocks = F.floor(F.greatest(F.col("_n") / BLOCK, F.col("_s") / BLOCK_SHINGLES)) + 1
+    rows = labelled.join(several, "key").select("key", "rep", "component", "n_shingles", F.pmod(F.xxhash64("rep"), blocks).alias("block"), blocks.alias("blocks"))
     return materialise(rows.join(classes.select("rep", "bands", *SIGNATURE), "rep"), "minhash-mixed")
 
 
@@ -317,10 +324,10 @@ def components(links: DataFrame) -> DataFrame:
     ends = materialise(ends, "component-ends")
     labels = materialise(ends.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("component")), "component-labels")
     while True:
-        near = ends.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("_near"))
+        near = join_hot(ends, labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("_near"))
         least = labels.join(near, "node").select("node", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
         target = labels.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        jumped = least.join(target, "component", "left").select("node", "_was", F.least(F.col("component"), F.col("_next")).alias("component"))
+        jumped = join_hot(materialise(least, "component-least"), target, "component", "left").select("node", "_was", F.least(F.col("component"), F.col("_next")).alias("component"))
         step = materialise(jumped, "component-labels")
         labels = step.select("node", "component")
         if step.where("component <> _was").isEmpty():
@@ -339,17 +346,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         raise TypeError("doc_id must be an integer")
     signed = materialise(signatures(docs), "minhash-signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    alike = [F.first(c).alias(c) for c in ("bands", *SIGNATURE)]  # equal sets have equal signatures
+    alike = [F.first(c).alias(c) for c in ("n_shingles", "bands", *SIGNATURE)]  # equal sets have equal signatures
     classes = materialise(usable.groupBy("set_digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_rows"), *alike), "minhash-classes")
 
-    keys = classes.select("rep", F.explode("bands").alias("key"))
+    keys = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     met = materialise(keys.join(shared, "key"), "minhash-buckets")
     bits = classes.select("rep", *SIGNATURE)
     ours = bits.select(F.col("rep").alias("a"), *(F.col(s).alias(f"a{s[1]}") for s in SIGNATURE))
     theirs = bits.select(F.col("rep").alias("b"), *(F.col(s).alias(f"b{s[1]}") for s in SIGNATURE))
-    pivots = met.select(F.col("rep").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct()
-    scored = pivots.join(ours, "a").join(theirs, "b").select("a", "b", estimate("a", "b").alias("_sim")).where(F.col("_sim") >= FLOOR)
+    pivots = materialise(met.select(F.col("rep").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").distinct(), "minhash-pivots")
+    scored = join_hot(pivots, theirs, "b").join(ours, "a").select("a", "b", estimate("a", "b").alias("_sim")).where(F.col("_sim") >= FLOOR)
     first_pairs = materialise(scored.groupBy("a").agg(F.max_by("b", F.struct("_sim", -F.col("b"))).alias("b")), "minhash-pairs")
     links = confirmed(docs, first_pairs)
     found = components(links)

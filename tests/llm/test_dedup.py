@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fairgrid.llm.common import join_hot
 from fairgrid.llm import exact_dedup, minhash, sharding
 from tests.llm.conftest import AWKWARD, build, sentence
 
@@ -110,6 +111,28 @@ def test_near_chain_and_hot_group(spark):
     assert got == brute_near([(i, t) for i, t, _ in rows])
 
 
+def test_near_in_a_bucket_of_many_components(spark, monkeypatch):
+    """A template that texts share most of, but not enough to link: buckets of hundreds of components, a few pairs among them."""
+    monkeypatch.setattr(minhash, "BLOCK", 128)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 1 << 14)
+    template = " ".join(f"word{k}" for k in range(134))
+    rows = [(i, template + " " + " ".join(f"own{i}x{k}" for k in range(35)), None) for i in range(500)]
+    rows += [(1000 + i, rows[i * 7][1].rsplit(" ", 10)[0] + " " + " ".join(f"other{i}x{k}" for k in range(10)), None) for i in range(40)]
+    rows += [(2000 + i, template + " " + " ".join(f"long{i}x{k}" for k in range(400)), None) for i in range(20)]
+    want = brute_near([(i, t) for i, t, _ in rows])
+    assert sum(not kept for *_, kept in want) == 40
+    assert Counter(map(tuple, minhash.near_duplicates(build(spark, rows)).collect())) == want
+
+
+def test_hot_keys_join_like_others(spark):
+    many = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 2000 if i % 5 else None) for i in range(9000)], "x long, k long")
+    one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 2000, 2)] + [(7, "hot")], "k long, v string")
+    for how in ("inner", "left"):
+        got = Counter(map(tuple, join_hot(many, one, "k", how).select("x", "k", "v").collect()))
+        assert got == Counter(map(tuple, many.join(one, "k", how).select("x", "k", "v").collect()))
+    assert join_hot(many.limit(0), one, "k").count() == 0
+
+
 def test_groups_of_adjacent_keys():
     keys = [2**62, 2**62, 2**62 + 1, 2**62 + 2, 2**62 + 2]
     frame = pd.DataFrame({"key": keys, "block": [0] * 5})

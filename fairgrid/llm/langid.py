@@ -51,13 +51,14 @@ def _gibberish(text: str, letters: list[str], rng: np.random.RandomState) -> str
     return " ".join("".join(letters[k] for k in rng.randint(len(letters), size=len(w))) for w in NOT_LETTERS.sub(" ", text.lower()).split())
 
 
-def calibrate(samples: dict[str, list[str]], each: int, level: int, default: float) -> float:
+def calibrate(samples: dict[str, list[str]], each: int, most: int, level: int, default: float) -> float:
     """The margin between those of random letters and those of clean texts, from ``samples`` of each language.
 
-    It lies in the gap that rejects most random texts and fewest clean ones, which count CLEAN times as much.
+    It lies in the gap that rejects most random texts and fewest clean ones, which count CLEAN times as much. The
+    dictionaries are cut to ``most`` bytes, as those of the model are.
     """
     held = [x for own in samples.values() for x in own[::HELD_BACK] if _letters(x)]
-    content = {lang: b" ".join(_letters(x)[: 4 * each] for k, x in enumerate(own) if k % HELD_BACK) for lang, own in samples.items()}
+    content = {lang: b" ".join(_letters(x)[: 4 * each] for k, x in enumerate(own) if k % HELD_BACK)[:most] for lang, own in samples.items()}
     content = {lang: data for lang, data in content.items() if data}
     if len(content) < 2 or len(held) < LEAST:
         return default
@@ -81,8 +82,8 @@ def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112
     Counts of each language cover all rows, and so does the number of its different texts, which the share to sample
     follows from, however often one text is repeated; of more than ``languages`` values of lang the commonest are learned.
     Content is taken from ``sample_docs`` distinct texts a language, those with the least hash, ``excerpt_chars``
-    characters of each at a place that the hash chooses, and at most ``dictionary_bytes`` of it are kept: these are
-    bounds of the model, not of what it is applied to. Rows with a null text or lang teach nothing. The margin is
+    characters of each at a place that the hash chooses, of these four shares of ``dictionary_bytes`` by the number of
+    texts, and at most ``dictionary_bytes`` in all: these are bounds of the model, not of what it is applied to. Rows with a null text or lang teach nothing. The margin is
     calibrated on the same texts.
     """
     usable = examples.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
@@ -103,7 +104,7 @@ def fit(examples: DataFrame, sample_docs: int = 400, dictionary_bytes: int = 112
         samples[str(lang)] = list(own["text"])
         content[str(lang)] = b" ".join(_letters(x)[: 4 * each] for x in samples[str(lang)])[:dictionary_bytes]
     ordered = sorted(content, key=lambda x: (-counts[x], x))
-    margin = calibrate(samples, each, level, LanguageModel.margin)
+    margin = calibrate(samples, each, dictionary_bytes, level, LanguageModel.margin)
     return LanguageModel({k: content[k] for k in ordered if content[k]}, level, margin)
 
 

@@ -311,6 +311,14 @@ def test_pipeline_drops_rows_not_ids(spark):
     assert Counter(map(tuple, corpus_pipeline.near(spark, more, "").collect())) == Counter(rows)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    names = "doc_id long, text string, _digest string, text_sha256 string, dropped_id long, _h string, _shared boolean"
+    rows = [(i, t, f"mine {i}", "own", 7, "h", True) for i, t in ((1, "same"), (2, "same"), (3, sentence(3, 60)), (4, sentence(3, 60) + " end"))]
+    docs = spark.createDataFrame(rows, names)
+    assert sorted(map(tuple, corpus_pipeline.exact(spark, docs, "").collect())) == rows[1:]
+    assert sorted(map(tuple, corpus_pipeline.near(spark, docs, "").collect())) == [rows[0], rows[2]]
+
+
 def test_pipeline_of_awkward_and_empty(spark, awkward, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for table in (awkward, nothing):

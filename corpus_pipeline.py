@@ -36,9 +36,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest doc_id stays; a row goes only for its own text, whatever else has its doc_id."""
     ship_package(spark)
     decided = exact_dedup.deduplicate(docs, keep="max")
-    dropped = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id", F.col("text_sha256").alias("_digest")).distinct()
-    rows = docs.withColumn("_digest", exact_dedup.digest(F.col("text")))
-    return rows.join(materialise(dropped, "dropped"), ["doc_id", "_digest"], "left_anti").select(docs.columns)
+    dropped = decided.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("dropped_id"), "text_sha256").distinct()
+    gone = materialise(dropped, "dropped").alias("gone")
+    same = (F.col("rows.doc_id") == F.col("gone.dropped_id")) & (exact_dedup.digest(F.col("rows.text")) == F.col("gone.text_sha256"))
+    return docs.alias("rows").join(gone, same, "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairgrid.functions import text
+from fairgrid.operators import spatial, upkeep
 from fairgrid.operators.calendar import first_in_group
 from fairgrid.operators.search import if_small
 
@@ -60,6 +61,33 @@ def city_list(coords: DataFrame, known: DataFrame, forward: DataFrame) -> DataFr
     return best.select("city", "_b.state", "country", "_b.source")
 
 
+def store_cities(stores: DataFrame, places: DataFrame, digits: int = 2) -> DataFrame:
+    """``city, state, country`` of the places nearest to stores: ``stores`` is (latitude, longitude), ``places`` (row_id, city, state, country, latitude, longitude).
+
+    Coordinates count once after rounding to ``digits``; what the reverse lookup gives is the place itself.
+    """
+    spots = stores.where("latitude is not null and longitude is not null").select(F.round("latitude", digits).alias("lat"), F.round("longitude", digits).alias("lng")).distinct()
+    spots = spots.withColumn("point_id", F.xxhash64("lat", "lng"))
+    near = spatial.nearest_place(spots, places.select("row_id", "latitude", "longitude")).select("row_id").distinct()
+    return near.join(places, "row_id").select("city", "state", "country")
+
+
+def city_documents(cities: DataFrame, features: DataFrame, existing: DataFrame, first_id: int = 900_000_000) -> DataFrame:
+    """``place_id, osm_id, doc`` of ``cities`` (city, country, source) whose forward lookup in ``features`` (query, feature) finds a place that ``existing`` (osm_id) lacks.
+
+    Cities are looked up as ``city, country``, normalised; of cities that find the same place the first in order of
+    query counts. Documents are numbered from ``first_id`` on without a gap, in that order.
+    """
+    query = F.concat_ws(", ", "city", "country")
+    asked = cities.select("city", text.normalised(query).alias("query"))
+    found = asked.join(features, "query").where("feature.osm_id is not null")
+    once = found.groupBy(F.col("feature.osm_id").alias("osm_id")).agg(F.min_by(F.struct("query", "city", "feature"), F.struct("query", "city")).alias("_f"))
+    fresh = once.join(existing.select("osm_id"), "osm_id", "left_anti").select("osm_id", F.col("_f.query").alias("natural"), "_f.city", "_f.feature")
+    start = fresh.sparkSession.createDataFrame([(None, first_id - 1)], "natural string, surrogate long")
+    ids = upkeep.new_surrogates(start, fresh.select("natural"))
+    return fresh.join(ids, "natural").select(F.col("surrogate").alias("place_id"), "osm_id", F.to_json(place_document("feature", F.col("city"))).alias("doc"))
+
+
 def suggest(places: DataFrame, prefix: str, limit: int = 4, shortest: int = 2) -> DataFrame:
     """Places (place_id, name, type, label) whose name starts with ``prefix``, each label and type once."""
     if len(prefix.strip()) < shortest:

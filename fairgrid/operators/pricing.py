@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairgrid.functions import text
@@ -22,13 +22,16 @@ def price_lines(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Lines with unit and total prices by normalised card name; CNY falls back to USD.
 
     ``prices`` may hold a card several times: the row with the greatest ``updated_at`` counts (without that column the
-    greatest prices). A card that is unknown or has neither price has ``found`` false.
+    greatest prices). A card that is unknown or has neither price has ``found`` false. ``card_number`` and ``set`` of
+    the price row are carried where ``prices`` has them, for cards that are found.
     """
-    newest = F.struct(*([F.col("updated_at")] if "updated_at" in prices.columns else []), "price_usd", "price_cny")
-    book = prices.groupBy(text.normalised(F.col("card")).alias("_key")).agg(F.max(newest).alias("_p")).select("_key", "_p.price_usd", "_p.price_cny")
+    more = [c for c in ("card_number", "set") if c in prices.columns]
+    newest = F.struct(*([F.col("updated_at")] if "updated_at" in prices.columns else []), "price_usd", "price_cny", *more)
+    book = prices.groupBy(text.normalised(F.col("card")).alias("_key")).agg(F.max(newest).alias("_p")).select("_key", "_p.price_usd", "_p.price_cny", *(f"_p.{c}" for c in more))
     book = book.withColumn("_found", F.coalesce("price_usd", "price_cny").isNotNull())
     met = lines.withColumn("_key", text.normalised(F.col("card"))).join(if_small(book), "_key", "left").drop("_key")
     unit = F.coalesce("price_cny", "price_usd")
+    met = met.withColumns({c: F.when(F.col("_found"), F.col(c)) for c in more})
     return met.withColumn("unit_cny", unit).withColumn("total_cny", unit * F.col("quantity")).withColumn("found", F.coalesce("_found", F.lit(False))).drop("_found", "price_cny")
 
 
@@ -54,10 +57,43 @@ def estimated_total(totals: DataFrame) -> DataFrame:
 
 def orders(priced: DataFrame, key: str) -> DataFrame:
     """Order documents: an array of priced lines with each order's subtotal and status."""
-    item = F.struct("line", "quantity", "card", "unit_cny", "total_cny", "found")
+    item = F.struct("line", "quantity", "card", *(c for c in ("card_number", "set") if c in priced.columns), "unit_cny", "total_cny", "found")
     return priced.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"), F.sum(F.coalesce("total_cny", F.lit(0.0))).alias("subtotal_cny")).withColumn("status", F.lit("pending"))
 
 
+def order_totals(priced: DataFrame, key: str) -> DataFrame:
+    """``subtotal_cny``, ``items`` (how many lines) and the estimate of each order, by a plain aggregate that task sides combine."""
+    return estimated_total(priced.groupBy(key).agg(F.sum(F.coalesce("total_cny", F.lit(0.0))).alias("subtotal_cny"), F.count(F.lit(1)).alias("items")))
+
+
+# The columns of the table in an order's message.
+TABLE_HEAD = "Qty  Set/Number    Card Name                  Unit CNY   Total CNY"
+TABLE_RULE = "---  ------------  -------------------------  --------  ----------"
+
+
+def order_message(order_docs: DataFrame, key: str) -> DataFrame:
+    """``message``: what tells of an order: its id, the quick list, a table of the items, subtotal and estimate, and whether cards weren't found.
+
+    Names are cut to 25 letters, missing numbers and prices are dashes. ``order_docs`` is what :func:`orders` gives of
+    lines with ``card_number`` and ``set``.
+    """
+    money = lambda c, width: F.lpad(F.when(c.isNotNull(), F.format_string("¥%.2f", c)).otherwise(F.lit("—")), width, " ")
+    quick = lambda i: text.quick_line(i["quantity"], i["set"], i["card_number"], i["card"])
+
+    def row(i: Column) -> Column:
+        code = F.coalesce(F.concat(text.blank_to_null(i["set"]), F.lit(" "), text.blank_to_null(i["card_number"])), F.lit("—"))
+        wide = F.when(F.length(code) < 12, F.rpad(code, 12, " ")).otherwise(code)
+        amount = i["quantity"].cast("string")
+        return F.concat_ws("  ", F.when(F.length(amount) < 3, F.lpad(amount, 3, " ")).otherwise(amount), wide, F.rpad(F.substring(i["card"], 1, 25), 25, " "), money(i["unit_cny"], 8), money(i["total_cny"], 10))
+
+    told = estimated_total(order_docs)
+    cards = F.aggregate("items", F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["quantity"].cast("long"), F.lit(0)))
+    sums = [F.concat(F.lit(" " * 45 + name), F.format_string("¥%.2f", c)) for name, c in (("Subtotal: ", "subtotal_cny"), ("Est Total: ", "estimate"))]
+    lacking = F.when(F.exists("items", lambda i: ~i["found"]), F.lit("Some cards have no price."))
+    parts = [F.concat(F.lit("Order "), F.col(key).cast("string")), F.concat(F.lit("Quick list ("), cards.cast("string"), F.lit(" cards):")), F.array_join(F.transform("items", quick), "\n"), F.lit(TABLE_HEAD), F.lit(TABLE_RULE), F.array_join(F.transform("items", row), "\n"), F.lit(TABLE_RULE), *sums, lacking]
+    return told.select(key, F.concat_ws("\n", *parts).alias("message"))
+
+
 def rejects(lines: DataFrame, most: int = 3) -> DataFrame:
     """Lines that an order can't take, with the reason."""
     reason = F.when(F.col("quantity").isNull(), "unreadable quantity").when(F.col("quantity") > most, "too many").when(F.col("quantity") < 1, "no quantity").when(F.trim("card") == "", "no name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairgrid.functions import temporal, text, weblog
@@ -100,6 +100,45 @@ def trailing_reports(state: DataFrame, days: int = 7) -> DataFrame:
     return spread.groupBy("end").agg(F.count(F.lit(1)).alias("days"), *sums, *(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in ("visitors", "event_pages")))
 
 
+# The labels of the report's lines, each padded to 21 letters, and how its tables' lines are laid out.
+REPORT_LABELS = {
+    "Total requests": "requests", "Unique visitors": "visitors", "Successful requests": "successful", "Homepage": ("homepage", "homepage_visitors"), "Event details": ("event_pages", "event_page_visitors"),
+    "Unique events viewed": "events_viewed", "Total API calls": "api_calls", "Calendar requests": "calendar_api", "Location searches": "geocode_api", "Visit store clicks": ("visits", "visit_visitors"),
+}
+PAGE_LINE, DAY_LINE, BROWSER_LINE = "%8d  %s", "%s: %6d requests, %5d unique", "%10s: %8d (%.1f%%)"
+
+
+def report_lines(log: DataFrame, pages: int = 10, days: int = 14) -> DataFrame:
+    """The traffic report as lines: ``section, place, line``; in that order they are the document.
+
+    Sections: 0 dates, 1 numbers (with distinct visitors where they are told), 2 the most requested ``pages``, 3 the
+    last ``days`` by date, 4 browsers by requests with their share. Parts are aggregates of the log, a few rows each.
+    """
+    wide = wide_report(log)
+    number = lambda c: F.format_number(F.col(c), 0)
+    told = []
+    for label, names in REPORT_LABELS.items():
+        one, unique = names if isinstance(names, tuple) else (names, None)
+        own = F.concat(F.rpad(F.lit(f"{label}:"), 21, " "), number(one))
+        told.append(F.concat(own, F.lit(" ("), number(unique), F.lit(" unique)")) if unique else own)
+    dates = F.concat(F.lit("Date range: "), F.col("first_date"), F.lit(" to "), F.col("last_date"))
+    lines = F.array(F.struct(F.lit(0).alias("section"), F.lit(1).alias("place"), dates.alias("line")), *(F.struct(F.lit(1).alias("section"), F.lit(k + 1).alias("place"), line.alias("line")) for k, line in enumerate(told)))
+    out = wide.select(F.inline(lines))
+
+    def ranked(rows: DataFrame, section: int, order: list[Column], line: Column) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))  # few rows
+        return rows.select(F.lit(section).alias("section"), place.alias("place"), line.alias("line"))
+
+    by_day = daily(log).orderBy(F.desc("date")).limit(days)
+    by_browser = log.groupBy(weblog.browser(F.col("agent"), "A").alias("browser")).agg(F.count(F.lit(1)).alias("n"))
+    share = by_browser.join(F.broadcast(wide.select(F.col("requests").alias("_all"))))  # one row
+    return (
+        out.unionByName(ranked(top(log, "uri", pages), 2, [F.desc("n"), F.col("uri")], F.format_string(PAGE_LINE, "n", "uri")))
+        .unionByName(ranked(by_day, 3, [F.col("date")], F.format_string(DAY_LINE, "date", "requests", "visitors")))
+        .unionByName(ranked(share, 4, [F.desc("n"), F.col("browser")], F.format_string(BROWSER_LINE, "browser", "n", F.col("n") * 100.0 / F.col("_all"))))
+    )
+
+
 def rate_limited(rows: DataFrame, key: str, ts: str, order: str, limit: int, window: str = "1 minute") -> DataFrame:
     """Add ``allowed``: whether the row is among the first ``limit`` of its key and epoch-aligned window."""
     framed = rows.withColumn("_w", F.window(ts, window)["start"])

@@ -137,24 +137,26 @@ def keep_first_suggestions(places: DataFrame) -> DataFrame:
     return geocode.suggest(labelled, " Nation_1")
 
 
-@query("places", sql="""SELECT place_id, CASE WHEN place_id % 4 = 0 THEN 'Q' || CAST(place_id AS STRING) ELSE name END AS name, type, CASE WHEN place_id % 3 = 0 THEN upper(left(name, 2)) ELSE '' END AS countrycode,
-CASE WHEN place_id % 5 = 0 THEN NULL ELSE region END AS city FROM places""")
+@query("places", sql="""SELECT place_id, CASE WHEN regexp_matches(own, '[^\\x00-\\x7F]') THEN asked ELSE own END AS name, type, upper(coalesce(code, '')) AS countrycode, CASE WHEN city IS DISTINCT FROM own THEN city END AS city
+FROM (SELECT place_id, 'Q' || CAST(place_id AS STRING) AS asked, CASE WHEN place_id % 4 = 0 THEN name || 'é' ELSE name END AS own, type, CASE WHEN place_id % 3 = 0 THEN lower(left(name, 2)) END AS code, CASE WHEN place_id % 5 = 1 THEN name WHEN place_id % 5 <> 0 THEN region END AS city FROM places)""")
 def place_doc(places: DataFrame) -> DataFrame:
     """Documents of provider features."""
     k = F.col("place_id")
     props = F.struct(
         k.alias("osm_id"), F.lit("node").alias("osm_type"), F.when(k % 4 == 0, F.concat("name", F.lit("é"))).otherwise(F.col("name")).alias("name"), F.lit(None).cast("string").alias("osm_value"), F.col("type"),
-        F.when(k % 3 == 0, F.lower(F.left("name", F.lit(2)))).alias("countrycode"), F.col("region").alias("country"), F.col("region").alias("state"), F.when(k % 5 != 0, F.col("region")).alias("city"),
+        F.when(k % 3 == 0, F.lower(F.left("name", F.lit(2)))).alias("countrycode"), F.col("region").alias("country"), F.col("region").alias("state"), F.when(k % 5 == 1, F.col("name")).when(k % 5 != 0, F.col("region")).alias("city"),
     )
     doc = geocode.place_document("p", F.concat(F.lit("Q"), F.col("place_id").cast("string")))
     return places.select("place_id", props.alias("p")).select("place_id", doc.alias("d")).select("place_id", "d.name", "d.type", "d.countrycode", "d.city")
 
 
-@query("places", sql="""SELECT place_id, CASE place_id % 4 WHEN 0 THEN name WHEN 1 THEN region ELSE 'State ' || name END AS place, CASE place_id % 4 WHEN 0 THEN 'city' WHEN 1 THEN 'county' ELSE 'state' END AS place_type FROM places""")
+@query("places", sql="""SELECT place_id, coalesce(nullif(city, ''), nullif(county, ''), nullif(state, ''), nullif(region, '')) AS place,
+CASE WHEN coalesce(city, '') <> '' THEN 'city' WHEN coalesce(county, '') <> '' THEN 'county' WHEN coalesce(state, '') <> '' THEN 'state' ELSE 'country' END AS place_type
+FROM (SELECT place_id, region, CASE WHEN place_id % 4 = 0 THEN name WHEN place_id % 4 = 3 THEN '' END AS city, CASE WHEN place_id % 4 = 1 THEN region END AS county, CASE WHEN place_id % 5 <> 0 THEN 'State ' || name END AS state FROM places)""")
 def most_specific_place(places: DataFrame) -> DataFrame:
     """City, else county, else state, else country."""
     k = F.col("place_id") % 4
-    found = geocode.most_specific_place(F.when(k == 0, F.col("name")), F.when(k == 1, F.col("region")), F.concat(F.lit("State "), F.col("name")), F.col("region"))
+    found = geocode.most_specific_place(F.when(k == 0, F.col("name")).when(k == 3, F.lit("")), F.when(k == 1, F.col("region")), F.when(F.col("place_id") % 5 != 0, F.concat(F.lit("State "), F.col("name"))), F.col("region"))
     return places.select("place_id", found.alias("f")).select("place_id", F.col("f.name").alias("place"), F.col("f.type").alias("place_type"))
 
 
@@ -177,7 +179,7 @@ def display_name_join(places: DataFrame) -> DataFrame:
     return places.select("place_id", label.alias("label"), F.coalesce(city, F.concat("name", F.lit(", Land"))).alias("city_label"), provider.alias("provider"))
 
 
-@query("places", "shops", sql="SELECT place_id AS id, name AS city FROM places WHERE place_id < 12 UNION ALL SELECT shop_id, state FROM shops WHERE state NOT IN (SELECT name FROM places WHERE place_id < 12)")
+@query("places", "shops", sql="SELECT place_id AS id, name AS city FROM places WHERE type = 'town' UNION ALL SELECT shop_id, state FROM shops WHERE state NOT IN (SELECT name FROM places WHERE type = 'town')")
 def priority_union_cities(places: DataFrame, shops: DataFrame) -> DataFrame:
     """Places first, shops' cities that they lack after."""
-    return geocode.priority_union(places.where("place_id < 12").select(F.col("place_id").cast("long").alias("id"), F.col("name").alias("city")), shops.select(F.col("shop_id").alias("id"), F.col("state").alias("city")), ["city"])
+    return geocode.priority_union(places.where("type = 'town'").select(F.col("place_id").cast("long").alias("id"), F.col("name").alias("city")), shops.select(F.col("shop_id").alias("id"), F.col("state").alias("city")), ["city"])

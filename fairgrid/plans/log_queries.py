@@ -59,6 +59,28 @@ def recent_rows(log: DataFrame) -> DataFrame:
     return traffic.since(log, "2024-01-15", 7).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _counted(label: str, total: str, unique: str | None = None) -> str:
+    seen = f" || ' (' || format('{{:,}}', count(DISTINCT CASE WHEN {total} THEN {unique} END)) || ' unique)'" if unique else ""
+    return f"rpad('{label}:', 21, ' ') || format('{{:,}}', count(*) FILTER ({total})){seen}"
+
+
+_NUMBERS = [
+    _counted("Total requests", "true"), f"rpad('Unique visitors:', 21, ' ') || format('{{:,}}', count(DISTINCT {VISITOR}))", _counted("Successful requests", "regexp_matches(status, '^[23]')"), _counted("Homepage", HOME, VISITOR),
+    _counted("Event details", PAGE, VISITOR), f"rpad('Unique events viewed:', 21, ' ') || format('{{:,}}', count(DISTINCT CASE WHEN {PAGE} THEN uri END))", _counted("Total API calls", "uri LIKE '/api/%'"),
+    _counted("Calendar requests", "uri = '/api/events'"), _counted("Location searches", "uri LIKE '/api/events/geocode%'"), _counted("Visit store clicks", VISIT, VISITOR),
+]
+
+
+@query("access_log", sql="SELECT 0 AS section, 1 AS place, 'Date range: ' || min(date) || ' to ' || max(date) AS line FROM access_log UNION ALL " + " UNION ALL ".join(f"SELECT 1, {k + 1}, {line} FROM access_log" for k, line in enumerate(_NUMBERS)) + f""" UNION ALL
+SELECT 2, CAST(row_number() OVER (ORDER BY n DESC, uri) AS INT), lpad(CAST(n AS VARCHAR), 8, ' ') || '  ' || uri FROM (SELECT uri, count(*) AS n FROM access_log GROUP BY uri ORDER BY n DESC, uri LIMIT 10) UNION ALL
+SELECT 3, CAST(row_number() OVER (ORDER BY date) AS INT), date || ': ' || lpad(CAST(n AS VARCHAR), 6, ' ') || ' requests, ' || lpad(CAST(v AS VARCHAR), 5, ' ') || ' unique' FROM (SELECT date, count(*) AS n, count(DISTINCT {VISITOR}) AS v FROM access_log GROUP BY date ORDER BY date DESC LIMIT 14)
+UNION ALL SELECT 4, CAST(row_number() OVER (ORDER BY n DESC, browser) AS INT), lpad(browser, 10, ' ') || ': ' || lpad(CAST(n AS VARCHAR), 8, ' ') || ' (' || format('{{:.1f}}', n * 100.0e0 / (SELECT count(*) FROM access_log)) || '%)' FROM (
+SELECT CASE WHEN contains(agent, 'Chrome') THEN 'Chrome' WHEN contains(agent, 'Firefox') THEN 'Firefox' WHEN contains(agent, 'Safari') THEN 'Safari' WHEN contains(agent, 'Edge') THEN 'Edge' WHEN regexp_matches(lower(agent), 'bot|crawler') THEN 'Bot' ELSE 'Other' END AS browser, count(*) AS n FROM access_log GROUP BY 1)""")
+def report_lines(log: DataFrame) -> DataFrame:
+    """The traffic report as a document of lines."""
+    return traffic.report_lines(log)
+
+
 @query("access_log", sql="SELECT uri, count(*) AS n FROM access_log GROUP BY uri ORDER BY n DESC, uri LIMIT 15")
 def top_pages(log: DataFrame) -> DataFrame:
     """Top 15 paths."""

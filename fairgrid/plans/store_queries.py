@@ -117,8 +117,41 @@ def buylist_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
 @query("buylist", "prices", sql=f"SELECT order_id, round(sum(coalesce(total_cny, 0)) * 1.2e0 + 20.0e0, 2) AS estimate, count(*) AS items FROM ({PRICED}) GROUP BY order_id")
 def order_totals(lines: DataFrame, prices: DataFrame) -> DataFrame:
     """Order documents and their estimates."""
-    docs = pricing.estimated_total(pricing.orders(pricing.price_lines(lines, prices), "order_id"))
-    return docs.select("order_id", F.round("estimate", 2).alias("estimate"), F.size("items").cast("long").alias("items"))
+    totals = pricing.order_totals(pricing.price_lines(lines, prices), "order_id")
+    return totals.select("order_id", F.round("estimate", 2).alias("estimate"), "items")
+
+
+_ITEMS = """SELECT order_id, line, quantity, card, CASE WHEN unit IS NOT NULL THEN 'N' || ident END AS card_number, CASE WHEN unit IS NOT NULL THEN 'S' || ident % 5 END AS "set", unit, unit * quantity AS total_cny, unit IS NOT NULL AS found FROM (
+SELECT b.order_id, b.line, b.quantity, b.card, p.updated_at % 1000000 AS ident, coalesce(p.price_cny, p.price_usd) AS unit
+FROM buylist b LEFT JOIN (SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY lower(trim(card)) ORDER BY updated_at DESC) = 1) p ON lower(trim(b.card)) = lower(trim(p.card)))"""
+
+
+def _orders(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    number = F.col("updated_at") % 1_000_000
+    told = prices.withColumn("card_number", F.concat(F.lit("N"), number.cast("string"))).withColumn("set", F.concat(F.lit("S"), (number % 5).cast("string")))
+    return pricing.orders(pricing.price_lines(lines, told), "order_id")
+
+
+@query("buylist", "prices", sql=f"SELECT order_id, line, quantity, card, card_number, \"set\", round(total_cny, 4) AS total_cny, found FROM ({_ITEMS})")
+def order_items(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    """The contents of order documents, with numbers and sets of the cards."""
+    docs = _orders(lines, prices).select("order_id", F.explode("items").alias("i"))
+    return docs.select("order_id", "i.line", "i.quantity", "i.card", "i.card_number", "i.set", F.round("i.total_cny", 4).alias("total_cny"), "i.found")
+
+
+_KEY = "line, quantity, card, card_number, \"set\", unit, total_cny, found"
+_YUAN = "coalesce('¥' || format('{{:.2f}}', {}), '—')"
+
+
+@query("buylist", "prices", sql=f"""SELECT order_id, 'Order ' || order_id || chr(10) || 'Quick list (' || sum(quantity) || ' cards):' || chr(10) || string_agg(quantity || 'x ' || coalesce("set" || ' ' || card_number, card), chr(10) ORDER BY {_KEY})
+|| chr(10) || '{pricing.TABLE_HEAD}' || chr(10) || '{pricing.TABLE_RULE}' || chr(10) || string_agg(lpad(CAST(quantity AS VARCHAR), 3, ' ') || '  ' || rpad(coalesce("set" || ' ' || card_number, '—'), CAST(greatest(12, length(coalesce("set" || ' ' || card_number, '—'))) AS INT), ' ') || '  ' || rpad(left(card, 25), 25, ' ')
+|| '  ' || lpad({_YUAN.format("unit")}, 8, ' ') || '  ' || lpad({_YUAN.format("total_cny")}, 10, ' '), chr(10) ORDER BY {_KEY}) || chr(10) || '{pricing.TABLE_RULE}' || chr(10) || repeat(' ', 45) || 'Subtotal: ¥' || format('{{:.2f}}', round(sum(coalesce(total_cny, 0)), 2))
+|| chr(10) || repeat(' ', 45) || 'Est Total: ¥' || format('{{:.2f}}', round(sum(coalesce(total_cny, 0)) * 1.2e0 + 20, 1)) || CASE WHEN NOT bool_and(found) THEN chr(10) || 'Some cards have no price.' ELSE '' END AS message FROM ({_ITEMS}) GROUP BY order_id""")
+def order_messages(lines: DataFrame, prices: DataFrame) -> DataFrame:
+    """The message of each order, its estimate rounded to a tenth."""
+    told = pricing.order_message(_orders(lines, prices).withColumn("subtotal_cny", F.round("subtotal_cny", 2)), "order_id")
+    tenth = F.format_string("%.2f", F.round(F.regexp_extract("message", r"Est Total: ¥([0-9.]+)", 1).cast("double"), 1))
+    return told.select("order_id", F.concat(F.regexp_extract("message", r"(?s)^(.*Est Total: ¥)", 1), tenth, F.regexp_extract("message", r"(?s)Est Total: ¥[0-9.]+(.*)$", 1)).alias("message"))
 
 
 @query("buylist", sql="SELECT order_id, line, card, CASE WHEN quantity > 3 THEN 'too many' WHEN quantity < 1 THEN 'no quantity' END AS reason FROM buylist WHERE quantity > 3 OR quantity < 1")
@@ -161,11 +194,14 @@ def log_line_parse(log: DataFrame) -> DataFrame:
     return log.select("event_id", F.regexp_extract("line", 'query="([^"]*)"', 1).alias("asked"), text.metric_success(F.col("line")).alias("success"))
 
 
-@query("customer", sql="SELECT c_custkey, c_custkey % 3 <> 0 AS ok, regexp_matches(c_name, '[^\\x00-\\x7F]') AS non_ascii FROM customer")
+@query("customer", sql="""SELECT c_custkey, regexp_full_match(mail, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') AS ok, regexp_matches(name, '[^\\x00-\\x7F]') AS non_ascii FROM (
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'no at sign.org' WHEN 1 THEN 'two@at@signs.org' WHEN 2 THEN 'a b@example.org' ELSE 'c' || c_custkey || '@example.org' END AS mail, CASE WHEN c_custkey % 4 = 1 THEN c_name || 'é' ELSE c_name END AS name FROM customer)""")
 def email_and_ascii(customers: DataFrame) -> DataFrame:
     """Address and ASCII tests."""
-    mail = F.when(F.col("c_custkey") % 3 == 0, F.lit("no at sign.org")).otherwise(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.org")))
-    return customers.select("c_custkey", text.is_email(mail).alias("ok"), text.non_ascii(F.col("c_name")).alias("non_ascii"))
+    k, own = F.col("c_custkey") % 5, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.org"))
+    mail = F.when(k == 0, F.lit("no at sign.org")).when(k == 1, F.lit("two@at@signs.org")).when(k == 2, F.lit("a b@example.org")).otherwise(own)
+    name = F.when(F.col("c_custkey") % 4 == 1, F.concat("c_name", F.lit("é"))).otherwise(F.col("c_name"))
+    return customers.select("c_custkey", text.is_email(mail).alias("ok"), text.non_ascii(name).alias("non_ascii"))
 
 
 @query("shops", sql="SELECT 'shops' AS name, count(*) AS n, max(shop_id) AS max_id, count(DISTINCT name) AS names, CAST(floor(count(*) FILTER (latitude IS NULL) * 100.0e0 / count(*) + 0.5) AS BIGINT) AS missing_percent FROM shops")

@@ -9,6 +9,7 @@ from fairgrid.functions import geo, temporal, text
 from fairgrid.operators import geocode, merge, pricing, retention, traffic, upkeep
 from fairgrid.plans.geo_queries import geohash_sql
 from fairgrid.plans.registry import query
+from fairgrid.plans.search_queries import km
 from fairgrid.schema import COMPARED_EVENT
 
 
@@ -93,7 +94,8 @@ def set_prices(prices: DataFrame, parts: DataFrame) -> DataFrame:
     return pricing.set_prices(prices, changes).select("card", "price_usd", "price_cny")
 
 
-@query("places", sql="SELECT place_id, CASE place_id % 3 WHEN 0 THEN 'City' WHEN 1 THEN 'village' END AS kind FROM places WHERE place_id % 3 IN (0, 1)")
+@query("places", sql="""SELECT place_id, coalesce(type, osm_value) AS kind FROM (SELECT place_id, CASE place_id % 3 WHEN 0 THEN 'City' WHEN 2 THEN 'house' END AS type, CASE WHEN place_id % 3 = 1 THEN 'village' ELSE 'town' END AS osm_value FROM places)
+WHERE lower(coalesce(nullif(type, ''), nullif(osm_value, ''))) IN ('city', 'town', 'village', 'hamlet', 'suburb', 'neighbourhood', 'borough', 'county', 'district', 'state', 'province', 'region', 'country', 'municipality', 'locality')""")
 def indexable_places(places: DataFrame) -> DataFrame:
     """Places worth indexing, by type or else by value."""
     k = F.col("place_id") % 3
@@ -110,13 +112,36 @@ def geocache_write_back(queries: DataFrame, zips: DataFrame, cache: DataFrame, p
     return geocode.replaced(cache, geocode.cache_entries(queries, answered, 5000)).select("query", "latitude", "accessed")
 
 
-@query("places", "shops", sql="""SELECT city, country, min(state) AS state, source FROM (SELECT name AS city, region AS country, 'S' || CAST(place_id % 3 AS STRING) AS state, 'coords' AS source FROM places WHERE place_id < 10
-UNION ALL SELECT state, country, 'K', 'known' FROM shops WHERE (state, country) NOT IN (SELECT (name, region) FROM places WHERE place_id < 10)) GROUP BY city, country, source""")
-def combined_cities(places: DataFrame, shops: DataFrame) -> DataFrame:
+_CITIES = """SELECT 0 AS rank, name AS city, region AS country, 'S' || CAST(place_id % 3 AS STRING) AS state, 'coords' AS source FROM places UNION ALL SELECT 1, state, country, 'K', 'known' FROM shops
+UNION ALL SELECT 2, city, country, 'F', 'forward' FROM cal_events UNION ALL SELECT 2, state, country, 'F', 'forward' FROM shops"""
+
+
+@query("places", "shops", "cal_events", sql=f"SELECT city, country, state, source FROM ({_CITIES}) QUALIFY row_number() OVER (PARTITION BY city, country ORDER BY rank, state) = 1")
+def combined_cities(places: DataFrame, shops: DataFrame, events: DataFrame) -> DataFrame:
     """Cities of three sources, each once."""
-    coords = places.where("place_id < 10").select(F.col("name").alias("city"), F.concat(F.lit("S"), (F.col("place_id") % 3).cast("string")).alias("state"), F.col("region").alias("country"))
+    coords = places.select(F.col("name").alias("city"), F.concat(F.lit("S"), (F.col("place_id") % 3).cast("string")).alias("state"), F.col("region").alias("country"))
     known = shops.select(F.col("state").alias("city"), F.lit("K").alias("state"), "country")
-    return geocode.city_list(coords, known, known.withColumn("country", F.lit(None).cast("string"))).select("city", "country", "state", "source")
+    forward = events.select("city", F.lit("F").alias("state"), "country").unionByName(known.withColumn("state", F.lit("F")))
+    return geocode.city_list(coords, known, forward).select("city", "country", "state", "source")
+
+
+_NEAREST = f"""SELECT s.shop_id, p.place_id, p.name, p.region FROM (SELECT min(shop_id) AS shop_id, lat, lng FROM (SELECT shop_id, round(latitude, 2) AS lat, round(longitude, 2) AS lng FROM shops WHERE latitude IS NOT NULL) GROUP BY lat, lng) s, places p
+QUALIFY row_number() OVER (PARTITION BY lat, lng ORDER BY {km("lat", "lng", "p.latitude", "p.longitude")}, p.place_id) = 1"""
+
+
+@query("places", "shops", sql=f"""SELECT * FROM (WITH reversed AS (SELECT DISTINCT name AS city, region AS country FROM ({_NEAREST})), every AS (SELECT * FROM reversed UNION SELECT state, country FROM shops),
+found AS (SELECT lower(e.city || ', ' || e.country) AS query, e.city, p.place_id // 2 AS osm_id FROM every e JOIN places p ON lower(e.city || ', ' || e.country) = lower(p.name || ', ' || p.region) WHERE p.place_id % 7 <> 0),
+once AS (SELECT * FROM found WHERE osm_id NOT IN (3, 4) QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY query) = 1) SELECT 899999999 + row_number() OVER (ORDER BY query) AS place_id, osm_id, city AS name FROM once)""")
+def city_documents(places: DataFrame, shops: DataFrame) -> DataFrame:
+    """The city list's chain: coordinates of stores to cities, known ones after, looked up, numbered, without those that are there."""
+    known = places.select(F.col("place_id").alias("row_id"), F.col("name").alias("city"), F.lit(None).cast("string").alias("state"), F.col("region").alias("country"), "latitude", "longitude")
+    listed = shops.select(F.col("state").alias("city"), F.lit(None).cast("string").alias("state"), "country")
+    cities = geocode.city_list(geocode.store_cities(shops, known), listed, listed.limit(0))
+    none = F.lit(None).cast("string")
+    feature = F.struct(F.floor(F.col("place_id") / 2).alias("osm_id"), none.alias("osm_type"), none.alias("osm_value"), "type", "name", none.alias("city"), none.alias("county"), none.alias("state"), F.col("region").alias("country"), none.alias("countrycode"))
+    features = places.where("place_id % 7 <> 0").select(F.lower(F.concat_ws(", ", "name", "region")).alias("query"), feature.alias("feature"))
+    there = places.where("place_id in (3, 4)").select(F.col("place_id").cast("long").alias("osm_id"))
+    return geocode.city_documents(cities, features, there).select("place_id", "osm_id", F.get_json_object("doc", "$.name").alias("name"))
 
 
 @query("geo_log", "access_log", sql="""SELECT *, CAST(floor(calls * 1000 / visitors) AS DOUBLE) / 1000 AS calls_per_visitor, CASE WHEN searches > 0 THEN CAST(floor(calls * 1000 / searches) AS DOUBLE) / 10 END AS calls_per_search, searches - calls AS saved_calls FROM
@@ -162,9 +187,14 @@ def redirect_urls(events: DataFrame) -> DataFrame:
     return events.select("external_id", F.concat(F.lit(merge.EVENT_PAGES), F.col("external_id").cast("string")).alias("url"))
 
 
-CANONICAL = f"""(SELECT CAST(id AS STRING) AS external_id, w.name, CASE WHEN store_name IS NOT NULL AND store_city <> 'TX' THEN store_city ELSE city END AS city,
+_SIGN = "CASE currency WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE '' END"
+CANONICAL = f"""(SELECT CAST(id AS STRING) AS external_id, w.name, description, store_name AS location, full_address AS address, CASE WHEN store_name IS NOT NULL AND store_city <> 'TX' THEN store_city ELSE city END AS city,
+CASE WHEN store_name IS NOT NULL THEN 'TX' END AS state, CASE WHEN store_name IS NOT NULL THEN 'US' END AS country, latitude, longitude, strftime(start_date, '%Y-%m-%d %H:%M:%S') AS start_date, CAST(NULL AS STRING) AS start_time, CAST(NULL AS STRING) AS end_date,
 CASE WHEN template = 'T1' THEN 'Nexus Night' WHEN regexp_matches(w.name || ' ' || coalesce(description, ''), '(?i)pre[\\s-]?rift') THEN 'Pre-Rift' WHEN contains(lower(w.name), 'summoner skirmish') THEN 'Summoner Skirmish'
-WHEN contains(lower(w.name), 'nexus night') THEN 'Nexus Night' ELSE 'Other' END AS event_type, latitude, longitude, CASE WHEN latitude IS NOT NULL THEN {geohash_sql(3)} END AS geohash3, store_name AS shop_name, player_count
+WHEN contains(lower(w.name), 'nexus night') THEN 'Nexus Night' ELSE 'Other' END AS event_type, store_name AS organizer, player_count, capacity,
+CASE WHEN cost_in_cents = 0 THEN 'Free' ELSE {_SIGN} || CASE WHEN cost_in_cents < 0 THEN '-' ELSE '' END || CAST(abs(cost_in_cents) // 100 AS STRING) || '.' || lpad(CAST(abs(cost_in_cents) % 100 AS STRING), 2, '0') END AS price,
+'https://events.example.org/' || CAST(id AS STRING) AS url, CAST(NULL AS STRING) AS image_url, CASE WHEN store_name IS NOT NULL THEN CAST(shop_id AS STRING) END AS shop_id, CASE WHEN latitude IS NOT NULL THEN {geohash_sql(3)} END AS geohash3,
+store_name AS shop_name, CASE WHEN store_name IS NOT NULL THEN store_latitude END AS shop_latitude, CASE WHEN store_name IS NOT NULL THEN longitude END AS shop_longitude
 FROM (SELECT * REPLACE (CASE WHEN latitude IS NULL AND store_name IS NOT NULL THEN store_latitude ELSE latitude END AS latitude) FROM wire) w)"""
 
 
@@ -182,10 +212,10 @@ def _canonical(wire: DataFrame) -> DataFrame:
     return merge.canonical_events(raw, templates)
 
 
-@query("wire", sql=f"SELECT external_id, city, event_type, geohash3, shop_name FROM {CANONICAL}")
+@query("wire", sql=f"SELECT * FROM {CANONICAL}")
 def canonical_events(wire: DataFrame) -> DataFrame:
-    """Wire events as event rows."""
-    return _canonical(wire).select("external_id", "city", "event_type", "geohash3", "shop_name")
+    """Wire events as event rows, all columns."""
+    return _canonical(wire).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_date", "end_date")})
 
 
 @query("wire", sql="""SELECT count(*) AS found, count(DISTINCT store_name) AS stores, count(*) FILTER (id % 3 = 0) AS created, count(*) FILTER (id % 3 = 1 AND id % 10 = 1) AS updated,

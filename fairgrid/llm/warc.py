@@ -159,7 +159,7 @@ def write_bundles(pages: DataFrame, folder: str, bundles: int, frame_bytes: int
                 bundle.drop()
             raise
 
-    together = dealt.repartitionById(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "payload_digest")
+    together = dealt.repartitionById(bundles, "bundle").sortWithinPartitions("bundle", "page_id", "payload_digest", "url", "record_type")
     index = together.mapInArrow(write, "page_id long, bundle int, frame int, frame_offset long, inside long, n_bytes long")
     return materialise(index, "warc-index")
 

@@ -171,6 +171,18 @@ def test_archives_keep_large_ids_and_any_url(spark):
     assert [got[i].refers_to for i in ids[1:3]] == [2**60 + 1] * 2
 
 
+def test_archives_have_one_order(spark):
+    """Rows that differ in their url alone lie in the same places however they come."""
+    pages = [(k % 3, f"http://u{k % 7}", "p" * (150 + k % 2)) for k in range(60)]
+    written = []
+    for parts in (1, 5):
+        folder = new_path(spark, "warc-test")
+        table = spark.createDataFrame(pages[:: -1 if parts > 1 else 1], "page_id long, url string, html string").repartition(parts)
+        warc.write_bundles(table, folder, bundles=2, frame_bytes=1000)
+        written.append(sorted((r.page_id, r.url, r.record_type) for r in warc.read_bundles(spark, folder).collect()))
+    assert written[0] == written[1] and len(written[0]) == 60
+
+
 def test_archives_query_without_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = warc.op7_warc(spark, str(tmp_path))

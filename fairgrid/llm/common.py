@@ -115,15 +115,22 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str, bucke
     return dealt.join(starts, by).withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_bucket", "_start")
 
 
-def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+#: Rows that a task takes in its stride, so that no key of a smaller table is hot.
+HOT_ROWS = 1 << 20
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """``many`` with ``one``, a row a key, where a key may hold a third of ``many``: keys with a thousandth of its rows or more meet by broadcast.
 
-    Both should be materialised; ``many`` is read twice. ``how`` is ``inner`` or ``left``.
+    Both should be materialised; ``many`` is read twice, or, with fewer than HOT_ROWS rows, joined as it is; ``rows`` is
+    their number where it is known, or a bound. ``how`` is ``inner`` or ``left``.
     """
+    out = [*many.columns, *(c for c in one.columns if c != key)]
+    if (many.count() if rows is None else rows) < HOT_ROWS:
+        return many.join(one, key, how).select(out)
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_all"))), F.col("_n") * 1000 >= F.col("_all")).select(key)  # 1000 keys at most
     few = one.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
     marked = many.join(F.broadcast(few), key, "left")
-    out = [*many.columns, *(c for c in one.columns if c != key)]
     rest = marked.where(F.col("_hot").isNull()).select(many.columns).join(one, key, how)
     return marked.where("_hot").select(out).unionByName(rest.select(out))

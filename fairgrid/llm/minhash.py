@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairgrid.llm.common import documents, join_hot, materialise, release_table, worker_table
+from fairgrid.llm.common import HOT_ROWS, documents, join_hot, materialise, release_table, worker_table
 
 WORDS, HASHES, BANDS, BITS = 5, 128, 32, 2
 #: Links have 100 * intersection >= LINK * union.
@@ -323,11 +323,13 @@ def components(links: DataFrame) -> DataFrame:
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select("b", "a")).distinct()
     ends = materialise(ends, "component-ends")
     labels = materialise(ends.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("component")), "component-labels")
+    rows = ends.count()
     while True:
-        near = join_hot(ends, labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("_near"))
+        near = join_hot(ends, labels.withColumnRenamed("node", "to"), "to", rows=rows).groupBy("node").agg(F.min("component").alias("_near"))
         least = labels.join(near, "node").select("node", F.col("component").alias("_was"), F.least("component", "_near").alias("component"))
         target = labels.select(F.col("node").alias("component"), F.col("component").alias("_next"))
-        jumped = join_hot(materialise(least, "component-least"), target, "component", "left").select("node", "_was", F.least(F.col("component"), F.col("_next")).alias("component"))
+        least = materialise(least, "component-least") if rows >= HOT_ROWS else least
+        jumped = join_hot(least, target, "component", "left", rows).select("node", "_was", F.least(F.col("component"), F.col("_next")).alias("component"))
         step = materialise(jumped, "component-labels")
         labels = step.select("node", "component")
         if step.where("component <> _was").isEmpty():

@@ -10,8 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fairgrid.llm import common, exact_dedup, minhash, sharding
 from fairgrid.llm.common import join_hot
-from fairgrid.llm import exact_dedup, minhash, sharding
 from tests.llm.conftest import AWKWARD, build, sentence
 
 
@@ -124,7 +124,9 @@ def test_near_in_a_bucket_of_many_components(spark, monkeypatch):
     assert Counter(map(tuple, minhash.near_duplicates(build(spark, rows)).collect())) == want
 
 
-def test_hot_keys_join_like_others(spark):
+@pytest.mark.parametrize("hot_rows", [0, 1 << 20])
+def test_hot_keys_join_like_others(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)
     many = spark.createDataFrame([(i, 7 if i % 3 == 0 else i % 2000 if i % 5 else None) for i in range(9000)], "x long, k long")
     one = spark.createDataFrame([(k, f"v{k}") for k in range(0, 2000, 2)] + [(7, "hot")], "k long, v string")
     for how in ("inner", "left"):

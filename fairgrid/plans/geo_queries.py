@@ -119,15 +119,15 @@ def non_us_query(queries: DataFrame) -> DataFrame:
 
 @query("geo_queries", "zipcodes", "geocache", "places", sql=f"""SELECT q.query_id, coalesce(z.latitude, c.latitude, CASE WHEN NOT {NON_US_SQL} THEN l.latitude END, u.latitude + 1) AS lat,
 coalesce(z.longitude, c.longitude, CASE WHEN NOT {NON_US_SQL} THEN l.longitude END, u.longitude + 1) AS lng,
-CASE WHEN z.zipcode IS NOT NULL THEN 'zip' WHEN c.query IS NOT NULL THEN 'cache' WHEN l.name IS NOT NULL AND NOT {NON_US_SQL} THEN 'local' WHEN u.name IS NOT NULL THEN 'public' ELSE 'none' END AS source
-FROM geo_queries q LEFT JOIN zipcodes z ON trim(q.query) = z.zipcode LEFT JOIN geocache c ON lower(trim(q.query)) = c.query LEFT JOIN places l ON lower(trim(q.query)) = lower(l.name)
+CASE WHEN z.zipcode IS NOT NULL THEN 'zip' WHEN c.query IS NOT NULL THEN 'cache' WHEN l.name IS NOT NULL AND NOT {NON_US_SQL} THEN 'local' WHEN u.name IS NOT NULL THEN 'public' ELSE 'none' END AS source,
+coalesce(z.city, c.query, CASE WHEN NOT {NON_US_SQL} THEN lower(l.name) END, lower(u.name) || ', uk') AS label FROM geo_queries q LEFT JOIN zipcodes z ON trim(q.query) = z.zipcode LEFT JOIN geocache c ON lower(trim(q.query)) = c.query LEFT JOIN places l ON lower(trim(q.query)) = lower(l.name)
 LEFT JOIN places u ON lower(trim(q.query)) = lower(u.name) || ', uk'""")
 def geocode_cascade(queries: DataFrame, zips: DataFrame, cache: DataFrame, places: DataFrame) -> DataFrame:
     """ZIP, cache, local, public, none."""
     local = places.select(F.lower("name").alias("query"), "latitude", "longitude")
     local = local.unionByName(local.withColumn("latitude", F.col("latitude") + 50))  # a provider that gives several answers
     public = places.select(F.concat(F.lower("name"), F.lit(", uk")).alias("query"), (F.col("latitude") + 1).alias("latitude"), (F.col("longitude") + 1).alias("longitude"))
-    return geocode.geocode(queries, zips, cache, local, public).select("query_id", "lat", "lng", "source")
+    return geocode.geocode(queries, zips, cache, local, public)
 
 
 @query("places", sql="SELECT place_id, name, type, region || ' land' AS label FROM places WHERE lower(name) LIKE 'nation_1%' QUALIFY row_number() OVER (PARTITION BY region, type ORDER BY place_id) = 1 ORDER BY place_id LIMIT 4")

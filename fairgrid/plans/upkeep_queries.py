@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fairgrid.functions import geo, temporal, text
 from fairgrid.operators import geocode, merge, pricing, retention, traffic, upkeep
 from fairgrid.plans.geo_queries import geohash_sql
+from fairgrid.plans.log_queries import PAGE
 from fairgrid.plans.registry import query
 from fairgrid.plans.search_queries import km
 from fairgrid.schema import COMPARED_EVENT
@@ -152,7 +153,7 @@ def geocode_correlation(geo_log: DataFrame, log: DataFrame) -> DataFrame:
     return traffic.geocode_correlation(geo_log.select(F.replace("line", F.lit("mapbox_reverse"), F.lit("mapbox_autocomplete")).alias("line")), log)
 
 
-@query("access_log", sql="SELECT uri, count(*) AS n FROM access_log WHERE regexp_matches(uri, '^/events?/[a-f0-9-]+$') GROUP BY uri ORDER BY n DESC, uri LIMIT 10")
+@query("access_log", sql=f"SELECT uri, count(*) AS n FROM access_log WHERE {PAGE} GROUP BY uri ORDER BY n DESC, uri LIMIT 10")
 def top_event_pages(log: DataFrame) -> DataFrame:
     """The ten event pages with most views."""
     from fairgrid.functions.weblog import EVENT_PAGE
@@ -160,7 +161,7 @@ def top_event_pages(log: DataFrame) -> DataFrame:
     return traffic.top(log.where(F.col("uri").rlike(EVENT_PAGE)), "uri", 10)
 
 
-@query("access_log", sql="SELECT count(*) AS views, count(DISTINCT ip) AS ips, count(DISTINCT uri) AS pages FROM access_log WHERE regexp_matches(uri, '^/events?/[a-f0-9-]+$')")
+@query("access_log", sql=f"SELECT count(*) AS views, count(DISTINCT ip) AS ips, count(DISTINCT uri) AS pages FROM access_log WHERE {PAGE}")
 def event_view_totals(log: DataFrame) -> DataFrame:
     """All views of event pages."""
     from fairgrid.functions.weblog import EVENT_PAGE
@@ -187,6 +188,7 @@ def redirect_urls(events: DataFrame) -> DataFrame:
     return events.select("external_id", F.concat(F.lit(merge.EVENT_PAGES), F.col("external_id").cast("string")).alias("url"))
 
 
+# Names of categories and signs of currencies, as in functions/text.py.
 _SIGN = "CASE currency WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' ELSE '' END"
 CANONICAL = f"""(SELECT CAST(id AS STRING) AS external_id, w.name, description, store_name AS location, full_address AS address, CASE WHEN store_name IS NOT NULL AND store_city <> 'TX' THEN store_city ELSE city END AS city,
 CASE WHEN store_name IS NOT NULL THEN 'TX' END AS state, CASE WHEN store_name IS NOT NULL THEN 'US' END AS country, latitude, longitude, strftime(start_date, '%Y-%m-%d %H:%M:%S') AS start_date, CAST(NULL AS STRING) AS start_time, CAST(NULL AS STRING) AS end_date,
@@ -198,7 +200,8 @@ store_name AS shop_name, CASE WHEN store_name IS NOT NULL THEN store_latitude EN
 FROM (SELECT * REPLACE (CASE WHEN latitude IS NULL AND store_name IS NOT NULL THEN store_latitude ELSE latitude END AS latitude) FROM wire) w)"""
 
 
-def _canonical(wire: DataFrame) -> DataFrame:
+def canonical_wire(wire: DataFrame) -> DataFrame:
+    """The view ``wire`` as canonical event rows."""
     none = F.lit(None).cast("string")
     store = F.struct(
         F.col("shop_id").alias("id"), F.col("store_name").alias("name"), none.alias("full_address"), F.col("store_city").alias("city"), F.lit("TX").alias("state"), F.lit("US").alias("country"),
@@ -215,14 +218,14 @@ def _canonical(wire: DataFrame) -> DataFrame:
 @query("wire", sql=f"SELECT * FROM {CANONICAL}")
 def canonical_events(wire: DataFrame) -> DataFrame:
     """Wire events as event rows, all columns."""
-    return _canonical(wire).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_date", "end_date")})
+    return canonical_wire(wire).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("start_date", "end_date")})
 
 
 @query("wire", sql="""SELECT count(*) AS found, count(DISTINCT store_name) AS stores, count(*) FILTER (id % 3 = 0) AS created, count(*) FILTER (id % 3 = 1 AND id % 10 = 1) AS updated,
 count(*) FILTER (id % 3 <> 0 AND NOT (id % 3 = 1 AND id % 10 = 1)) AS skipped, CAST(floor(100.0e0 * count(*) FILTER (id % 3 <> 0 AND NOT (id % 3 = 1 AND id % 10 = 1)) / count(*) + 0.5) AS BIGINT) AS skip_rate FROM wire""")
 def ingestion_counters(wire: DataFrame) -> DataFrame:
     """A whole cycle: wire rows to events, merged with what is stored by all compared columns, and counted."""
-    events = _canonical(wire)
+    events = canonical_wire(wire)
     key = F.col("external_id").cast("long")
     old = F.when((key % 3 == 1) & (key % 10 == 1), F.coalesce("shop_latitude", F.lit(0.0)) + 1).otherwise(F.col("shop_latitude"))
     stored = events.where(key % 3 != 0).withColumn("shop_latitude", old).withColumn("image_url", F.lit("another"))

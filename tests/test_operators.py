@@ -276,3 +276,17 @@ def test_small_files(spark, tmp_path):
     assert readers.read_access_logs(spark, str(tmp_path / "logs"), packed_only=True).count() == 1
     (tmp_path / "geo.log").write_text('noise\n[GEOCODE] type=cache_hit query="q"\n')
     assert [r.line for r in readers.read_metric_lines(spark, str(tmp_path / "geo.log")).collect()] == ['[GEOCODE] type=cache_hit query="q"']
+
+
+def test_sliding_counts(spark, tmp_path):
+    rows = [("2024-01-01 00:05:00", "a"), ("2024-01-01 00:12:00", "a"), ("2024-01-01 00:12:00", "b"), ("2024-01-01 02:00:00", "a"), ("2024-01-01 00:01:00", "a"), ("2024-01-01 03:00:00", "b")]
+    batch = spark.createDataFrame(rows, "t string, event_type string").withColumn("ts", F.to_timestamp("t"))
+    got = {(str(r.w.start), r.event_type): r["count"] for r in jobs.sliding_counts(batch).collect()}
+    want = {}
+    for t, kind in rows:
+        minute = int(t[11:13]) * 60 + int(t[14:16])
+        for start in range(minute // 10 * 10 - 20, minute // 10 * 10 + 1, 10):
+            day, inside = ("2023-12-31", start + 1440) if start < 0 else ("2024-01-01", start)
+            key = (f"{day} {inside // 60:02d}:{inside % 60:02d}:00", kind)
+            want[key] = want.get(key, 0) + 1
+    assert got == want

@@ -119,6 +119,15 @@ def test_merge_of_runs_carries_lcps(monkeypatch, runs):
         assert sum(x > 0 for x in compared) > len(compared) / 4  # shared turns aren't compared again
 
 
+def test_ties_are_in_one_order(spark):
+    rows = [(c, 1, "user", f"tie {k}") for c in (10, 11, 15) for k in range(4)] + [(c, None, None, f"first {k}") for c in (10, 16) for k in range(2)]
+    con = duckdb.connect()
+    con.sql("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    got = nodes(prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.sequences(table(spark, rows)))))
+    assert got == plain(rows, True) == sorted(con.sql(prefix_trie.OP12_SQL).fetchall(), key=str)
+
+
 @pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
 def test_query_equals_sql(spark, folder):
     con = duckdb.connect()

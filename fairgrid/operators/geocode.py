@@ -16,21 +16,24 @@ def geocode(queries: DataFrame, zips: DataFrame, cache: DataFrame, local: DataFr
 
     A five-digit query is answered by the ZIP table or not at all from it. ``zips`` is (zipcode, latitude, longitude), the others (query, latitude, longitude), keyed by
     normalised query, with a ``label`` or not. Of several rows of a key the one with the least coordinates answers.
+    Each distinct query is looked up once, however often it is asked.
     """
-    key = text.normalised(F.col("query"))
-    asked = queries.withColumn("_key", key).withColumn("_zip", F.when(text.is_zip(F.col("query")), F.trim("query")))
+    asked = queries.withColumn("_key", text.normalised(F.col("query")))
+    zip_code = F.when(text.is_zip(F.col("_key")), F.col("_key")).otherwise(F.concat(F.lit("-"), F.col("_key")))  # spread, where null would meet in one task
+    keys = asked.where("_key is not null").select("_key").distinct().withColumn("_zip", zip_code)
 
     def side(df: DataFrame, column: str, on: str, name: str) -> DataFrame:
         label = F.coalesce(*(F.col(c) for c in ("label", "city") if c in df.columns), F.col(column))
         found = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), label.alias("label"), F.lit(name.removesuffix("_hit")).alias("source"))
         return df.groupBy(F.col(column).alias(on)).agg(F.min(found).alias(f"_{name}"))  # one row a key
 
-    met = asked.join(if_small(side(zips, "zipcode", "_zip", "zip_hit")), "_zip", "left")
+    met = keys.join(if_small(side(zips.where(text.is_zip(F.col("zipcode"))), "zipcode", "_zip", "zip_hit")), "_zip", "left")
     for df, name in ((cache, "cache"), (local, "local"), (public, "public")):
         met = met.join(if_small(side(df, "query", "_key", name)), "_key", "left")
-    near = F.when(~text.is_non_us(F.col("query")), F.col("_local"))
-    best = F.coalesce("_zip_hit", "_cache", near, "_public")
-    return met.withColumn("_best", best).select("query_id", "_best.lat", "_best.lng", F.coalesce("_best.source", F.lit("none")).alias("source"), "_best.label")
+    near = F.when(~text.is_non_us(F.col("_key")), F.col("_local"))
+    answers = met.select("_key", F.coalesce("_zip_hit", "_cache", near, "_public").alias("_best"))
+    told = asked.join(answers, "_key", "left")
+    return told.select("query_id", "_best.lat", "_best.lng", F.coalesce("_best.source", F.lit("none")).alias("source"), "_best.label")
 
 
 def cache_entries(queries: DataFrame, answered: DataFrame, as_of: object) -> DataFrame:

@@ -3,8 +3,9 @@
 Rows are dealt by a hash of their id into partitions of bounded size, and each partition gets one tree whose upper
 nodes part the labels and whose lower nodes are balls. A ball's centre and radius bound every inner product in it from
 above and below: a node goes when all of it lies outside an anchor's window of scores or strictly beneath the
-anchor's current k-th best. Anchors are cut into blocks, and a task holds one block against one tree, all anchors of
-the block going down the tree together.
+anchor's current k-th best. Anchors are cut into blocks and trees into groups; a task takes one block, holds it, and
+reads the trees of one group against it, one after another. Blocks and trees meet by repartitioning, never by a join,
+since a block copied for each group is far larger than the optimiser takes it for and must not be broadcast.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from fairgrid.llm.common import materialise
 
 #: Rows of a partition, which has one tree, and of a ball that isn't split.
 PARTITION_ROWS, LEAF_ROWS = 8192, 128
-#: Anchors that are held against a tree at a time.
-ANCHOR_ROWS = 4096
+#: Anchors of a block, which each tree is sent to, and anchors that go down a tree at a time.
+BLOCK_ROWS, ANCHOR_ROWS = 32768, 4096
 #: Scaled components are cut to this, so that a hundred times the inner product of up to 2048 components fits 64 bits.
 LIMIT = 1 << 22
 NONE = -(1 << 62)
@@ -85,10 +86,27 @@ class Asked:
     low: np.ndarray
     high: np.ndarray
 
+    def parts(self, rows: int) -> Iterator[Asked]:
+        """At most ``rows`` anchors each, with their questions."""
+        for start in range(0, len(self.ids), rows):
+            stop = start + rows
+            held = (self.anchor >= start) & (self.anchor < stop)
+            yield Asked(self.ids[start:stop], self.labels[start:stop], self.rows[start:stop], self.anchor[held] - start, self.key[held], self.low[held], self.high[held])
+
+
+def _most(a: np.ndarray) -> float:
+    """The largest absolute value."""
+    return float(max(int(a.max(initial=0)), -int(a.min(initial=0))))
+
+
+def _narrow(rows: np.ndarray) -> np.ndarray:
+    """``rows`` in the shortest signed integers that hold them."""
+    return rows.astype(next(kind for kind in (np.int8, np.int16, np.int32) if _most(rows) <= np.iinfo(kind).max))
+
 
 def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of the rows of ``a`` and ``b``: by floats where all sums are below 2^53."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    most = _most(a) * _most(b) * max(1, a.shape[1])
     if most < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
@@ -164,23 +182,34 @@ def _matrix(column: pd.Series, dimensions: int) -> np.ndarray:
     return out
 
 
-def _best(trees: DataFrame, asked: DataFrame, deals: int, turns: int, same: bool, k: int) -> DataFrame:
+def _best(trees: DataFrame, blocks: DataFrame, deals: int, turns: int, same: bool, k: int) -> DataFrame:
     """``anchor_id, positive_id, vec_id, score``: the k best of each question in each tree."""
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
         for batch in batches:
-            for tree, block in zip(batch.column(0), batch.column(1), strict=True):
-                questions: Asked = pickle.loads(block.as_py())
-                scores, ids, _ = search_tree(pickle.loads(tree.as_py()), questions, same, k)
-                question, place = np.nonzero(scores > NONE)
-                own = questions.ids[questions.anchor[question]]
-                columns = (own, questions.key[question], ids[question, place], scores[question, place])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor_id", "positive_id", "vec_id", "score"])
-
-    parts = min(deals * turns, 4 * max(trees.sparkSession.sparkContext.defaultParallelism, int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    each = trees.select("deal", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "tree").repartition(parts, "deal", "turn")
-    blocks = asked.select("turn", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), "block")
-    return each.join(blocks, ["deal", "turn"]).select("tree", "block").mapInArrow(hold, "anchor_id long, positive_id long, vec_id long, score long")
+            for group, turn, is_tree, body in zip(*batch.columns, strict=True):
+                if not is_tree.as_py():  # a block comes before the trees of its cell
+                    held, block = (group, turn), pickle.loads(body.as_py())
+                    continue
+                if held != (group, turn):
+                    continue
+                tree = pickle.loads(body.as_py())
+                for questions in block.parts(ANCHOR_ROWS):
+                    scores, ids, _ = search_tree(tree, questions, same, k)
+                    question, place = np.nonzero(scores > NONE)
+                    own = questions.ids[questions.anchor[question]]
+                    columns = (own, questions.key[question], ids[question, place], scores[question, place])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor_id", "positive_id", "vec_id", "score"])
+
+    spark = trees.sparkSession
+    cells = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    groups = min(deals, -(-cells // turns))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = trees.select((F.col("deal") % groups).alias("group"), each(turns).alias("turn"), F.lit(True).alias("is_tree"), F.col("tree").alias("body"))
+    met = sent.unionByName(blocks.select(each(groups).alias("group"), "turn", F.lit(False).alias("is_tree"), F.col("block").alias("body")))
+    dealt = met.repartition(groups * turns, "group", "turn").sortWithinPartitions("group", "turn", "is_tree")
+    return dealt.mapInArrow(hold, "anchor_id long, positive_id long, vec_id long, score long")
 
 
 def _hundredth(whole: Column) -> Column:
@@ -195,7 +224,7 @@ def _ranked(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def mine(
     vectors: DataFrame, is_anchor: Column, label: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: float = 256.0,
-    id_col: str = "vec_id", vector_col: str = "embedding", partition_rows: int = PARTITION_ROWS, anchor_rows: int = ANCHOR_ROWS,
+    id_col: str = "vec_id", vector_col: str = "embedding", partition_rows: int = PARTITION_ROWS, anchor_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Hard negatives: ``anchor_id, positive_id, rank, negative_id, positive_score, negative_score``.
 
@@ -216,13 +245,14 @@ def mine(
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         tree = build_tree(part["vec_id"].to_numpy(np.int64), part["label"].to_numpy(np.int64), _matrix(part["v"], dimensions))
+        tree.rows = _narrow(tree.rows)
         return pd.DataFrame({"deal": [part["deal"].iloc[0]], "tree": [pickle.dumps(tree)]})
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         counts = part["wanted"].map(len).to_numpy(np.int64)
         wanted = [w for own in part["wanted"] for w in own]
         of = [np.array([w[name] for w in wanted], np.int64) for name in ("key", "low", "high")]
-        block = Asked(part["vec_id"].to_numpy(np.int64), part["label"].to_numpy(np.int64), _matrix(part["v"], dimensions), np.repeat(np.arange(len(part)), counts), *of)
+        block = Asked(part["vec_id"].to_numpy(np.int64), part["label"].to_numpy(np.int64), _narrow(_matrix(part["v"], dimensions)), np.repeat(np.arange(len(part)), counts), *of)
         return pd.DataFrame({"turn": [part["turn"].iloc[0]], "block": [pickle.dumps(block)]})
 
     dealt = rows.withColumn("deal", F.pmod(F.xxhash64("vec_id"), F.lit(deals)).cast("int"))

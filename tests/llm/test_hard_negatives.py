@@ -53,6 +53,27 @@ def test_equals_a_plain_search(spark):
     assert mined(spark, rows, 10, positives=2, negatives=3, low=50, high=90) == plain(rows, 10, 2, 3, 50, 90)
 
 
+def test_blocks_and_trees_meet_without_a_join(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in random.integers(-128, 128, 4) / 256], i % 3) for i in range(600)] + [(600, [-0.5] * 4, 0)]
+    found = hard_negatives.mine(table(spark, rows), F.col("vec_id") % 3 == 0, F.col("label"), partition_rows=50, anchor_rows=20)
+    assert {tuple(r) for r in found.collect()} == plain(rows, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and not [x for x in plan.splitlines() if "Join" in x and "turn#" in x]  # a block copied for each tree was broadcast
+
+
+def test_blocks_in_parts():
+    random = np.random.default_rng(6)
+    rows = random.integers(-50, 50, (500, 6))
+    tree = build_tree(np.arange(500), np.arange(500) % 3, rows, leaf_rows=16)
+    asked = Asked(np.arange(40), np.arange(40) % 3, rows[:40], np.repeat(np.arange(40), np.arange(40) % 3), np.arange(39), np.full(39, -1000), np.arange(39) * 100)
+    whole = search_tree(tree, asked, False, 3)
+    parts = [(part.key, *search_tree(tree, part, False, 3)[:2]) for part in asked.parts(7)]
+    assert len(parts) == 6
+    for k, want in enumerate((asked.key, *whole[:2])):
+        assert (np.concatenate([p[k] for p in parts]) == want).all()
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (2, [0.9, 0.5], 2), (3, [1.0, 0.4], 2), (4, [1.0, 0.4], 3), (5, None, 1), (6, [1.0, None], 1), (7, [nan, 1.0], 2), (8, [inf, 1.0], 2), (9, [1.0, 1.0], None), (None, [1.0, 1.0], 1), (10, [0.0, 0.0], 1), (2, [0.9, 0.5], 2), (20, [1e9, -1e9], 1), (21, [1e200, 1.0], 2), (-30, [-1.0, -1.0], 1), (22, [], 2), (23, [2.0], 3)]

@@ -194,4 +194,4 @@ def prefix_suggestions(customers: DataFrame, parts: DataFrame, zips: DataFrame)
     """Suggestions for a table of prefixes, short and long, and ZIP codes."""
     spark = customers.sparkSession
     asked, places = spark.sql(_ASKED.replace("customer", "{customer}").replace("JOIN part", "JOIN {part}"), customer=customers, part=parts), spark.sql(_NAMED.replace("FROM customer", "FROM {customer}").replace("FROM part", "FROM {part}"), customer=customers, part=parts)
-    return geocode.suggest_all(asked, places, zips.withColumn("state_code", F.lit("TX")))
+    return geocode.suggest_all(asked, places, zips.withColumn("state_code", F.lit("TX")), every=True)

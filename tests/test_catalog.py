@@ -40,5 +40,19 @@ def test_query_equals_sql(spark, duck, small, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["prefix_suggestions"])
+def test_repeated_names_and_codes_equal_sql(spark, small, tmp_path, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        key = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey"}.get(t)
+        asks = f"case {key} when 5 then 5000 when 6 then 5004 else {key} end"  # for the ZIP codes 10000 and 10008, which ten keys from 100000 on have
+        table = f"select * replace ({asks} as {key}) from '{small}/{t}.parquet' union all select * replace ({key} + 100000 as {key}) from '{small}/{t}.parquet'" if key else f"from '{small}/{t}.parquet'"
+        con.sql(f"copy ({table}) to '{tmp_path}/{t}.parquet'")
+        con.sql(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(catalog.oracle_sql()[name]).df()
+    assert (want["query_id"] == {"prefix_suggestions": 5000, "geocode_cascade": 5004}[name]).sum() == 10
+    assert rows(got) == rows(want)
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())

@@ -53,6 +53,28 @@ def test_suggestions_for_a_table_of_prefixes(spark):
     }
 
 
+def most_rows(plan):
+    """The most rows that any operator of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.metrics().contains("numOutputRows") else []
+    return max([0, *own, *map(most_rows, inner)])
+
+
+def test_long_prefixes_that_many_names_share(spark):
+    places = spark.range(1000).select(F.col("id").alias("place_id"), F.format_string("Customer#%09d", F.col("id")).alias("name"), F.lit("city").alias("type"), (F.col("id") % 3).cast("string").alias("label"))
+    zips = spark.createDataFrame([("78701", "Austin", "TX"), ("78701", "Bee Cave", "TX")], "zipcode string, city string, state_code string")
+    queries = spark.range(400).select(F.col("id").alias("query_id"), F.when(F.col("id") == 0, "78701").when(F.col("id") == 1, "customer#000000998").otherwise("CUSTOMER#0000").alias("query"))
+    found = geocode.suggest_all(queries, places, zips)
+    rows = [tuple(r) for r in found.orderBy("query_id", "rank").collect()]
+    assert rows[:2] == [(0, 1, "78701", "postcode", "Austin, TX 78701"), (1, 1, "Customer#000000998", "city", "2")]
+    assert rows[2:] == [(q, k + 1, f"Customer#{k:09d}", "city", str(k)) for q in range(2, 400) for k in range(3)]
+    found = geocode.suggest_all(queries, places, zips, every=True)
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(r for r in rows if r[0] == 0) == [(0, 1, "78701", "postcode", f"{c}, TX 78701") for c in ("Austin", "Bee Cave")]
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 5000  # not names times queries
+
+
 def test_new_surrogates_are_gapless_and_stable(spark):
     known = spark.createDataFrame([("b", 7), ("x", 3)], "natural string, surrogate long")
     naturals = spark.createDataFrame([(n,) for n in [*(f"k{i % 500:04d}" for i in range(2000)), "b", None]], "natural string")
